@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "rules")
+MODULES = ("scalars", "rules", "keys")
 
 
 
