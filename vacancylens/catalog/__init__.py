@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "rules", "keys")
+MODULES = ("scalars", "rules", "keys", "similarity")
 
 
 

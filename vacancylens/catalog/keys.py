@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from vacancylens.catalog import twin as t
 from vacancylens.catalog.registry import query
 from vacancylens.catalog.rules import CORR_SQL, HUMAN_SQL, NAME_SQL, SOURCE_SQL
-from vacancylens.catalog.views import companies, mail, postings, postings_flat, table, with_views
-from vacancylens.functions.identity import company_key, job_id
-from vacancylens.functions.links import link_identity, normalize_link, url_key
-from vacancylens.functions.text import either, filled
+from vacancylens.catalog.views import mail, postings, run_sql, table, with_views
+from vacancylens.functions.identity import job_id
 from vacancylens.operators import keys, mail as mails, windows
 
 ID = t.job_id("company", "title", "link")
@@ -40,20 +38,7 @@ def identified(spark, sf):
 
 
 def applied(spark, sf):
-    return keys.applied_records(table(spark, sf, "part").selectExpr(*_exprs(APPLIED)))
-
-
-def _exprs(sql: str) -> list[str]:
-    """Select list of a one-table view text."""
-    body = sql[len("select "):sql.rindex(" from ")]
-    out, depth, start, quoted = [], 0, 0, False
-    for i, ch in enumerate(body):
-        quoted ^= ch == "'"
-        depth += (ch == "(") - (ch == ")") if not quoted else 0
-        if ch == "," and depth == 0 and not quoted:
-            out.append(body[start:i].strip())
-            start = i + 1
-    return [*out, body[start:].strip()]
+    return keys.applied_records(run_sql(spark, APPLIED, sf, "part"))
 
 
 def seen(spark, sf):
@@ -195,7 +180,7 @@ _CACHE = """select concat('k', cast(p_partkey as varchar(20))) as key,
 @query("alias_one_hop", f"""with c as ({_CACHE}), h as (select key as asked, coalesce(nullif(alias, ''), key) as key from c)
   select h.asked, h.key, c.company from h join c on h.key = c.key where c.alias = ''""")
 def alias_one_hop(spark, sf):
-    cache = table(spark, sf, "part").selectExpr(*_exprs(_CACHE))
+    cache = run_sql(spark, _CACHE, sf, "part")
     return keys.resolve_alias(cache, cache.select("key")).select("asked", "key", "company")
 
 

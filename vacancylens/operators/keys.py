@@ -116,12 +116,20 @@ def within_ttl(cache: DataFrame, probes: DataFrame, max_age: int = fixed.CACHE_T
                at: str = "today", stamp: str = "researched") -> DataFrame:
     """Latest cached row of each probe not older than the limit and not from the future.
 
-    probes(key, today); a probe may ask for any day.
+    probes(key, today). Days are cut into stretches of the limit's length and a probe looks into its own and the one
+    before, so a hot key is spread over its stretches and never meets its whole history.
     """
-    age = F.datediff(F.col(at), F.col(stamp))
-    hits = probes.join(cache, key).withColumn("age_days", age).filter(F.col("age_days").between(0, max_age))
-    newest = Window.partitionBy(key, at).orderBy(F.col(stamp).desc())
-    return hits.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1).drop("_n")
+    stretch = max_age + 1
+    origin = F.lit("1970-01-01").cast("date")
+    newest = cache.withColumn("_n", F.row_number().over(Window.partitionBy(key, stamp).orderBy(F.lit(1))))
+    kept = newest.filter(F.col("_n") == 1).drop("_n").withColumn(
+        "_stretch", F.floor(F.datediff(F.col(stamp), origin) / stretch))
+    own = F.floor(F.datediff(F.col(at), origin) / stretch)
+    asked = probes.select(key, at).distinct().withColumn("_stretch", F.explode(F.array(own, own - 1)))
+    hits = asked.join(kept, [key, "_stretch"]).withColumn("age_days", F.datediff(F.col(at), F.col(stamp)))
+    hits = hits.filter(F.col("age_days").between(0, max_age)).drop("_stretch")
+    latest = Window.partitionBy(key, at).orderBy(F.col(stamp).desc())
+    return hits.withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") == 1).drop("_n")
 
 
 def link_novelty(df: DataFrame, page: str, order: str, link: Column) -> DataFrame:
