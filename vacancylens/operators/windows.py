@@ -11,6 +11,7 @@ from vacancylens import fixed
 from vacancylens.functions.identity import composite_id
 from vacancylens.functions.links import legacy_link_key, link_identity, normalize_link
 from vacancylens.functions.text import UNICODE_NOCASE, blank, col, either
+from vacancylens.session import cut
 
 
 def _first_in_order(df: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -46,6 +47,22 @@ def cap_per_source(df: DataFrame, cap: int, source: str = "source", posted: str
     return df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap)
 
 
+def ranked_within(df: DataFrame, groups: Sequence[str], order: Column, position: str = "position") -> DataFrame:
+    """Adds the position of each row inside its group, for groups of any size. `order` must be distinct in a group.
+
+    Rows are range-partitioned by group and order; positions inside a partition plus the counts of the partitions before
+    it give the rank. No task holds more than one range, even where one group is a third of the table.
+    """
+    keys = list(groups)
+    placed = cut(df.withColumn("_order", order).repartitionByRange(*keys, "_order").withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_range", *keys).orderBy("_order"))
+    return placed.join(offsets, [*keys, "_range"]).withColumn(position, (local + F.col("_before")).cast("bigint")).drop(
+        "_order", "_range", "_before")
+
+
 def usable(df: DataFrame, link: str = "link", title: str = "title") -> DataFrame:
     return df.filter((F.length(blank(link)) > 0) & (F.length(blank(title)) > 0))
 
