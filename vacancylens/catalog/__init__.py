@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "rules", "keys", "similarity", "measures", "ranking")
+MODULES = ("scalars", "rules", "keys", "similarity", "measures", "ranking", "entities", "documents")
 
 
 

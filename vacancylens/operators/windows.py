@@ -41,6 +41,11 @@ def latest_run(df: DataFrame, run: str = "run", ord_col: str = "ord") -> DataFra
     return _first_in_order(df, key, F.col(run).desc(), F.col(ord_col).desc())
 
 
+def newest_per_key(df: DataFrame, key: str, run: str = "run", ord_col: str = "ord") -> DataFrame:
+    """One row per key, from its latest run. Run this before an upsert: two runs of one key would flip it."""
+    return _first_in_order(df, F.col(key), F.col(run).desc(), F.col(ord_col).desc())
+
+
 def cap_per_source(df: DataFrame, cap: int, source: str = "source", posted: str = "posted", ord_col: str = "ord") -> DataFrame:
     """Newest `cap` rows of each source, undated rows last."""
     order = Window.partitionBy(source).orderBy(F.col(posted).desc_nulls_last(), ord_col)
