@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "rules", "keys", "similarity", "measures", "ranking", "entities", "documents")
+MODULES = (
+    "scalars", "rules", "keys", "similarity", "measures", "ranking", "entities", "documents", "feeds", "sinks", "streams",
+)
 
 
 

@@ -159,7 +159,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_sql(spark: SparkSession, sql: str, sf_dir: str, *names: str) -> DataFrame:
     """Run a view text with its tables passed as arguments, so that no session-wide name is taken."""
-    return spark.sql("with " + ", ".join(f"{n} as (select * from {{{n}__}})" for n in names) + "\n" + sql,
+    return spark.sql("with " + ", ".join(f"{n} as (select * from {{{n}__}})" for n in names) + "\n" + sql.replace("{", "{{").replace("}", "}}"),
                      **{f"{n}__": df for n, df in tables(spark, sf_dir, *names).items()})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacancylens import fixed
 from vacancylens.functions.links import company_domain, link_identity, name_from_domain
-from vacancylens.functions.text import blank, col, either, filled, norm_text, slug, words
+from vacancylens.functions.text import blank, col, either, filled, let, norm_text, slug, words
 
 
 def company_words(c: Column | str) -> Column:
@@ -45,16 +45,19 @@ def same_company(a: Column, b: Column) -> Column:
 
 
 def cache_key(c: Column | str) -> Column:
-    """Key of a cached entity brief, from a name or an address."""
-    target = F.trim(blank(c))
-    domain = company_domain(target)
-    is_url = target.rlike("^https?://")
-    by_domain = slug(company_key(either(name_from_domain(domain), domain)), "-", "unnamed")
-    by_path = F.substring(
-        slug(F.concat(F.regexp_extract(target, r"^https?://([^/?#]*)", 1),
-                      F.regexp_extract(target, r"^https?://[^/?#]*([^?#;]*)", 1)), "-", "unnamed"), 1, 80)
-    by_name = slug(either(company_key(target), target), "-", "unnamed")
-    return F.when(is_url & (domain != ""), by_domain).when(is_url, by_path).otherwise(by_name)
+    """Key of a cached entity brief, from a name or an address: its site's name, else the address, else the company."""
+    def key(target: Column) -> Column:
+        def of_domain(domain: Column) -> Column:
+            path = F.regexp_extract(target, r"^https?://([^?#;]*)", 1)
+            by_path = F.substring(slug(path, "-", "unnamed"), 1, 80)
+            is_url = target.rlike("^https?://")
+            name = F.when(is_url, either(name_from_domain(domain), domain)).otherwise(target)
+            bare = either(company_key(name), F.when(is_url, F.lit("")).otherwise(target))
+            return F.when(is_url & (domain == ""), by_path).otherwise(slug(bare, "-", "unnamed"))
+
+        return let(company_domain(target), of_domain)
+
+    return let(F.trim(blank(c)), key)
 
 
 def board_slugs(c: Column | str) -> Column:

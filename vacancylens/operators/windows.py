@@ -46,6 +46,10 @@ def newest_per_key(df: DataFrame, key: str, run: str = "run", ord_col: str = "or
     return _first_in_order(df, F.col(key), F.col(run).desc(), F.col(ord_col).desc())
 
 
+def first_per_key(df: DataFrame, key: str, ord_col: str = "ord") -> DataFrame:
+    return _first_in_order(df, F.col(key), F.col(ord_col))
+
+
 def cap_per_source(df: DataFrame, cap: int, source: str = "source", posted: str = "posted", ord_col: str = "ord") -> DataFrame:
     """Newest `cap` rows of each source, undated rows last."""
     order = Window.partitionBy(source).orderBy(F.col(posted).desc_nulls_last(), ord_col)
