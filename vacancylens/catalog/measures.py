@@ -10,7 +10,7 @@ from vacancylens.catalog.keys import LATEST
 from vacancylens.catalog.registry import query
 from vacancylens.catalog.similarity import KEYWORDS, leader_sql
 from vacancylens.catalog.views import postings, run_sql, table, with_views
-from vacancylens.operators import bands, leader, market, windows
+from vacancylens.operators import bands, leader, market
 from vacancylens.plans import report, retrospective, snapshots
 
 FACTS = f""", uni as materialized ({LATEST}), facts as materialized (select *, jd_source = 'full' and trim(fetched_jd) <> '' as is_read,
@@ -30,7 +30,7 @@ WINDOW = """select count(*) as postings, count(*) filter (is_read) as jd_read, c
 
 
 def facts(spark, sf):
-    return market.posting_facts(windows.latest_run(postings(spark, sf)))
+    return market.posting_facts(postings(spark, sf))
 
 
 @query("rate_reality", with_views(FACTS + " " + RATES, "postings"))
@@ -97,8 +97,7 @@ _WANTED = " union all ".join(f"select occupation, area, '{u}' as unit, '{m}' as
   select occupation, area, unit, {', '.join(f"max(v) filter (measure = '{m}') as {m}" for m in bands.STATS)}, 'OEWS ' || max(year) || ' annual estimates' as period
   from g where v is not null group by occupation, area, unit""")
 def band_wage_pivot(spark, sf):
-    wanted = bands.wage_series(run_sql(spark, _OCC, sf, "part"), run_sql(spark, _AREA, sf, "nation"))
-    return bands.wage_bands(wanted, run_sql(spark, _OBS, sf, "nation", "part"))
+    return bands.wage_bands(run_sql(spark, _OCC, sf, "part"), run_sql(spark, _AREA, sf, "nation"), run_sql(spark, _OBS, sf, "nation", "part"))
 
 
 @query("term_sections")

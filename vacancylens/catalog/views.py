@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancylens.models import ANALYSIS
+from vacancylens.session import spread
 
 _K = "cast(floor(d.doc_id / 16) as bigint)"
 
@@ -149,18 +150,18 @@ from customer
 """
 
 
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names}
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def run_sql(spark: SparkSession, sql: str, sf_dir: str, *names: str) -> DataFrame:
     """Run a view text with its tables passed as arguments, so that no session-wide name is taken."""
     return spark.sql("with " + ", ".join(f"{n} as (select * from {{{n}__}})" for n in names) + "\n" + sql.replace("{", "{{").replace("}", "}}"),
-                     **{f"{n}__": df for n, df in tables(spark, sf_dir, *names).items()})
+                     **{f"{n}__": df for n, df in ((n, table(spark, sf_dir, n)) for n in names)})
 
 
 def postings_flat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,9 @@ def extract_rate(text: Column | str) -> Column:
 
 def rate_midpoint(rate: Column | str) -> Column:
     """Midpoint of an extracted rate string; null where the string is no rate."""
-    r = blank(rate)
-    lo = filled(F.regexp_extract(r, fixed.RATE_TEXT, 1)).try_cast("double")
-    hi = filled(F.regexp_extract(r, fixed.RATE_TEXT, 2)).try_cast("double")
-    return (lo + F.coalesce(hi, lo)) / 2
+    def middle(r: Column) -> Column:
+        lo = filled(F.regexp_extract(r, fixed.RATE_TEXT, 1)).try_cast("double")
+        hi = filled(F.regexp_extract(r, fixed.RATE_TEXT, 2)).try_cast("double")
+        return (lo + F.coalesce(hi, lo)) / 2
+
+    return let(blank(rate), middle)

@@ -61,8 +61,8 @@ def bucket_counts(c: Column | str, dim: int = fixed.EMBED_DIM) -> Column:
     alphabet = "".join(chr(48 + i) if dim <= 79 else chr(0x4E00 + i) for i in range(dim))
     letters = F.array_join(
         F.transform(word_buckets(c, dim), lambda b: F.substring(F.lit(alphabet), b + 1, F.lit(1))), "")
-    return let(letters, lambda s: F.array(
-        *[F.length(s) - F.length(F.replace(s, F.lit(a), F.lit(""))) for a in alphabet]))
+    buckets = F.split(F.lit(alphabet), "")
+    return let(letters, lambda s: F.transform(buckets, lambda a: F.length(s) - F.length(F.replace(s, a, F.lit("")))))
 
 
 def hash_embed(c: Column | str, dim: int = fixed.EMBED_DIM) -> Column:

@@ -103,26 +103,24 @@ def ceiling_bands(rows: DataFrame, term: str = "term", price: str = "current_pri
         note.alias("caveat"), F.lit(attribution).alias("attribution"), F.lit(True).alias("is_ceiling"))
 
 
-def wage_series(occupations: DataFrame, areas: DataFrame) -> DataFrame:
-    """Series ids wanted: occupation x area x unit x measure. Both inputs are small dimension tables.
+SERIES_ID = r"^OEU([A-Z])(\d{7})000000(\d{6})(\d{2})$"
 
-    occupations(occupation, code); areas(area, kind, area_code).
-    """
-    measures = [F.struct(F.lit(unit).alias("unit"), F.lit(m).alias("measure"), F.lit(d).alias("datatype"))
-                for unit, table in (("hour", fixed.WAGE_HOURLY), ("year", fixed.WAGE_ANNUAL)) for m, d in table.items()]
-    pairs = occupations.join(F.broadcast(areas.limit(10_000)), F.lit(True))
-    rows = pairs.select("*", F.explode(F.array(*measures)).alias("m")).select("*", "m.*").drop("m")
-    return rows.withColumn("series_id", F.concat(F.lit("OEU"), "kind", "area_code", F.lit("000000"), "code", "datatype"))
 
+def wage_bands(occupations: DataFrame, areas: DataFrame, observations: DataFrame) -> DataFrame:
+    """Bands from the latest observation of each series, one column per measure.
 
-def wage_bands(wanted: DataFrame, observations: DataFrame) -> DataFrame:
-    """Bands from the latest observation of each wanted series, one column per measure.
-
-    observations(series_id, nth, year, value): nth counts from the latest; value is text with commas.
+    occupations(occupation, code); areas(area, kind, area_code); observations(series_id, nth, year, value): nth counts
+    from the latest, value is text with commas. A series id spells its area, occupation and measure, so both dimensions
+    join on keys read from it and no product of dimensions is built.
     """
+    measures = [F.struct(F.lit(d).alias("datatype"), F.lit(unit).alias("unit"), F.lit(m).alias("measure"))
+                for unit, table in (("hour", fixed.WAGE_HOURLY), ("year", fixed.WAGE_ANNUAL)) for m, d in table.items()]
+    part = [F.regexp_extract("series_id", SERIES_ID, i + 1).alias(n) for i, n in enumerate(("kind", "area_code", "code", "datatype"))]
     latest = observations.filter(F.col("nth") == 0).select(
-        "series_id", F.replace("value", F.lit(","), F.lit("")).try_cast("double").alias("figure"), "year")
-    got = wanted.join(latest.filter(F.col("figure").isNotNull()), "series_id")
+        *part, F.replace("value", F.lit(","), F.lit("")).try_cast("double").alias("figure"), "year").filter(F.col("figure").isNotNull())
+    known = F.filter(F.array(*measures), lambda m: m["datatype"] == F.col("datatype"))
+    measured = latest.select("*", F.explode(known).alias("m")).select("kind", "area_code", "code", "figure", "year", "m.unit", "m.measure")
+    got = measured.join(occupations, "code").join(areas, ["kind", "area_code"])
     keys = ["occupation", "area", "unit"]
     year = got.groupBy(*keys).agg(F.max(F.nullif("year", F.lit(""))).alias("year"))
     wide = got.groupBy(*keys).pivot("measure", list(STATS)).agg(F.max("figure"))

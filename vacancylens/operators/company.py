@@ -88,8 +88,12 @@ def scored_history(rows: DataFrame, by: list[str], run: str = "run", ord_col: st
     return out.select(*by, "title_key", "f.*", "first_seen", "last_seen")
 
 
-def same_text(rows: DataFrame, threshold: float = fixed.SAME_TEXT_OVERLAP, text: str = "jd_text", ord_col: str = "ord") -> DataFrame:
-    """Best text overlap between each company and every other: (company_key, other_key, overlap, ord, other_ord).
+def same_text(rows: DataFrame, threshold: float = fixed.SAME_TEXT_OVERLAP, text: str = "jd_text", ord_col: str = "ord",
+              probes: DataFrame | None = None) -> DataFrame:
+    """Best text overlap between each probed company and every other: (company_key, other_key, overlap, ord, other_ord).
+
+    probes(probe) are the companies asked about; without them every company is, and the result has a row per pair of
+    companies that share text.
 
     Copies of one text inside a company collapse first, and again across companies before the set join, so a text that a
     third of all rows carry enters it once. Companies that are spellings of each other do not count as other.
@@ -105,7 +109,8 @@ def same_text(rows: DataFrame, threshold: float = fixed.SAME_TEXT_OVERLAP, text:
     itself = holders.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select(
         F.col("text_key").alias("a"), F.col("text_key").alias("b"), F.lit(1.0).alias("score"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(itself)
-    left = holders.select(F.col("text_key").alias("a"), F.col("key").alias("company_key"), "ord")
+    asked = holders if probes is None else holders.join(probes.select(company_key("probe").alias("key")).distinct(), "key", "left_semi")
+    left = asked.select(F.col("text_key").alias("a"), F.col("key").alias("company_key"), "ord")
     right = holders.select(F.col("text_key").alias("b"), F.col("key").alias("other_key"), F.col("ord").alias("other_ord"))
     met = left.join(both, "a").join(right, "b").filter(~same_company(F.col("company_key"), F.col("other_key")))
     best = met.groupBy("company_key", "other_key").agg(

@@ -121,9 +121,7 @@ def within_ttl(cache: DataFrame, probes: DataFrame, max_age: int = fixed.CACHE_T
     """
     stretch = max_age + 1
     origin = F.lit("1970-01-01").cast("date")
-    newest = cache.withColumn("_n", F.row_number().over(Window.partitionBy(key, stamp).orderBy(F.lit(1))))
-    kept = newest.filter(F.col("_n") == 1).drop("_n").withColumn(
-        "_stretch", F.floor(F.datediff(F.col(stamp), origin) / stretch))
+    kept = cache.dropDuplicates([key, stamp]).withColumn("_stretch", F.floor(F.datediff(F.col(stamp), origin) / stretch))
     own = F.floor(F.datediff(F.col(at), origin) / stretch)
     asked = probes.select(key, at).distinct().withColumn("_stretch", F.explode(F.array(own, own - 1)))
     hits = asked.join(kept, [key, "_stretch"]).withColumn("age_days", F.datediff(F.col(at), F.col(stamp)))

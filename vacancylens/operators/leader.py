@@ -78,10 +78,10 @@ def cluster_values(counts: DataFrame, threshold: float = fixed.CLUSTER_COSINE, c
     vec = vectors.select("value", "n", "v")
     seed = vec.select(F.col("value").alias("label"), F.col("v").alias("v_seed"))
     own = F.col("label") == F.col("value")
-    return led.join(vec, "value").join(seed, "label").select(
+    return cut(led.join(vec, "value").join(seed, "label").select(
         "label", "value", "n",
         F.when(own & (F.aggregate("v", F.lit(0.0), lambda s, x: s + x) > 0), F.lit(1.0))
-        .otherwise(F.bround(dot(F.col("v"), F.col("v_seed")), 4)).alias("similarity"))
+        .otherwise(F.bround(dot(F.col("v"), F.col("v_seed")), 4)).alias("similarity")))
 
 
 def cluster_totals(clusters: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from vacancylens.functions.dates import run_date
 from vacancylens.functions.rates import extract_rate, rate_midpoint
 from vacancylens.functions.text import blank, strip
 from vacancylens.operators.bands import STATS, distribution
+from vacancylens.operators.windows import latest_run, posting_key
 from vacancylens.operators.leader import cluster_totals, cluster_values, value_counts
 
 SCOPES = ("all postings", "contract", "permanent")
@@ -21,16 +22,20 @@ def _judged(name: str) -> Column:
     return F.lower(strip(blank(f"analysis.{name}")))
 
 
-def posting_facts(unique: DataFrame) -> DataFrame:
-    """Small columns the measures need, so the texts are read once and never cached."""
+def posting_facts(postings: DataFrame) -> DataFrame:
+    """The small columns the measures need, one row per posting (its last run).
+
+    The columns are derived before the rows are de-duplicated, so texts are read once where they lie and never shuffled.
+    """
     read = strip(blank("fetched_jd")) != ""
     is_read = (F.col("jd_source") == "full") & read
-    return unique.select(
-        "run", strip(blank("company")).alias("company"), F.coalesce(is_read, F.lit(False)).alias("is_read"),
+    facts = postings.select(
+        posting_key().alias("posting"), "run", "ord", strip(blank("company")).alias("company"), F.coalesce(is_read, F.lit(False)).alias("is_read"),
         F.when(is_read, rate_midpoint(extract_rate("fetched_jd"))).alias("hourly"),
         _judged("employment_type").alias("employment_type"), _judged("cadence").alias("cadence"),
         F.coalesce(F.col("analysis.is_agency"), F.lit(False)).alias("is_agency"),
         F.col("analysis.red_flags").alias("red_flags"), F.col("analysis.resume_keywords").alias("resume_keywords"))
+    return latest_run(facts, key=F.col("posting")).drop("posting", "ord")
 
 
 def corpus_window(facts: DataFrame) -> DataFrame:

@@ -35,10 +35,14 @@ def first_wins(df: DataFrame, rank: str = "channel_rank", ord_col: str = "ord",
     return _first_in_order(df, dedup_key(legacy=legacy), F.col(rank), F.col(ord_col))
 
 
-def latest_run(df: DataFrame, run: str = "run", ord_col: str = "ord") -> DataFrame:
+def posting_key() -> Column:
+    """Key of a posting across runs: its normalised link, else company and title."""
+    return either(normalize_link(F.trim(blank("link"))), composite_id("company", "title"))
+
+
+def latest_run(df: DataFrame, run: str = "run", ord_col: str = "ord", key: Column | None = None) -> DataFrame:
     """One row per posting; the last run that saw it wins."""
-    key = either(normalize_link(F.trim(blank("link"))), composite_id("company", "title"))
-    return _first_in_order(df, key, F.col(run).desc(), F.col(ord_col).desc())
+    return _first_in_order(df, posting_key() if key is None else key, F.col(run).desc(), F.col(ord_col).desc())
 
 
 def newest_per_key(df: DataFrame, key: str, run: str = "run", ord_col: str = "ord") -> DataFrame:

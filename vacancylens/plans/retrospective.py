@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from vacancylens import fixed
 from vacancylens.operators import market
 from vacancylens.operators.bands import STATS
-from vacancylens.operators.windows import latest_run
 from vacancylens.session import cut
 
 
@@ -25,7 +24,7 @@ class Retrospective:
 
 def build(postings: DataFrame, top_terms: int = fixed.TOP_TERMS, min_term_count: int = 1, **options) -> Retrospective:
     """All sections. Only the narrow facts frame is materialised; the texts are read once and dropped."""
-    facts = cut(market.posting_facts(latest_run(postings)))
+    facts = cut(market.posting_facts(postings))
     return Retrospective(
         window=market.corpus_window(facts), rates=market.rate_reality(facts), splits=market.supply_splits(facts),
         terms=market.term_sections(facts, top=top_terms, min_count=min_term_count, **options),

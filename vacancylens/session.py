@@ -28,3 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and ends the plan of an iterative job."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small text table, which arrives in fewer splits than there are cores, one partition per core.
+
+    Tables of any size worth a cluster have more splits than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
