@@ -310,12 +310,14 @@ def src_snapshots(spark, sf):
         "as_of", "postings", F.size("metrics").alias("n_metrics"), F.col("metrics")["a"].alias("first_metric"))
 
 
-# Raw messages: plain, HTML only, or both; some answer an earlier one.
-_RAW = """concat('Message-ID: <', cast(conv_id as varchar(20)), '.', cast(turn as varchar(20)), '@x>', chr(10), 'From: Jane <j@x.example>', chr(10), 'Subject: ', role, chr(10), case when turn > 0 then concat('In-Reply-To: <', cast(conv_id as varchar(20)), '@x>', chr(10)) else '' end,
-  'MIME-Version: 1.0', chr(10), 'Content-Type: ', case turn % 2 when 0 then 'text/plain' else 'text/html' end, '; charset="utf-8"', chr(10), 'Content-Transfer-Encoding: 8bit', chr(10), chr(10), case turn % 2 when 0 then text else concat('<p>', text, '</p>') end)"""
+# Raw messages: plain or HTML bodies in base64, as mail servers send them; some answer an earlier one.
+_RAW = """concat('Message-ID: <', cast(conv_id as string), '.', cast(turn as string), '@x>\n', 'From: Jane <j@x.example>\n', 'Subject: ', role, '\n', case when turn > 0 then concat('In-Reply-To: <', cast(conv_id as string), '@x>\n') else '' end,
+  'MIME-Version: 1.0\n', 'Content-Type: ', case turn % 2 when 0 then 'text/plain' else 'text/html' end, '; charset="utf-8"\n', 'Content-Transfer-Encoding: base64\n\n',
+  base64(encode(case turn % 2 when 0 then text else concat('<p>', text, '</p>') end, 'utf-8')))"""
 
 
-@query("src_email")
+@query("src_email", f"""select '<' || conv_id || '.' || turn || '@x>' as mid, 'Jane <j@x.example>' as sender, role as subject, case turn % 2 when 0 then trim(text, {_WS}) else {VISIBLE} end as content,
+    turn > 0 as is_reply from conversations""")
 def src_email(spark, sf):
     raw = table(spark, sf, "conversations").select(F.expr(_RAW).alias("raw"))
     return email_messages.parse_messages(raw).select("mid", "sender", "subject", "content", "is_reply")

@@ -100,13 +100,28 @@ def band_wage_pivot(spark, sf):
     return bands.wage_bands(run_sql(spark, _OCC, sf, "part"), run_sql(spark, _AREA, sf, "nation"), run_sql(spark, _OBS, sf, "nation", "part"))
 
 
-@query("term_sections")
+def _values(column):
+    return f"select trim(x) as value, count(*) as n from (select unnest(string_split({column}, '|')) as x from facts where scored) where trim(x) <> '' group by trim(x)"
+
+
+def _terms_sql(field, column):
+    return f"""select '{field}' as field, label, total, spellings, cast(place as int) as place, all_clusters,
+      (select count(*) from facts where scored and trim(replace({column}, '|', '')) <> '') as contributing, (select count(*) from facts) as postings
+    from (with recursive {leader_sql(_values(column))}, tot as (select label, sum(n)::bigint as total, count(*) as spellings from clus group by label)
+      select *, row_number() over (order by total desc, label) as place, count(*) over () as all_clusters from tot) x where place <= 30"""
+
+
+TERMS = _terms_sql("resume_keywords", "keywords_text") + " union all " + _terms_sql("red_flags", "red_flags_text")
+EMPLOYERS = f"""select * from (with recursive named as (select trim(company) as value, count(*) as n, bool_or(agency) as flagged from facts where trim(company) <> '' group by trim(company)),
+  {leader_sql('select value, n from named', 0.88)} select label as name, sum(clus.n)::bigint as n, bool_or(flagged) as is_agency, count(*) as spellings from clus join named using (value) group by label) e"""
+
+
+@query("term_sections", with_views(FACTS + " " + TERMS, "postings"))
 def term_sections(spark, sf):
     return market.term_sections(facts(spark, sf))
 
 
-@query("employers", with_views(FACTS + f""", named as (select trim(company) as value, count(*) as n, bool_or(agency) as flagged from facts where trim(company) <> '' group by trim(company)),
-  {leader_sql('select value, n from named', 0.88)} select label as name, sum(clus.n)::bigint as n, bool_or(flagged) as is_agency, count(*) as spellings from clus join named using (value) group by label""", "postings"))
+@query("employers", with_views(FACTS + " " + EMPLOYERS, "postings"))
 def employers(spark, sf):
     return market.employers(facts(spark, sf))
 
@@ -123,7 +138,17 @@ def top_with_total(spark, sf):
     return market.top_with_total(shown, 30, "total", "label")
 
 
-@query("market_retrospective")
+def _measures(source, section, item, *names):
+    return " union all ".join(f"select {section} as section, {item} as item, '{m}' as measure, {m}::double as value from {source}" for m in names)
+
+
+_RANKED = "(select *, row_number() over (partition by is_agency order by n desc, name) as place from e)"
+
+
+@query("market_retrospective", with_views(FACTS + f""", w as ({WINDOW}), r as ({RATES}), s as ({SPLITS}), tm as ({TERMS}), e as ({EMPLOYERS}), re as (select * from {_RANKED} where place <= 20)
+  {_measures('w', "'window'", "'all'", 'postings', 'jd_read', 'runs', 'days')} union all {_measures('r', "'rates'", 'scope', 'n', 'total', 'share', *bands.STATS)}
+  union all {_measures('s', "'split ' || field", 'label', 'n', 'share')} union all {_measures('tm', "'terms ' || field", 'label', 'total', 'spellings', 'place')}
+  union all {_measures('re', "case when is_agency then 'employers agency' else 'employers direct' end", 'name', 'n', 'spellings', 'place')}""", "postings"))
 def market_retrospective(spark, sf):
     return retrospective.long_table(retrospective.build(postings(spark, sf)))
 

@@ -193,9 +193,13 @@ def cosine(spark, sf):
         "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-@query("hash_embed")
+@query("hash_embed", f"""with {t.embed_sql('documents', 'doc_id', 'text')}
+  select doc_id, array_to_string(list_transform(v, lambda x: cast(x as bigint)), ',') as counts, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as length from vec""")
 def hash_embed(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", vectors.hash_embed("text").alias("embedding"))
+    counted = table(spark, sf, "documents").select("doc_id", vectors.bucket_counts("text").alias("v")).filter(F.exists("v", lambda x: x > 0))
+    unit = F.col("u")
+    return counted.withColumn("u", vectors.unit("v")).filter(F.abs(vectors.norm(unit) - 1) < 1e-9).select(
+        "doc_id", F.array_join(F.col("v").cast("array<string>"), ",").alias("counts"), F.round(vectors.norm(F.col("v")), 6).alias("length"))
 
 
 @query("fingerprint", """select doc_id, case when trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' then ''

@@ -15,24 +15,9 @@ DUP_SQL = """select d.doc_id as ord, concat(d.source, case d.doc_id % 3 when 0 t
   case d.doc_id % 4 when 0 then 'Software Engineer' when 1 then 'Software Engineer II' else split_part(split_part(d.text, chr(10), 1), '.', 1) end as title,
   d.text as jd_text, '' as link, d.doc_id % 31 = 0 as from_correspondence from documents d"""
 
-# CRC32 of a word, bit by bit; its bucket is the remainder by 64.
-_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(w, ''), lambda c: ascii(c)::bigint)),
-  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
-    lambda x, z: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint)"""
-
-
-def embed_sql(source: str, key: str, text: str) -> str:
-    """CTEs `tok` (words) and `vec` (key, v: 64 counts) for a text column."""
-    return f"""tok as (select {key}, {t.words(text)} as ws from {source}),
-  lw as (select {key}, unnest(ws) as w from tok), dw as (select w, {_CRC} % 64 as bucket from (select distinct w from lw)),
-  bc as (select {key}, bucket, count(*) as n from lw join dw using (w) group by {key}, bucket),
-  vec as (select {key}, list_transform(range(0, 64), lambda i: coalesce(map_extract(m, i)[1], 0)::double) as v
-    from (select {key}, map(list(bucket), list(n)) as m from bc group by {key}))"""
-
-
 PREPARED = f"""dup as materialized ({DUP_SQL}), el as materialized (select *, {t.company_words('company')} as c, {t.norm('title')} as t, {t.words('jd_text')} as jw,
     title || chr(10) || jd_text as embed from dup where not from_correspondence and length(jd_text) >= 500),
-  {embed_sql('el', 'ord', 'embed')},
+  {t.embed_sql('el', 'ord', 'embed')},
   sh as materialized (select ord, {t.shingles('jw')} as s from el),
   ss as materialized (select ord, unnest(s) as g from sh), sn as (select ord, len(s) as n from sh),
   raw as (select a.ord as a, b.ord as b, count(*) as i from ss a join ss b on a.g = b.g and a.ord < b.ord group by a.ord, b.ord),
@@ -87,7 +72,7 @@ def value_counts(spark, sf):
 def leader_sql(values: str, cosine: float = 0.82) -> str:
     """Greedy leader clustering as a recursion that carries the seeds found so far. `values` gives (value, n)."""
     return f"""vals as materialized (select value, n, row_number() over (order by n desc, value) as rk from ({values})),
-  {embed_sql('vals', 'rk', 'value')},
+  {t.embed_sql('vals', 'rk', 'value')},
   gr as materialized (select rk, {t.char_grams('value')} as g from vals),
   sim as materialized (select a.rk as hi, b.rk as lo, coalesce(list_cosine_similarity(x.v, y.v), 0) as cos, len(list_intersect(ga.g, gb.g)) as i,
       least(len(ga.g), len(gb.g)) as m from vals a join vals b on a.rk < b.rk left join vec x on x.rk = a.rk left join vec y on y.rk = b.rk
