@@ -29,59 +29,67 @@ def field_values(df: DataFrame, field: str) -> Column:
     return F.col(f"analysis.{field}")
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "value", vector: str = "v") -> DataFrame:
-    """Exact pairs of unit vectors with dot product at or above the threshold: (a, b, similarity), a < b.
+def cosine_pairs(vectors: DataFrame, key: str = "id", vector: str = "v", space: str = "space", floor: str = "floor") -> DataFrame:
+    """Exact pairs of unit vectors of one space with dot product at or above its floor: (a, b, similarity), a < b.
 
     Dimensions are ordered by how many vectors use them. A vector is indexed only under its leading dimensions, up to
-    the point where what remains is too short to reach the threshold with anything; a similar vector must then use one
-    of those. The dimension table is as long as the vectors, hence safe to broadcast.
+    the point where what remains is too short to reach the floor with anything; a similar vector must then use one of
+    those. The dimension table has one row per space and dimension, hence is safe to broadcast while spaces are few, as
+    field names are.
     """
-    entries = vectors.select(key, vector, F.posexplode(vector).alias("dim", "x")).filter(F.col("x") != 0)
-    used = entries.groupBy("dim").agg(F.count("*").alias("df"))
-    ranked = entries.join(F.broadcast(used), "dim").groupBy(key).agg(
+    entries = vectors.select(key, space, floor, vector, F.posexplode(vector).alias("dim", "x")).filter(F.col("x") != 0)
+    used = entries.groupBy(space, "dim").agg(F.count("*").alias("df"))
+    ranked = entries.join(F.broadcast(used), [space, "dim"]).groupBy(key, space, floor).agg(
         F.array_sort(F.collect_list(F.struct("df", "dim", "x"))).alias("e"))
     tail = F.transform("e", lambda e, i: F.struct(
         e["dim"].alias("dim"),
         F.aggregate(F.slice("e", i + 1, F.size("e")), F.lit(0.0), lambda s, r: s + r["x"] * r["x"]).alias("rest")))
-    leading = ranked.select(F.col(key).alias("a"), F.explode(F.filter(
-        tail, lambda x: F.sqrt(x["rest"]) >= threshold - 1e-9)).alias("p")).select("a", F.col("p.dim").alias("dim"))
+    leading = ranked.select(F.col(key).alias("a"), space, floor, F.explode(F.filter(
+        tail, lambda x: F.sqrt(x["rest"]) >= F.col(floor) - 1e-9)).alias("p")).select("a", space, floor, F.col("p.dim").alias("dim"))
     vec = vectors.select(F.col(key), F.col(vector))
     left = leading.join(vec.select(F.col(key).alias("a"), F.col(vector).alias("va")), "a")
-    right = entries.select(F.col(key).alias("b"), "dim", F.col(vector).alias("vb"))
-    met = left.join(right, "dim").filter(F.col("a") < F.col("b"))
-    close = met.withColumn("similarity", dot(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= threshold - 1e-12)
+    right = entries.select(F.col(key).alias("b"), space, "dim", F.col(vector).alias("vb"))
+    met = left.join(right, [space, "dim"]).filter(F.col("a") < F.col("b"))
+    close = met.withColumn("similarity", dot(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= F.col(floor) - 1e-12)
     return close.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def cluster_values(counts: DataFrame, threshold: float = fixed.CLUSTER_COSINE, containment: float = fixed.CLUSTER_CONTAINMENT,
-                   min_count: int = 1, embedding: Column | None = None) -> DataFrame:
-    """(label, value, n, similarity): each value filed under the most frequent spelling it resembles.
+def cluster_fields(counts: DataFrame, containment: float = fixed.CLUSTER_CONTAINMENT, min_count: int = 1,
+                   embedding: Column | None = None) -> DataFrame:
+    """(field, label, value, n, similarity): each value filed under the most frequent spelling of its field it resembles.
 
-    counts(value, n). Values go from the most frequent outward, ties by spelling. A value joins a seed at the cosine
-    threshold or when the character 4-grams of the shorter lie in the longer. `embedding` gives unit vectors for `value`;
-    the default is the deterministic bag of words. Everything here runs on distinct values, after counting.
+    counts(field, value, n, floor), with `floor` the cosine of the field. Values go from the most frequent outward, ties
+    by spelling. A value joins a seed at the floor or when the character 4-grams of the shorter lie in the longer.
+    `embedding` gives unit vectors for `value`; the default is the deterministic bag of words. Everything here runs on
+    distinct values, after counting, and all fields share the rounds.
     """
     kept = counts.filter(F.col("n") >= min_count)
-    vectors = cut(kept.select("value", "n", (hash_embed("value") if embedding is None else unit(embedding)).alias("v")))
-    close = cosine_pairs(vectors.select("value", "v"), threshold).select("a", "b")
-    grams = vectors.select(F.col("value").alias("id"), char_ngrams("value").alias("tokens"))
-    inside = similar_pairs(grams, containment, "overlap").select("a", "b")
-    order = F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))
-    nodes = vectors.select(F.col("value").alias("node"), order.alias("priority"))
+    vectors = cut(kept.select(F.struct("field", "value").alias("id"), F.col("field").alias("space"), "floor", "n",
+                              (hash_embed("value") if embedding is None else unit(embedding)).alias("v")))
+    close = cosine_pairs(vectors).select("a", "b")
+    grams = F.transform(char_ngrams("id.value"), lambda g: F.xxhash64(F.col("id.field"), g))
+    inside = similar_pairs(vectors.select("id", grams.alias("tokens")), containment, "overlap").select("a", "b")
+    order = F.struct((-F.col("n")).alias("n"), F.col("id.value").alias("value"))
+    nodes = vectors.select(F.col("id").alias("node"), order.alias("priority"))
     pairs = close.unionByName(inside).distinct()
     ranked = pairs.join(nodes.select(F.col("node").alias("a"), F.col("priority").alias("pa")), "a").join(
         nodes.select(F.col("node").alias("b"), F.col("priority").alias("pb")), "b")
     a_first = F.col("pa") < F.col("pb")
     edges = ranked.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hi"),
                           F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("lo"))
-    led = first_wins(nodes, edges).select(F.col("node").alias("value"), F.col("leader").alias("label"))
-    vec = vectors.select("value", "n", "v")
-    seed = vec.select(F.col("value").alias("label"), F.col("v").alias("v_seed"))
-    own = F.col("label") == F.col("value")
-    return cut(led.join(vec, "value").join(seed, "label").select(
-        "label", "value", "n",
-        F.when(own & (F.aggregate("v", F.lit(0.0), lambda s, x: s + x) > 0), F.lit(1.0))
-        .otherwise(F.bround(dot(F.col("v"), F.col("v_seed")), 4)).alias("similarity")))
+    led = first_wins(nodes, edges).select(F.col("node").alias("id"), F.col("leader").alias("seed"))
+    vec = vectors.select("id", "n", "v")
+    seeds = vec.select(F.col("id").alias("seed"), F.col("v").alias("v_seed"))
+    own = (F.col("seed") == F.col("id")) & (F.aggregate("v", F.lit(0.0), lambda s, x: s + x) > 0)
+    return cut(led.join(vec, "id").join(seeds, "seed").select(
+        "id.field", F.col("seed.value").alias("label"), "id.value", "n",
+        F.when(own, F.lit(1.0)).otherwise(F.bround(dot(F.col("v"), F.col("v_seed")), 4)).alias("similarity")))
+
+
+def cluster_values(counts: DataFrame, threshold: float = fixed.CLUSTER_COSINE, **options) -> DataFrame:
+    """(label, value, n, similarity) of one field. counts(value, n); see `cluster_fields`."""
+    one = counts.withColumn("field", F.lit("")).withColumn("floor", F.lit(threshold))
+    return cluster_fields(one, **options).drop("field")
 
 
 def cluster_totals(clusters: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from vacancylens.functions.dates import run_date
 from vacancylens.functions.rates import extract_rate, rate_midpoint
 from vacancylens.functions.text import blank, strip
 from vacancylens.operators.bands import STATS, distribution
+from vacancylens.operators.leader import cluster_fields, value_counts
 from vacancylens.operators.windows import latest_run, posting_key
-from vacancylens.operators.leader import cluster_totals, cluster_values, value_counts
 
 SCOPES = ("all postings", "contract", "permanent")
 
@@ -79,25 +79,51 @@ def supply_splits(facts: DataFrame) -> DataFrame:
     return per.join(total, "field").select("field", "label", "n", F.bround(F.col("n") / F.col("total"), 4).alias("share"))
 
 
-def term_sections(facts: DataFrame, fields: Sequence[str] = ("resume_keywords", "red_flags"), top: int = fixed.TOP_TERMS,
-                  min_count: int = 1, **options) -> DataFrame:
+TERM_FIELDS = ("resume_keywords", "red_flags")
+EMPLOYER_FIELD = "company"
+
+
+def field_counts(facts: DataFrame, fields: Sequence[str] = TERM_FIELDS, with_employers: bool = True,
+                 min_term_count: int = 1, company_floor: float = fixed.COMPANY_COSINE) -> DataFrame:
+    """Counts of every free-text field to cluster: (field, value, n, floor)."""
+    parts = [value_counts(facts, f).filter(F.col("n") >= min_term_count).select(
+        F.lit(f).alias("field"), "value", "n", F.lit(fixed.CLUSTER_COSINE).alias("floor")) for f in fields]
+    if with_employers:
+        named = facts.filter(F.col("company") != "").groupBy(F.col("company").alias("value")).agg(F.count("*").alias("n"))
+        parts.append(named.select(F.lit(EMPLOYER_FIELD).alias("field"), "value", "n", F.lit(company_floor).alias("floor")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def term_sections(facts: DataFrame, clusters: DataFrame | None = None, fields: Sequence[str] = TERM_FIELDS,
+                  top: int = fixed.TOP_TERMS, **options) -> DataFrame:
     """Clustered terms per field: (field, label, total, spellings, place, all_clusters, contributing, postings)."""
-    out = None
-    for field in fields:
-        clusters = cluster_totals(cluster_values(value_counts(facts, field), min_count=min_count, **options))
-        has_any = F.exists(F.coalesce(field, F.array().cast("array<string>")), lambda x: strip(blank(x)) != "")
-        sample = facts.agg(F.count_if(has_any).alias("contributing"), F.count("*").alias("postings"))
-        part = top_with_total(clusters, top, "total", "label").withColumn("field", F.lit(field)).crossJoin(F.broadcast(sample))
-        out = part if out is None else out.unionByName(part)
-    return out.select("field", "label", "total", "spellings", "place", F.col("all_rows").alias("all_clusters"), "contributing", "postings")
+    if clusters is None:
+        clusters = cluster_fields(field_counts(facts, fields, with_employers=False), **options)
+    totals = clusters.filter(F.col("field").isin(*fields)).groupBy("field", "label").agg(
+        F.sum("n").alias("total"), F.count("*").alias("spellings"))
+    sizes = totals.groupBy("field").agg(F.count("*").alias("all_clusters"))
+    # The rank limit runs before the shuffle, so a field sends at most `top` rows per task.
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("total"), "label"))
+    first = totals.withColumn("place", place).filter(F.col("place") <= top)
+
+    def carries(field: str) -> Column:
+        return F.exists(F.coalesce(field, F.array().cast("array<string>")), lambda x: strip(blank(x)) != "")
+
+    samples = facts.agg(F.count("*").alias("postings"), *[F.count_if(carries(f)).alias(f) for f in fields])
+    sample = samples.select("postings", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("contributing")) for f in fields])).alias("s"))
+    return first.join(sizes, "field").join(sample.select("s.field", "s.contributing", "postings"), "field").select(
+        "field", "label", "total", "spellings", "place", "all_clusters", "contributing", "postings")
 
 
-def employers(facts: DataFrame, threshold: float = fixed.COMPANY_COSINE, **options) -> DataFrame:
+def employers(facts: DataFrame, clusters: DataFrame | None = None, **options) -> DataFrame:
     """Employers clustered over spellings: (name, n, is_agency, spellings); one flagged spelling flags all."""
-    named = facts.filter(F.col("company") != "").groupBy("company").agg(
-        F.count("*").alias("n"), F.bool_or("is_agency").alias("flagged"))
-    clusters = cluster_values(named.select(F.col("company").alias("value"), "n"), threshold, **options)
-    flagged = clusters.join(named.select(F.col("company").alias("value"), "flagged"), "value")
+    if clusters is None:
+        clusters = cluster_fields(field_counts(facts, ()), **options)
+    flags = facts.filter(F.col("company") != "").groupBy(F.col("company").alias("value")).agg(F.bool_or("is_agency").alias("flagged"))
+    flagged = clusters.filter(F.col("field") == EMPLOYER_FIELD).join(flags, "value")
     return flagged.groupBy(F.col("label").alias("name")).agg(
         F.sum("n").alias("n"), F.bool_or("flagged").alias("is_agency"), F.count("*").alias("spellings"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vacancylens import fixed
 from vacancylens.operators import market
 from vacancylens.operators.bands import STATS
+from vacancylens.operators.leader import cluster_fields
 from vacancylens.session import cut
 
 
@@ -25,10 +26,10 @@ class Retrospective:
 def build(postings: DataFrame, top_terms: int = fixed.TOP_TERMS, min_term_count: int = 1, **options) -> Retrospective:
     """All sections. Only the narrow facts frame is materialised; the texts are read once and dropped."""
     facts = cut(market.posting_facts(postings))
+    clusters = cluster_fields(market.field_counts(facts, min_term_count=min_term_count), **options)
     return Retrospective(
         window=market.corpus_window(facts), rates=market.rate_reality(facts), splits=market.supply_splits(facts),
-        terms=market.term_sections(facts, top=top_terms, min_count=min_term_count, **options),
-        employers=market.employers(facts, **options))
+        terms=market.term_sections(facts, clusters, top=top_terms), employers=market.employers(facts, clusters))
 
 
 def _slug(c: Column) -> Column:
