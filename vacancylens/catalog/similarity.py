@@ -36,8 +36,7 @@ def dup_postings(spark, sf):
   select a, b, round(j, 4) as overlap, round(cos, 4) as similarity from pair where a in (select ord from rep) and b in (select ord from rep)""")
 def near_dup_pairs(spark, sf):
     """Pairs of the first postings of distinct texts; copies of a text are reached through its first posting."""
-    prepared = neardup.prepare(dup_postings(spark, sf))
-    return neardup.representative_pairs(prepared)
+    return neardup.representative_pairs(dup_postings(spark, sf))
 
 
 COMPONENTS = f"""{PREPARED}, ways as (select a, b from pair union all select b, a from pair),

@@ -9,6 +9,7 @@ from vacancylens import fixed
 from vacancylens.functions.identity import company_key, same_company
 from vacancylens.functions.text import blank, col, shingle_hashes, words
 from vacancylens.operators.setjoin import similar_pairs
+from vacancylens.session import cut
 
 _GRAM = 5
 
@@ -101,11 +102,15 @@ def same_text(rows: DataFrame, threshold: float = fixed.SAME_TEXT_OVERLAP, text:
     worded = rows.select(F.col(ord_col).alias("ord"), company_key("company").alias("key"), words(text).alias("w")).filter(
         (F.col("key") != "") & (F.size("w") >= fixed.SHINGLE_WORDS))
     texted = worded.withColumn("text_key", F.md5(F.array_join("w", " ")))
-    holders = texted.groupBy("text_key", "key").agg(F.min("ord").alias("ord"))
+    holders = cut(texted.groupBy("text_key", "key").agg(F.min("ord").alias("ord")))
     nth = F.row_number().over(Window.partitionBy("text_key").orderBy("ord"))
     distinct = texted.withColumn("_n", nth).filter("_n = 1").select(
-        F.col("text_key").alias("id"), shingle_hashes(F.col("w")).alias("tokens"))
-    pairs = similar_pairs(distinct, threshold, "overlap").select("a", "b", "score")
+        F.col("ord").alias("id"), shingle_hashes(F.col("w")).alias("tokens"))
+    names = holders.groupBy("text_key").agg(F.min("ord").alias("ord"))
+    pairs = cut(similar_pairs(distinct, threshold, "overlap").select("a", "b", "score")).join(
+        names.select(F.col("ord").alias("a"), F.col("text_key").alias("ka")), "a").join(
+        names.select(F.col("ord").alias("b"), F.col("text_key").alias("kb")), "b").select(
+        F.col("ka").alias("a"), F.col("kb").alias("b"), "score")
     itself = holders.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select(
         F.col("text_key").alias("a"), F.col("text_key").alias("b"), F.lit(1.0).alias("score"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(itself)

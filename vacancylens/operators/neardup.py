@@ -24,36 +24,55 @@ def eligible(text: str = "jd_text", correspondence: str = "from_correspondence",
     return ~F.coalesce(F.col(correspondence), F.lit(False)) & (F.length(blank(text)) >= min_chars)
 
 
+def _keyed(df: DataFrame, ord_col: str, text: str, embed_chars: int | None, min_chars: int) -> DataFrame:
+    worded = df.filter(eligible(text, min_chars=min_chars)).select(
+        F.col(ord_col).alias("ord"), company_words("company").alias("c"), norm_text("title").alias("t"),
+        F.length(text).alias("chars"), words(text).alias("w"), _embed_text("title", text, embed_chars).alias("embed"))
+    return worded.withColumn("text_key", F.md5(F.array_join("w", " ")))
+
+
 def prepare(df: DataFrame, ord_col: str = "ord", text: str = "jd_text", embed_chars: int | None = None,
-            min_chars: int = fixed.NEAR_DUP_MIN_CHARS) -> DataFrame:
-    """Eligible postings with the keys the join needs.
+            min_chars: int = fixed.NEAR_DUP_MIN_CHARS, dim: int = fixed.EMBED_DIM) -> DataFrame:
+    """Eligible postings with the keys and the word-count vector the join needs; the texts stay where they are.
 
     `text_key` stands for the text's word sequence, `class_key` for company, title and text together: postings of one
     class pass every test with each other, so one of them speaks for all. Whole texts are embedded unless
     `embed_chars` says how far a model reads.
     """
-    worded = df.filter(eligible(text, min_chars=min_chars)).select(
-        F.col(ord_col).alias("ord"), company_words("company").alias("c"), norm_text("title").alias("t"),
-        F.length(text).alias("chars"), words(text).alias("w"), _embed_text("title", text, embed_chars).alias("embed"))
-    text_key = F.md5(F.array_join("w", " "))
-    return worded.withColumn("text_key", text_key).withColumn(
-        "class_key", F.md5(F.concat_ws("|", "c", "t", "text_key")))
+    keyed = _keyed(df, ord_col, text, embed_chars, min_chars)
+    return keyed.select("ord", "c", "t", "chars", F.size("w").alias("n_words"), "text_key",
+                        F.md5(F.concat_ws("|", "c", "t", "text_key")).alias("class_key"), bucket_counts("embed", dim).alias("v"))
 
 
-def text_pairs(prepared: DataFrame, min_overlap: float = fixed.NEAR_DUP_JACCARD) -> DataFrame:
-    """Pairs of distinct texts whose word 5-grams overlap enough: (a, b, overlap) over text keys."""
-    w = Window.partitionBy("text_key").orderBy("ord")
-    one = prepared.select("text_key", "w", "ord").withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    sets = one.select(F.col("text_key").alias("id"), shingle_hashes(F.col("w")).alias("tokens"))
-    return similar_pairs(sets, min_overlap).select("a", "b", F.col("score").alias("overlap"))
+def text_pairs(df: DataFrame, prepared: DataFrame, min_overlap: float = fixed.NEAR_DUP_JACCARD, ord_col: str = "ord",
+               text: str = "jd_text", min_chars: int = fixed.NEAR_DUP_MIN_CHARS) -> DataFrame:
+    """Pairs of distinct texts whose word 5-grams overlap enough: (a, b, overlap) over text keys.
 
+    Each distinct text enters the set join once, under the number of its first posting.
+    """
+    first = Window.partitionBy("text_key").orderBy("ord")
+    one = _keyed(df, ord_col, text, None, min_chars).select("text_key", "ord", "w").withColumn(
+        "_n", F.row_number().over(first)).filter("_n = 1")
+    pairs = similar_pairs(one.select(F.col("ord").alias("id"), shingle_hashes(F.col("w")).alias("tokens")), min_overlap)
+    names = prepared.groupBy("text_key").agg(F.min("ord").alias("ord"))
+    return (pairs.join(names.select(F.col("ord").alias("a"), F.col("text_key").alias("ka")), "a")
+            .join(names.select(F.col("ord").alias("b"), F.col("text_key").alias("kb")), "b")
+            .select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.col("score").alias("overlap")))
+
+
+def classes(prepared: DataFrame) -> DataFrame:
+    """One row per class: its first posting."""
+    w = Window.partitionBy("class_key").orderBy("ord")
+    return prepared.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("class_key", "text_key", "c", "t", "ord", "n_words", "v")
 
-def representative_pairs(prepared: DataFrame, min_cosine: float = fixed.NEAR_DUP_COSINE,
+
+def representative_pairs(df: DataFrame, ord_col: str = "ord", text: str = "jd_text", min_cosine: float = fixed.NEAR_DUP_COSINE,
                          min_overlap: float = fixed.NEAR_DUP_JACCARD) -> DataFrame:
     """(a, b, overlap, similarity) by position, between the first postings of distinct texts that pass every test."""
+    prepared = cut(prepare(df, ord_col, text))
     first = Window.partitionBy("text_key").orderBy("ord")
-    reps = cut(classes(cut(prepared))).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    pairs = text_pairs(prepared, min_overlap)
+    reps = prepared.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    pairs = text_pairs(df, prepared, min_overlap, ord_col, text)
     met = pairs.join(reps.alias("p"), F.col("a") == F.col("p.text_key")).join(
         reps.alias("q"), F.col("b") == F.col("q.text_key")).filter(_titles_allow("p", "q") & _similar("p", "q", min_cosine))
     similarity = dot(F.col("p.v"), F.col("q.v")) / (norm(F.col("p.v")) * norm(F.col("q.v")))
@@ -61,14 +80,6 @@ def representative_pairs(prepared: DataFrame, min_cosine: float = fixed.NEAR_DUP
                       F.round("overlap", 4).alias("overlap"), F.round(similarity, 4).alias("similarity"))
 
 
-def classes(prepared: DataFrame, dim: int = fixed.EMBED_DIM) -> DataFrame:
-    """One row per class: its first posting and its word-count vector."""
-    w = Window.partitionBy("class_key").orderBy("ord")
-    first = prepared.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    return first.select("class_key", "text_key", "c", "t", "ord", F.size("w").alias("n_words"),
-                        bucket_counts("embed", dim).alias("v"))
-
-
 def _similar(a: str, b: str, min_cosine: float) -> Column:
     scale = norm(F.col(f"{a}.v")) * norm(F.col(f"{b}.v"))
     return (scale > 0) & (dot(F.col(f"{a}.v"), F.col(f"{b}.v")) >= F.lit(min_cosine) * scale - F.lit(1e-12))
@@ -132,10 +143,10 @@ def with_survivor(df: DataFrame, ord_col: str = "ord", text: str = "jd_text", mi
     """(ord, survivor) of every eligible posting: the longest text of its component, then the first in order."""
     prepared = cut(prepare(df, ord_col, text, embed_chars, min_chars))
     reps = cut(classes(prepared))
-    edges = class_edges(reps, cut(text_pairs(prepared, min_overlap)), min_cosine)
+    edges = class_edges(reps, cut(text_pairs(df, prepared, min_overlap, ord_col, text, min_chars)), min_cosine)
     found = components(edges)
     # A text without shingles is never a duplicate, so its classes stay apart from their own copies too.
-    own = F.when(F.size("w") >= fixed.SHINGLE_WORDS, F.col("class_key")).otherwise(F.col("ord").cast("string"))
+    own = F.when(F.col("n_words") >= fixed.SHINGLE_WORDS, F.col("class_key")).otherwise(F.col("ord").cast("string"))
     placed = prepared.select("ord", "chars", own.alias("class_key")).join(
         found.select(F.col("node").alias("class_key"), "component"), "class_key", "left").select(
         "ord", "chars", F.coalesce("component", "class_key").alias("component"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacancylens.session import cut
+
 
 def similar_pairs(sets: DataFrame, threshold: float, measure: str = "jaccard", key: str = "id", tokens: str = "tokens",
                   apart: str | None = None) -> DataFrame:
@@ -24,9 +26,10 @@ def similar_pairs(sets: DataFrame, threshold: float, measure: str = "jaccard", k
     base = sets.select(key, *extra, tokens, F.size(tokens).alias("n")).filter(F.col("n") > 0)
     long = base.select(key, *extra, "n", F.explode(tokens).alias("token"))
     common = long.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    # One array per set, no longer than the set itself.
-    ranked = long.join(common, "token").groupBy(key, *extra, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ranked"))
+    # One array per set, no longer than the set itself, holding only tokens that some other set holds too. It is read
+    # four times below, so it is written once.
+    ranked = cut(long.join(common, "token").groupBy(key, *extra, "n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ranked")))
     needed = F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9))
     unique = F.col("n") - F.size("ranked")
     prefix = F.greatest(F.col("n") - needed + 1 - unique, F.lit(0)).cast("int")
