@@ -96,3 +96,11 @@ def test_rank_order(spark):
         [(1, "OPPORTUNISTIC", "FIT", 2, 90, "full"), (2, "PRIMARY", "LOW_FIT", 5, 10, ""), (3, "PRIMARY", "FIT", 3, 50, "full"), (4, "PRIMARY", "FIT", 3, 60, ""), (5, "PRIMARY", "FIT", 1, 0, "")],
         "ord int, final_tier string, v string, i int, f int, jd_source string").selectExpr("ord", "final_tier", "jd_source", "struct(v as verdict, i as intensity, f as fit_score) as analysis")
     assert [r["ord"] for r in df.orderBy(ranking.rank_key()).collect()] == [5, 4, 3, 2, 1]
+
+
+def test_developer_terms(spark):
+    from vacancylens.operators.windows import is_developer_role
+
+    rows = [("apex", "/job/senior-React-dev", True), ("apex", "/job/nurse", False), ("kore1", "ML Engineer", True), ("mondo", "x-node-y", True), ("mondo", "node-y", False)]
+    df = spark.createDataFrame(rows, "source string, slug string, want boolean")
+    assert all(r["got"] is r["want"] for r in df.withColumn("got", is_developer_role("slug", "source")).collect())

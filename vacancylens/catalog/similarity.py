@@ -65,7 +65,8 @@ def near_dup(spark, sf):
 @query("value_counts", with_views(""" select value, count(*) as n from (select trim(unnest(string_split(red_flags_text, '|'))) as value from postings where scored)
   where value <> '' group by value""", "postings"))
 def value_counts(spark, sf):
-    return leader.value_counts(postings(spark, sf), "analysis.red_flags")
+    rows = postings(spark, sf)
+    return leader.value_counts(rows, leader.field_values(rows, "red_flags"))
 
 
 def leader_sql(values: str, cosine: float = 0.82) -> str:

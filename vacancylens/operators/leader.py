@@ -92,11 +92,6 @@ def cluster_values(counts: DataFrame, threshold: float = fixed.CLUSTER_COSINE, *
     return cluster_fields(one, **options).drop("field")
 
 
-def cluster_totals(clusters: DataFrame) -> DataFrame:
-    """(label, total, spellings) per cluster."""
-    return clusters.groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("spellings"))
-
-
 def keep_first(items: DataFrame, group: str, ord_col: str, text: str, n: int = fixed.QUESTION_WORDS,
                threshold: float = fixed.QUESTION_OVERLAP) -> DataFrame:
     """Ordered lists without near repeats: an item drops when it overlaps a kept earlier one of its group.
