@@ -46,9 +46,8 @@ def link_identity(c: Column | str) -> Column:
         kept = F.array_join(
             F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~_is_tracking(p))), "&"
         )
-        return F.when(url == "", F.lit("")).otherwise(
-            F.concat(head, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
-        )
+        tail = let(kept, lambda k: F.when(k != "", F.concat(F.lit("?"), k)).otherwise(F.lit("")))
+        return F.when(url == "", F.lit("")).otherwise(F.concat(head, tail))
 
     return let(F.split_part(normalize_link(strip(blank(c))), F.lit("#"), F.lit(1)), identity)
 
