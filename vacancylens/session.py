@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a local one is made only where the session names none."""
+    """The shared folder for checkpoints, from `spark.checkpoint.dir`.
+
+    Where the session names none, a local folder is made, but only in local mode: executors of a cluster do not see it.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="vacancylens-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
