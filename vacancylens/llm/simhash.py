@@ -153,22 +153,33 @@ def links(values: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(key, fingerprint, component_id) of every row: documents linked through fingerprints within the distance.
+    """(key, fingerprint, component_id, text_hash, group) of every row: documents linked through fingerprints within the distance.
 
     Equal fingerprints meet once, as one value with the smallest key. `fingerprint` is a signed number and `component_id`
     the smallest key reachable. A null, empty or blank text has fingerprint zero, linked like any other; null keys are
     no smallest key unless a component has no other; equal rows are rows of their own; whole texts are read, in chunks of
-    hashes; an empty table gives an empty result. Other columns are not read.
+    hashes; an empty table gives an empty result. Other columns are not read. `group` tells components apart and `text_hash` the rows
+    of a repeated key.
     """
     ship(docs.sparkSession)
-    rows = saved(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), shingle).alias("value")), "simhash-rows")
+    rows = saved(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), shingle).alias("value"), F.xxhash64(text).alias("text_hash")), "simhash-rows")
     firsts = saved(rows.groupBy("value").agg(F.min("key").alias("first")), "simhash-values")
     found = saved(links(firsts.select("value"), distance), "simhash-links")
     groups = components(found).select(F.col("node").alias("value"), F.col("component").alias("group"))
     member = firsts.join(groups, "value", "left").withColumn("group", F.coalesce("group", "value"))
     lowest = member.groupBy("group").agg(F.min("first").alias("component_id"))
-    named = member.join(lowest, "group").select("value", "component_id")
-    return rows.join(named, "value").select(F.col("key").alias(key), F.col("value").alias("fingerprint"), "component_id")
+    named = member.join(lowest, "group").select("value", "component_id", "group")
+    return rows.join(named, "value").select(F.col("key").alias(key), F.col("value").alias("fingerprint"), "component_id", "text_hash", "group")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The documents, one row of each component: the smallest key, null last, then the smallest hash of its text."""
+    groups = near_duplicates(docs, key, text, shingle, distance)
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "text_hash")
+    kept = groups.groupBy("group").agg(F.min(place).alias("k")).select(F.col("k.key").alias("_key"), F.col("k.text_hash").alias("_hash"))
+    rows = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_key", F.col(key))
+    rows = rows.join(kept, rows["_key"].eqNullSafe(kept["_key"]) & (rows["_hash"] == kept["_hash"]), "left_semi")
+    return rows.dropDuplicates(["_key", "_hash"]).select(docs.columns)
 
 
 def hexadecimal(value: Column) -> Column:
