@@ -28,16 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
-
-    Rows that share an id are told apart by their text; of equal rows one stays.
-    """
-    groups = simhash.near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
-    rows = docs.withColumn("fingerprint", simhash.fingerprint(F.col("text")))
-    rows = rows.join(kept.select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fingerprint")), (
-        F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("fingerprint") == F.col("_fingerprint")), "left_semi")
-    return rows.select(docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
