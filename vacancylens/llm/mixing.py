@@ -53,6 +53,11 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
         "target", F.coalesce(F.least(most, F.col("weight") * F.col("first.level")), most)).drop("full_at", "level", "first")
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _walk(start: Column, stop: Column, step: Column, zero: Column, merge) -> Column:
     ks = F.when((stop - start) * step >= 0, F.sequence(start, stop, step)).otherwise(F.array().cast("array<bigint>"))
     return F.aggregate(ks, zero, merge)
@@ -65,41 +70,52 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column)
     is needed; a first walk sums the weights, a second one stops where the sum reaches u's share. Beyond twelve
     standard deviations the weights vanish in double precision and are left out.
     """
-    N, K, n = population, marked, drawn
-    one = F.lit(1).cast("long")
-    low, high = F.greatest(F.lit(0).cast("long"), n - (N - K)), F.least(n, K)
-    mode = F.least(high, F.greatest(low, F.floor((n + 1) * ((K + 1) / (N + 2))).cast("long")))
-    share = K / F.greatest(N, one)
-    reach = F.ceil(12 * F.sqrt(n * share * (1 - share) * ((N - n) / F.greatest(N - 1, one)))).cast("long") + 12
-    top, bottom = F.least(high, mode + reach), F.greatest(low, mode - reach)
-
-    def up(k: Column) -> Column:
-        return (K - k + 1) * (n - k + 1) / (k * (N - K - n + k))
-
-    def down(k: Column) -> Column:
-        return (k + 1) * (N - K - n + k + 1) / ((K - k) * (n - k))
-
-    def total(ratio):
-        return lambda acc, k: F.struct((acc["w"] * ratio(k)).alias("w"), (acc["s"] + acc["w"] * ratio(k)).alias("s"))
-
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
-    above = _walk(mode + 1, top, one, zero, total(up))["s"]
-    below = _walk(mode - 1, bottom, -one, zero, total(down))["s"]
-    goal = u * (above + below + 1)
-
-    def pick(ratio):
-        def merge(acc, k):
-            w = acc["w"] * ratio(k)
-            hit = acc["k"].isNull() & (acc["s"] + w > goal)
-            return F.struct(w.alias("w"), (acc["s"] + w).alias("s"), F.when(hit, k).otherwise(acc["k"]).alias("k"))
-        return merge
-
-    none = F.lit(None).cast("long")
-    begun = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("s"), F.when(goal < 1, mode).otherwise(none).alias("k"))
-    upper = _walk(mode + 1, top, one, begun, pick(up))
-    after = F.struct(F.lit(1.0).alias("w"), (above + 1).alias("s"), none.alias("k"))
-    lower = _walk(mode - 1, bottom, -one, after, pick(down))
-    return F.coalesce(upper["k"], lower["k"], mode)
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+
+    def ends(v: Column) -> Column:
+        """v with the mode and the first and last number of marked items that are walked."""
+        N, K, n = v["population"], v["marked"], v["drawn"]
+        low, high = F.greatest(F.lit(0).cast("long"), n - (N - K)), F.least(n, K)
+        mode = F.least(high, F.greatest(low, F.floor((n + 1) * ((K + 1) / (N + 2))).cast("long")))
+        share = K / F.greatest(N, one)
+        reach = F.ceil(12 * F.sqrt(n * share * (1 - share) * ((N - n) / F.greatest(N - 1, one)))).cast("long") + 12
+        return _let(F.struct(mode.alias("mode"), reach.alias("reach")), lambda m: F.struct(
+            N.alias("population"), K.alias("marked"), n.alias("drawn"), v["u"].alias("u"), m["mode"].alias("mode"),
+            F.least(high, m["mode"] + m["reach"]).alias("top"), F.greatest(low, m["mode"] - m["reach"]).alias("bottom")))
+
+    def sample(v: Column) -> Column:
+        N, K, n, mode = v["population"], v["marked"], v["drawn"], v["mode"]
+
+        def up(k: Column) -> Column:
+            return (K - k + 1) * (n - k + 1) / (k * (N - K - n + k))
+
+        def down(k: Column) -> Column:
+            return (k + 1) * (N - K - n + k + 1) / ((K - k) * (n - k))
+
+        def total(ratio):
+            return lambda acc, k: _let(acc["w"] * ratio(k), lambda w: F.struct(w.alias("w"), (acc["s"] + w).alias("s")))
+
+        zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
+        sums = F.struct(_walk(mode + 1, v["top"], one, zero, total(up))["s"].alias("above"),
+                        _walk(mode - 1, v["bottom"], -one, zero, total(down))["s"].alias("below"))
+
+        def choose(s: Column) -> Column:
+            goal = v["u"] * (s["above"] + s["below"] + 1)
+
+            def pick(ratio):
+                return lambda acc, k: _let(acc["w"] * ratio(k), lambda w: F.struct(
+                    w.alias("w"), (acc["s"] + w).alias("s"),
+                    F.when(acc["k"].isNull() & (acc["s"] + w > goal), k).otherwise(acc["k"]).alias("k")))
+
+            begun = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("s"), F.when(goal < 1, mode).otherwise(none).alias("k"))
+            after = F.struct(F.lit(1.0).alias("w"), (s["above"] + 1).alias("s"), none.alias("k"))
+            return F.coalesce(_walk(mode + 1, v["top"], one, begun, pick(up))["k"],
+                              _walk(mode - 1, v["bottom"], -one, after, pick(down))["k"], mode)
+
+        return _let(sums, choose)
+
+    given = F.struct(population.alias("population"), marked.alias("marked"), drawn.alias("drawn"), u.alias("u"))
+    return _let(_let(given, ends), sample)
 
 
 def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
@@ -118,10 +134,10 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
         share = F.floor(F.col("total") * ((F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")))).cast("long")
 
         def give(acc, quota):
-            k = hypergeometric(acc["rest"], quota, acc["room"], uniform(
+            drawn = hypergeometric(acc["rest"], quota, acc["room"], uniform(
                 F.lit(seed), F.col("lo"), F.col("hi"), F.size(acc["out"])))
-            return F.struct((acc["rest"] - quota).alias("rest"), (acc["room"] - k).alias("room"),
-                            F.concat(acc["out"], F.array(k)).alias("out"))
+            return _let(drawn, lambda k: F.struct((acc["rest"] - quota).alias("rest"), (acc["room"] - k).alias("room"),
+                                                  F.concat(acc["out"], F.array(k)).alias("out")))
 
         left = F.aggregate("held", F.struct(F.col("total").alias("rest"), share.alias("room"),
                                             F.array().cast("array<bigint>").alias("out")), give)["out"]
@@ -201,7 +217,8 @@ def allocate(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         F.first("passes").alias("passes"), F.count("*").alias("n"), F.count_if("fits").alias("fit"),
         F.max((F.size("picked") > 0).cast("long")).alias("part"))
     quotas = counted.withColumn("quota", F.col("passes") * F.col("n") + F.col("fit") + F.col("part"))
-    dealt = quotas.join(splitting_tree(quotas, shards, seed), "src").select("src", "n", "fit", "ends")
+    quotas = saved(quotas, "mix-quotas")
+    dealt = quotas.join(saved(splitting_tree(quotas, shards, seed), "mix-tree"), "src").select("src", "n", "fit", "ends")
 
     def shard_of(unit: Column) -> Column:
         return F.size(F.filter("ends", lambda end: end <= unit))
