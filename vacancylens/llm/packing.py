@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -18,43 +19,87 @@ from vacancylens.llm.common import saved, ship
 LENGTH = 4096
 END_ID = 1
 GROUP_PIECES = 16_384
-CACHE_WORDS = 600_000
+CACHE_CHUNKS = 800_000
+CACHE_PARTS = 400_000
+BATCH_CHARS = 2 << 20
 BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 ODD_BLANKS = re.compile(r"[\x1c-\x1f]")
+PLAIN = re.compile(r"[\x00-\xff]*")
+# How the tokenizer cuts lower-case chunks of Latin-1 characters into parts.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºßà-öø-ÿ]+|[0-9²³¹¼-¾]|[^0-9a-zªµºßà-öø-ÿ²³¹¼-¾]+")
 
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[str, Callable[[list[str | None]], list[bytes]]] = {}
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
 def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     """A function from texts to their ids, as little-endian unsigned 32-bit numbers, by the tokenizer file at `path`.
 
-    This tokenizer never joins characters across white space, so a text's ids are those of its white-space-free chunks.
-    Each chunk is tokenised once while it stays in a bounded cache, which a Python worker keeps from task to task.
+    The tokenizer never joins characters across white space, so a text's ids are those of its white-space-free chunks, and
+    a chunk of Latin-1 characters has those of its parts, which go to the vocabulary's model at once. Other chunks, and
+    those that might hold a special token, take the tokenizer's whole way. Ids of chunks and parts stay in bounded caches,
+    which a Python worker keeps from task to task.
     """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        model, known = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        model, letters = tokenizer.model, _byte_letters()
+        known: dict[str, bytes] = {}
+        parts: dict[str, bytes] = {}
+
+        def packed(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def learn(chunks: list[str]) -> None:
+            if len(parts) > CACHE_PARTS:
+                parts.clear()
+            whole = []
+            for chunk in chunks:
+                if "<|" in chunk or not PLAIN.fullmatch(chunk):
+                    whole.append(chunk)
+                    continue
+                ids = b""
+                for part in PARTS.findall(chunk.lower()):
+                    if part not in parts:
+                        word = part if part.isascii() and part.isalnum() else "".join([letters[b] for b in part.encode()])
+                        parts[part] = packed([t.id for t in model.tokenize(word)])
+                    ids += parts[part]
+                known[chunk] = ids
+            for chunk, found in zip(whole, tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+                known[chunk] = packed(found.ids)
 
         def encode(texts: list[str | None]) -> list[bytes]:
-            out = []
-            for text in texts:
-                text = text or ""
-                chunks = BLANKS.split(text) if ODD_BLANKS.search(text) else text.split()
-                new = [c for c in set(chunks) if c not in known]
-                if new:
-                    if len(known) + len(new) > CACHE_WORDS:
-                        known.clear()
-                        new = list(set(chunks))
-                    for chunk, found in zip(new, model.encode_batch_fast(new, add_special_tokens=False)):
-                        known[chunk] = np.array(found.ids, "<u4").tobytes()
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            return out
+            cut = [BLANKS.split(t) if ODD_BLANKS.search(t) else t.split() for t in (t or "" for t in texts)]
+            new = {c for chunks in cut for c in chunks if c not in known}
+            if len(known) + len(new) > CACHE_CHUNKS:
+                known.clear()
+                new = {c for chunks in cut for c in chunks}
+            learn(list(new))
+            return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
         _encoders[path] = encode
     return _encoders[path]
 
 
+def _encoded(encode: Callable[[list[str | None]], list[bytes]], texts: pa.Array) -> Iterator[bytes]:
+    """The ids of all texts, a bounded number of characters at a time."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.as_py())
+        size += len(group[-1] or "")
+        if size > BATCH_CHARS:
+            yield from encode(group)
+            group, size = [], 0
+    yield from encode(group)
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH,
            end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]): every document's ids and the end id, cut only where over `length`.
@@ -71,8 +116,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         encode = encoder(tokenizer)
         for batch in batches:
             took, rows = [], {"piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-            for i, t in enumerate(batch.column(1)):
-                ids = encode([t.as_py()])[0] + ending
+            for i, ids in enumerate(_encoded(encode, batch.column(1))):
+                ids += ending
                 for n, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at: at + 4 * length]
                     took.append(i)
