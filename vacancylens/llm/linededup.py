@@ -14,29 +14,35 @@ ALIKE = 0.8
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The line with single blanks between tokens, every token with a digit replaced by the field mark."""
-    plain = F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " "))
-    return F.regexp_replace(plain, r"(^| )[^ 0-9]*+[0-9][^ ]*+", "$1" + FIELD)
+def _plain(line: Column) -> Column:
+    """The line with single blanks between tokens."""
+    odd = r"[\x09-\x0D ]{2,}|[\x09-\x0D]"  # a single blank needs no replacement, and most lines have no other
+    return F.trim(F.when(line.rlike(odd), F.regexp_replace(line, odd, " ")).otherwise(line))
+
+
+def _masked(plain: Column) -> Column:
+    """The line with the field mark for every token with a digit."""
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(^| )[^ 0-9]*+[0-9][^ ]*+", "$1" + FIELD)).otherwise(plain)
 
 
 def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("doc"), F.posexplode(
-        F.split(F.col(text), "\n")).alias("line_no", "line")).select("id", "doc", "line_no", masked(F.col("line")).alias("tokens"))
+    # Lines are masked inside the exploded array: as columns, the expressions would be computed again for each use.
+    lines = F.transform(F.transform(F.split(F.col(text), "\n"), _plain), _masked)
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("doc"), F.posexplode(lines).alias("line_no", "tokens"))
     rows = rows.withColumn("n", F.length("tokens") - F.length(F.replace(F.col("tokens"), F.lit(" "))) + 1)
     return rows.filter((F.length("tokens") > 0) & (F.col("n") >= min_tokens)).select(
         "id", "doc", "line_no", "tokens", "n", F.xxhash64("n", F.substring_index("tokens", " ", depth)).alias("leaf"),
         F.xxhash64("tokens").alias("form"))
 
 
-def _generalised(lines: DataFrame, min_docs: int, alike: float) -> DataFrame:
+def _generalised(lines: DataFrame, places: DataFrame, min_docs: int, alike: float) -> DataFrame:
     """(leaf, form) of the lines that their leaf's template covers.
 
     Only leaves with two forms or more are read again. In such a leaf a position is fixed where one token stands in over
     half of the forms, and a field elsewhere; the template covers the forms that agree with at least `alike` of their
     positions.
     """
-    leaves = lines.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.count("*").alias("n")).filter(
+    leaves = places.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.count("*").alias("n")).filter(
         (F.col("a") != F.col("b")) & (F.col("n") >= min_docs)).select("leaf")
     forms = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"))
     forms = saved(forms, "line-forms")
@@ -59,7 +65,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """
     rows = _lines(docs, key, text, depth, min_tokens)
     places = saved(rows.select("id", "doc", "line_no", "leaf", "form"), "line-places")
-    covered = saved(_generalised(rows, min_docs, alike), "line-covered").withColumn("general", F.lit(True))
+    covered = saved(_generalised(rows, places, min_docs, alike), "line-covered").withColumn("general", F.lit(True))
     places = places.join(covered, ["leaf", "form"], "left").withColumn(
         "template", F.when(F.col("general"), F.lit(0).cast("long")).otherwise(F.col("form"))).withColumn(
         "own", F.col("general").isNull())
