@@ -26,7 +26,7 @@ BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 ODD_BLANKS = re.compile(r"[\x1c-\x1f]")
 PLAIN = re.compile(r"[\x00-\xff]*")
 # How the tokenizer cuts lower-case chunks of Latin-1 characters into parts.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºßà-öø-ÿ]+|[0-9²³¹¼-¾]|[^0-9a-zªµºßà-öø-ÿ²³¹¼-¾]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºßà-öø-ÿ]+|[0-9²³¹¼-¾]|[^0-9a-zªµºßà-öø-ÿ²³¹¼-¾\x85\xa0]+")
 
 _encoders: dict[str, Callable[[list[str | None]], list[bytes]]] = {}
 
