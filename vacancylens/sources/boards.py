@@ -35,7 +35,7 @@ def _span(lo: Column, hi: Column) -> Column:
     return F.concat(thousands(F.coalesce(lo, F.lit(0))), F.lit("–"), thousands(F.coalesce(F.nullif(hi, F.lit(0)), lo)))
 
 
-def greenhouse(payloads: DataFrame, since: Column | None = None, cap: int | None = fixed.SOURCE_CAPS["boards"]) -> DataFrame:
+def greenhouse(payloads: DataFrame, since: Column | None = None, cap: int | None = None) -> DataFrame:
     """payloads(token, body) to postings; pay comes in cents, bodies are escaped HTML in an escaped string."""
     rows = payloads.select("token", F.posexplode(F.from_json("body", GREENHOUSE).jobs).alias("nth", "j")).filter("j is not null")
     rows = rows.withColumn("posted", F.coalesce(iso_timestamp("j.first_published"), iso_timestamp("j.updated_at")))
@@ -53,7 +53,7 @@ def greenhouse(payloads: DataFrame, since: Column | None = None, cap: int | None
         posted=F.col("posted"), body=html_to_text(unescape_common(blank("j.content")))))
 
 
-def lever(payloads: DataFrame, since: Column | None = None, cap: int | None = fixed.SOURCE_CAPS["boards"]) -> DataFrame:
+def lever(payloads: DataFrame, since: Column | None = None, cap: int | None = None) -> DataFrame:
     """payloads(token, body) to postings; pay comes in whole units, the body is the description and every list block."""
     rows = payloads.select("token", F.posexplode(F.from_json("body", LEVER)).alias("nth", "j")).filter("j is not null")
     rows = rows.withColumn("posted", epoch_millis("j.createdAt"))

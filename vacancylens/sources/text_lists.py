@@ -9,7 +9,7 @@ from vacancylens.functions.links import normalize_link
 from vacancylens.functions.text import strip
 
 
-def url_list(lines: DataFrame, cap: int | None = 200, value: str = "value", ord_col: str = "ord") -> DataFrame:
+def url_list(lines: DataFrame, cap: int | None = None, value: str = "value", ord_col: str = "ord") -> DataFrame:
     """Links of a list: comments off, non-links off, first of each normalised link, at most `cap` of them."""
     bare = F.btrim(strip(F.split_part(value, F.lit("#"), F.lit(1))), F.lit("<>\"'"))
     rows = lines.select(ord_col, bare.alias("url")).filter(F.lower("url").rlike("^https?://"))
