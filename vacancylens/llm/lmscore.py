@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,16 +60,19 @@ def token_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _distinct(words: np.ndarray, pairs: np.ndarray, texts: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, part of each): the distinct keys of a block in the order of their parts, the same in every pass."""
+    """(keys, part of each): the sorted distinct keys of a block, the same in every pass. Parts are equal ranges of keys."""
     keys = np.unique(np.concatenate((words, pairs, np.full(min(texts, 1), START, np.uint64))))
-    part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return keys[order], part[order]
+    return keys, (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    return order[np.searchsorted(keys[order], wanted)]
+def _squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed: the high bytes of small numbers take next to nothing."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _unpack(payload: bytes) -> pa.Table:
@@ -122,7 +126,8 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     knows the vocabulary alone. Other columns are not read.
 
     Counts grow with the corpus and are never gathered in one place: each block of documents sends the distinct words and
-    pairs that it holds, with its counts, to the parts of the key space; a part adds them up and answers each block.
+    pairs that it holds, with its counts, to the parts of the key space; a part adds them up and answers each block. Keys
+    travel as gaps between sorted keys, and all numbers compressed by byte planes.
     """
     ship(docs.sparkSession)
     blocks = _blocks(docs, key, text)
@@ -149,13 +154,13 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
             flags = np.zeros(len(texts), bool)
             flags[right["chosen"][0].as_py() or []] = True
             picked = np.repeat(flags, per_text)
-            place_of = np.concatenate((_places(keys, words), _places(keys, pairs)))
+            place_of = np.searchsorted(keys, np.concatenate((words, pairs)))
             every = np.bincount(place_of, minlength=len(keys))
             some = np.bincount(place_of[np.concatenate((picked, picked))], minlength=len(keys))
-            start = _places(keys, np.array([START], np.uint64))
+            start = np.searchsorted(keys, np.array([START], np.uint64))
             every[start], some[start] = len(texts), flags.sum()
             for p, a, b in _runs(part):
-                for column, value in zip(rows, (name, p, keys[a:b].tobytes(), every[a:b].astype("<u4").tobytes(), some[a:b].astype("<u4").tobytes())):
+                for column, value in zip(rows, (name, p, _squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), _squeezed(every[a:b].astype("<u4")), _squeezed(some[a:b].astype("<u4")))):
                     rows[column].append(value)
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
 
@@ -163,12 +168,12 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
         requests, "block string, part long, keys binary, all binary, chosen binary")
 
     def answer(rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_py(), "<u8") for k in rows["keys"]]
+        keys = [np.cumsum(_numbers(k.as_py(), "<u8"), dtype=np.uint64) for k in rows["keys"]]
         known, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(at, weights=np.concatenate([np.frombuffer(k.as_py(), "<u4") for k in rows[c]])) for c in ("all", "chosen")]
+        sums = [np.bincount(at, weights=np.concatenate([_numbers(k.as_py(), "<u4") for k in rows[c]])) for c in ("all", "chosen")]
         word = (known & np.uint64(1) == 0) & (known != np.uint64(START))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        back = [[s.astype("<f4").tobytes() for s in np.split(total[at], cuts)] for total in sums]
+        back = [[_squeezed(s.astype("<u8")) for s in np.split(total[at], cuts)] for total in sums]
         facts = [int(word.sum()), *(float(total[word].sum()) for total in sums)]
         return pa.table({"block": rows["block"].combine_chunks(), "part": rows["part"].combine_chunks(), "all": pa.array(back[0], pa.binary()), "chosen": pa.array(back[1], pa.binary()),
                          **{n: pa.array([v] * len(rows), t) for n, v, t in zip(("vocabulary", "all_tokens", "chosen_tokens"), facts, (pa.int64(), pa.float64(), pa.float64()))}})
@@ -190,7 +195,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
             docs_of = _unpack(payload.as_py())
             words, before, pairs, per_text = token_keys(docs_of["text"].to_pylist())
             keys, _ = _distinct(words, pairs, len(per_text), parts)
-            at = [_places(keys, k) for k in (words, before, pairs)]
+            at = [np.searchsorted(keys, k) for k in (words, before, pairs)]
             text_no = np.repeat(np.arange(len(per_text)), per_text)
             held = np.concatenate([text_no * len(keys) + at[0], text_no * len(keys) + at[2]])
             cells, own = np.unique(held, return_counts=True)
@@ -204,7 +209,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
             flags[chosen] = True
             loss = []
             for column, total, mine in (("chosen", totals[1], flags[text_no]), ("all", totals[0], np.ones(len(text_no), bool))):
-                count = np.concatenate([np.frombuffer(b.as_py(), "<f4") for b in right[column]]).astype(float)
+                count = np.concatenate([_numbers(b.as_py(), "<u8") for b in right[column]]).astype(float)
                 word, ahead, pair = (np.maximum(count[p] - own_of(p) * mine, 0) for p in at)
                 single = (word + add) / (total - per_text[text_no] * mine + add * max(vocabulary, 1))
                 both = np.where(ahead > 0, pair / np.maximum(ahead, 1), 0)
