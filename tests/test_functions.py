@@ -1,6 +1,7 @@
 """Column functions on literals."""
 
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -88,6 +89,9 @@ def test_text_helpers(one):
     assert one(text.fingerprint("t"), t="  a \n b ") == hashlib.sha256(b"a b").hexdigest()[:12]
     assert one(text.fingerprint("t"), t=" \n ") == ""
     assert one(text.strip_tags("t"), t="<p>Fish &amp; chips</p>") == "Fish & chips"
+    for t in ("caf&eacute; &#233; &#xE9; &rsquo; &hellip;", "&copy2024 &notit; &none; a&b &", "&#146; &#0; &#55296; &#1114112; &#99999999999; &#x1F600; &#11;x",
+              "&amp;eacute; &amp;lt; &lt;", "&eacute", "&#;&#x;&#xg &acE; &NotEqualTilde;", ""):
+        assert one(text.unescape("t"), t=t) == html.unescape(t), t
     assert one(text.html_to_text("t"), t="<style>x</style><p>a</p>\n\n\n<script>b</script><p> c </p>") == "a\n\nc"
     assert one(text.thousands(F.lit(1234567.5))) == "1,234,568"
 

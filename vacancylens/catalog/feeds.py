@@ -163,7 +163,7 @@ def src_theirstack(spark, sf):
         F.expr("doc_id % 3 = 0").alias("remote"), F.expr("doc_id % 3 = 1").alias("hybrid"), _when("doc_id % 4 = 1", F.lit(120000.0)).alias("min_annual_salary_usd"),
         _when("doc_id % 4 = 1", F.lit(150000.0)).alias("max_annual_salary_usd"), F.array(F.lit("contract"), F.lit("temporary")).alias("employment_statuses"),
         F.array(*[F.lit(f"a{i}") for i in range(1, 15)]).alias("technology_slugs"))
-    return _feed_out(feeds.theirstack(docs(spark, sf).select(F.col("doc_id").alias("ord"), F.to_json(item).alias("body"))))
+    return _feed_out(feeds.theirstack(docs(spark, sf).select(F.col("doc_id").alias("ord"), F.to_json(item).alias("body")), max_slugs=fixed.THEIRSTACK_SLUGS))
 
 
 _CLEAN = f"trim({_entities('text')}, {_WS})"

@@ -70,7 +70,7 @@ def hard_skip(spark, sf):
     return screened(spark, sf).select("ord", rules.skip_reason("title", "jd_text").alias("skip_reason"))
 
 
-@query("screen_bypass", "select doc_id, length(trim(substr(text, 1, 2500), ' ' || chr(9) || chr(10) || chr(13))) < 80 as bypass from documents")
+@query("screen_bypass", "select doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 80 as bypass from documents")
 def screen_bypass(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rules.too_short_to_screen("text").alias("bypass"))
 
@@ -139,7 +139,7 @@ def linked_text(spark, sf):
 
 def _entities(x: str) -> str:
     from vacancylens.functions.text import _ENTITIES
-    for old, new in _ENTITIES:
+    for old, new in (("&copy;", "©"), ("&middot;", "·"), *_ENTITIES):  # pages hold the first two beside the common ones
         x = f"replace({x}, {t.q(old)}, {t.q(new)})"
     return x
 
@@ -311,7 +311,7 @@ def board_head_query(spark, sf):
   select ord, 'TITLE: ' || coalesce(nullif(title, ''), 'unknown') || chr(10) || 'COMPANY: ' || coalesce(nullif(company, ''), 'unknown')
     || chr(10) || 'SOURCE: ' || source_platform || chr(10) || 'POSTED: ' || coalesce(nullif(posted_hint, ''), 'unknown')
     || chr(10) || 'LINK: ' || coalesce(nullif(link, ''), '(none — inline recruiter email)') || chr(10) || 'JD_SOURCE: ' || jd_source
-    || chr(10) || chr(10) || 'JOB DESCRIPTION:' || chr(10) || coalesce(nullif(substr({JD}, 1, 8000), ''), {t.q(fixed.SCORER_NO_TEXT)}) as body
+    || chr(10) || chr(10) || 'JOB DESCRIPTION:' || chr(10) || coalesce(nullif({JD}, ''), {t.q(fixed.SCORER_NO_TEXT)}) as body
   from postings""", "postings"))
 def score_input(spark, sf):
     df = screened(spark, sf)

@@ -119,8 +119,12 @@ def url_route(spark, sf):
         links.fetch_route("url").alias("route"), links.posting_number("url").alias("number"))
 
 
+_MARKED = "(select page_id, html || '<p>caf&eacute; &#233; &#xE9; &#146; &rsquo;&hellip; &copy2024 &none; &</p>' as html from pages)"
+_MORE = (("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&#233;", "é"), ("&#xE9;", "é"), ("&#146;", "’"), ("&rsquo;", "’"), ("&hellip;", "…"), ("&copy2024", "©2024"))
+
+
 def _entities(x: str) -> str:
-    for old, new in text._ENTITIES:
+    for old, new in (*_MORE, *text._ENTITIES):
         x = f"replace({x}, {t.q(old)}, {t.q(new)})"
     return x
 
@@ -133,9 +137,10 @@ _WS = t.q(" \t\n\r")
     trim(regexp_replace(array_to_string(list_transform(string_split_regex({_entities(
       "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script *>|<style.*?</style *>|<!--.*?-->', '', 'g'), '(?i)<!doctype[^>]*>', '', 'g'), '<[^>]+>', chr(10), 'g')"
     )}, '\\r\\n|[\\n\\r]'), lambda l: trim(l, {_WS})), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}) as visible
-  from pages""")
+  from {_MARKED}""")
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select(
+    marked = F.concat("html", F.lit("<p>caf&eacute; &#233; &#xE9; &#146; &rsquo;&hellip; &copy2024 &none; &</p>"))
+    return table(spark, sf, "pages").select("page_id", marked.alias("html")).select(
         "page_id", text.strip_tags("html").alias("stripped"), text.html_to_text("html").alias("visible"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,21 +123,60 @@ def whole_word(pattern: str) -> str:
     return UNICODE_NOCASE + pattern
 
 
-# The entities that matter in practice; numeric ones are rare in landed text and go through the pandas path.
+# The entities that most landed texts hold; texts with others are decoded reference by reference.
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
              ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
 
 
-def unescape_common(c: Column | str) -> Column:
-    out = col(c)
-    for entity, char in _ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+_OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in _ENTITIES) + ");)[#A-Za-z]"
+_CODED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+_UNCLOSED = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)) + ")"
+_C1 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a numeric reference: code points that are none give U+FFFD, 128 to 159 mean Windows-1252."""
+    dropped = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (
+        code.bitwiseAND(F.lit(0xFFFE).cast("bigint")) == 0xFFFE)
+    return (F.when((code <= 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("�"))
+            .when(code.between(0x80, 0x9F), F.try_element_at(F.array(*map(F.lit, _C1)), (code - 0x7F).cast("int")))
+            .when(dropped, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+
+def _after_ampersand(p: Column) -> Column:
+    """A piece of text that followed an ampersand, with the reference that it begins with, if any, decoded."""
+    coded = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _CODED.items())), F.lit("\x01"), F.lit("\x02"))
+    digits, hexed = F.regexp_extract(p, "^#0*([0-9]*)", 1), F.regexp_extract(p, "^#[xX]0*([0-9a-fA-F]*)", 1)
+    code = F.when(p.rlike("^#[0-9]"), F.when(F.length(digits) > 8, F.lit(-1)).otherwise(F.concat(F.lit("0"), digits).try_cast("bigint"))).otherwise(
+        F.when(F.length(hexed) > 8, F.lit(-1)).otherwise(F.conv(F.concat(F.lit("0"), hexed), 16, 10).try_cast("bigint")))
+    closed, unclosed = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(p, _UNCLOSED, 1)
+    return (F.when(p.rlike("^#([0-9]|[xX][0-9a-fA-F])"), F.concat(
+                _numbered(code.cast("bigint")), F.regexp_replace(p, "^#([0-9]+|[xX][0-9a-fA-F]+);?", "")))
+            .when(F.try_element_at(coded, closed).isNotNull(), F.concat(F.try_element_at(coded, closed), F.substr(p, F.length(closed) + 2)))
+            .when(unclosed != "", F.concat(F.try_element_at(coded, unclosed), F.substr(p, F.length(unclosed) + 1)))
+            .otherwise(F.concat(F.lit("&"), p)))
+
+
+def unescape(c: Column | str) -> Column:
+    """Entities decoded once each: named, decimal and hexadecimal, as HTML5 names them.
+
+    Texts that hold no others than the common ones take plain replacements, the rest is decoded reference by reference.
+    """
+    def decoded(x: Column) -> Column:
+        common = x
+        for entity, char in _ENTITIES:
+            common = F.replace(common, F.lit(entity), F.lit(char))
+        pieces = F.split(x, "&")
+        later = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.when(x.rlike(_OTHER_ENTITY), F.concat(
+            F.try_element_at(pieces, F.lit(1)), F.array_join(F.transform(later, _after_ampersand), ""))).otherwise(common)
+
+    return let(col(c), decoded)
 
 
 def strip_tags(c: Column | str, limit: int | None = None) -> Column:
     """Tags to spaces, entities decoded, ends trimmed. `limit` cuts the result where a format needs it."""
-    text = strip(unescape_common(F.regexp_replace(blank(c), "<[^>]+>", " ")))
+    text = strip(unescape(F.regexp_replace(blank(c), "<[^>]+>", " ")))
     return text if limit is None else F.substring(text, 1, limit)
 
 
@@ -144,7 +184,7 @@ def html_to_text(c: Column | str) -> Column:
     """Visible text: scripts and styles dropped, tags end lines, lines trimmed, blank runs collapsed."""
     visible = F.regexp_replace(blank(c), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", "")
     lines = F.regexp_replace(visible, "<[^>]+>", "\n")
-    trimmed = F.array_join(F.transform(F.split(unescape_common(lines), r"\r\n|[\n\r]"), strip), "\n")
+    trimmed = F.array_join(F.transform(F.split(unescape(lines), r"\r\n|[\n\r]"), strip), "\n")
     return strip(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"))
 
 

@@ -117,11 +117,15 @@ def within_ttl(cache: DataFrame, probes: DataFrame, max_age: int = fixed.CACHE_T
     """Latest cached row of each probe not older than the limit and not from the future.
 
     probes(key, today). Days are cut into stretches of the limit's length and a probe looks into its own and the one
-    before, so a hot key is spread over its stretches and never meets its whole history.
+    before, so a hot key is spread over its stretches and never meets its whole history. Of several rows of one key and
+    day, the one with the smallest hash of its values counts.
     """
     stretch = max_age + 1
     origin = F.lit("1970-01-01").cast("date")
-    kept = cache.dropDuplicates([key, stamp]).withColumn("_stretch", F.floor(F.datediff(F.col(stamp), origin) / stretch))
+    others = [c for c in cache.columns if c not in (key, stamp)]
+    once = cache.select(key, stamp).distinct() if not others else cache.groupBy(key, stamp).agg(
+        F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_row")).select(key, stamp, "_row.*")
+    kept = once.withColumn("_stretch", F.floor(F.datediff(F.col(stamp), origin) / stretch))
     own = F.floor(F.datediff(F.col(at), origin) / stretch)
     asked = probes.select(key, at).distinct().withColumn("_stretch", F.explode(F.array(own, own - 1)))
     hits = asked.join(kept, [key, "_stretch"]).withColumn("age_days", F.datediff(F.col(at), F.col(stamp)))

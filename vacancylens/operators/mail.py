@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacancylens import fixed
 from vacancylens.functions.links import link_identity, normalize_link
 from vacancylens.functions.text import (
-    UNICODE_NOCASE, any_contains, blank, col, either, strip, unescape_common,
+    UNICODE_NOCASE, any_contains, blank, col, either, strip, unescape,
 )
 
 
@@ -68,7 +68,7 @@ def classify_links(df: DataFrame, doc: str, text: str, cap: int | None = fixed.M
     """
     found = F.regexp_extract_all(blank(text), F.lit(f"({fixed.URL_IN_TEXT})"), F.lit(1))
     rows = df.select(doc, F.posexplode(found).alias("pos", "raw"))
-    url = unescape_common(F.rtrim(F.col("raw"), F.lit(".,)>\"'")))
+    url = unescape(F.rtrim(F.col("raw"), F.lit(".,)>\"'")))
     rows = rows.select(doc, "pos", url.alias("url")).withColumn("identity", link_identity("url"))
     nocase = UNICODE_NOCASE
     junk = (F.col("url").rlike(nocase + fixed.ASSET_URL) | F.col("url").rlike(nocase + fixed.JUNK_HOST)

@@ -173,8 +173,11 @@ def attribution_lines(counts: DataFrame, source: str = "source") -> DataFrame:
 
 
 def eval_spread(results: DataFrame, runs: Sequence[str], case: str = "case", run: str = "run", mean: str = "mean") -> DataFrame:
-    """Case by run matrix of means with the spread per case; a case with one run has spread 0."""
-    wide = results.groupBy(case).pivot(run, list(runs)).agg(F.first(mean))
+    """Case by run matrix of means with the spread per case; a case with one run has spread 0.
+
+    results has one row per case and run; of repeated ones the highest mean counts.
+    """
+    wide = results.groupBy(case).pivot(run, list(runs)).agg(F.max(mean))
     got = F.array_compact(F.array(*[F.col(f"`{r}`") for r in runs]))
     spread = F.when(F.size(got) > 1, F.bround(F.array_max(got) - F.array_min(got), 2)).otherwise(F.lit(0.0))
     return wide.withColumn("spread", spread)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vacancylens import fixed
 from vacancylens.functions.text import any_contains, blank, strip
 from vacancylens.operators.pages import needs_manual_review
+from vacancylens.operators.windows import ranked_within
 
 
 def _rank_of(c: Column, names: Sequence[str], missing: int) -> Column:
@@ -98,8 +99,9 @@ def with_section(df: DataFrame, batch: Sequence[str] = ("run",), ord_col: str =
 def reason_groups(df: DataFrame) -> DataFrame:
     """Review rows per reason with their display order: size, then name, the unnamed reason last."""
     groups = df.groupBy(review_reason().alias("reason")).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.col("reason") == fixed.UNGROUPED_REASON, F.desc("n"), "reason")  # one row per reason
-    return groups.withColumn("place", F.row_number().over(order))
+    order = F.struct((F.col("reason") == fixed.UNGROUPED_REASON).alias("unnamed"), (-F.col("n")).alias("size"), "reason")
+    placed = ranked_within(groups.withColumn("_all", F.lit(0)), ["_all"], order, "place").drop("_all")
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 def liveness_targets(df: DataFrame, cap: int = fixed.LIVENESS_CAP, ord_col: str = "ord") -> DataFrame:

@@ -58,9 +58,10 @@ def skip_reason(title: Column | str, text: Column | str) -> Column:
     )
 
 
-def too_short_to_screen(text: Column | str) -> Column:
-    """Rows the second-stage screen keeps without asking."""
-    return F.length(strip(F.substring(blank(text), 1, fixed.SCREEN_TEXT_CHARS))) < fixed.SCREEN_MIN_CHARS
+def too_short_to_screen(text: Column | str, chars: int | None = None) -> Column:
+    """Rows the second-stage screen keeps without asking. `chars` is the length of text that the screen is shown, if cut."""
+    shown = blank(text) if chars is None else F.substring(blank(text), 1, chars)
+    return F.length(strip(shown)) < fixed.SCREEN_MIN_CHARS
 
 
 def stub_judgment(reason: Column | str) -> Column:
@@ -88,12 +89,12 @@ def split_by_screen(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("skip_reason").isNull()), df.filter(F.col("skip_reason").isNotNull())
 
 
-def scorer_input(df: DataFrame, precedents: str | None = None) -> Column:
-    """Labelled fields of a posting as one text for a scorer; the text's cut is the scorer's own limit."""
+def scorer_input(df: DataFrame, precedents: str | None = None, chars: int | None = None) -> Column:
+    """Labelled fields of a posting as one text for a scorer; `chars` cuts the posting's text for a scorer with a limit."""
     def shown(name: str, missing: str) -> Column:
         return either(name, F.lit(missing))
 
-    body = either(F.substring(blank("jd_text"), 1, fixed.SCORER_TEXT_CHARS), F.lit(fixed.SCORER_NO_TEXT))
+    body = either("jd_text" if chars is None else F.substring(blank("jd_text"), 1, chars), F.lit(fixed.SCORER_NO_TEXT))
     head = F.concat(
         F.lit("TITLE: "), shown("title", "unknown"), F.lit("\nCOMPANY: "), shown("company", "unknown"),
         F.lit("\nSOURCE: "), shown("source_platform", "unknown"), F.lit("\nPOSTED: "), shown("posted_hint", "unknown"),
@@ -104,8 +105,13 @@ def scorer_input(df: DataFrame, precedents: str | None = None) -> Column:
     return F.concat(F.when(blank(precedents) != "", F.concat(col(precedents), F.lit("\n\n"))).otherwise(F.lit("")), head)
 
 
-def precedent_block(df: DataFrame, by: str, rank: str = "rank") -> DataFrame:
-    """One text per query row from its ranked neighbours; the neighbour lists are k rows long by construction."""
+def precedent_block(df: DataFrame, by: str, rank: str = "rank", rationale_chars: int | None = None) -> DataFrame:
+    """One text per query row from its ranked neighbours; the neighbour lists are k rows long by construction.
+
+    `rationale_chars` cuts each neighbour's rationale where the reader has a limit.
+    """
+    rationale = strip(blank("rationale"))
+    rationale = rationale if rationale_chars is None else F.substring(rationale, 1, rationale_chars)
     traits = F.concat_ws(
         " · ", F.when(F.col("is_agency"), F.lit("agency")), F.nullif("employment_type", F.lit("")),
         F.nullif("cadence", F.lit("")), F.nullif("rate", F.lit("")))
@@ -114,7 +120,6 @@ def precedent_block(df: DataFrame, by: str, rank: str = "rank") -> DataFrame:
         either("company", F.lit("(unknown)")), F.lit(" — "), either("verdict", F.lit("unknown")), F.lit(" "),
         F.coalesce(F.col("fit_score"), F.lit(0)).cast("string"), F.lit("/100 · "), either("tier", F.lit("unknown")),
         F.when(traits != "", F.concat(F.lit(" · "), traits)).otherwise(F.lit("")),
-        F.when(strip(blank("rationale")) != "", F.concat(
-            F.lit("\n   why: "), F.substring(strip(blank("rationale")), 1, 300))).otherwise(F.lit("")))
+        F.when(rationale != "", F.concat(F.lit("\n   why: "), rationale)).otherwise(F.lit("")))
     listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), line.alias("line"))))
     return df.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x.line), "\n").alias("precedents"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacancylens import fixed
 from vacancylens.functions.dates import epoch_millis, in_window, iso_timestamp
 from vacancylens.functions.identity import pretty_token
-from vacancylens.functions.text import blank, either, html_to_text, strip, thousands, unescape_common
+from vacancylens.functions.text import blank, either, html_to_text, strip, thousands, unescape
 from vacancylens.sources.posting import board_columns
 
 GREENHOUSE = (
@@ -50,7 +50,7 @@ def greenhouse(payloads: DataFrame, since: Column | None = None, cap: int | None
     return rows.select("token", *board_columns(
         link=F.col("j.absolute_url"), company=either(strip(blank("j.company_name")), pretty_token("token")), title=strip(blank("j.title")),
         platform="greenhouse", location=strip(blank("j.location.name")), pay=F.array_join(F.array_compact(F.transform(ranges, pay)), " · "),
-        posted=F.col("posted"), body=html_to_text(unescape_common(blank("j.content")))))
+        posted=F.col("posted"), body=html_to_text(unescape(blank("j.content")))))
 
 
 def lever(payloads: DataFrame, since: Column | None = None, cap: int | None = None) -> DataFrame:

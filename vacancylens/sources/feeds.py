@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancylens import fixed
@@ -30,11 +30,10 @@ def _rows(payload: DataFrame, kind: str, *extra: str) -> DataFrame:
 
 
 def _first_link(rows: DataFrame, link: Column) -> DataFrame:
-    """First row of each non-empty link; the whole row rides on the minimum, which combines before the shuffle."""
+    """First row of each non-empty link: a rank limit of one, which cuts each link's rows before the shuffle."""
     keyed = rows.withColumn("_link", link).filter(blank("_link") != "")
-    others = [c for c in rows.columns if c != "ord"]
-    best = keyed.groupBy("_link").agg(F.min("ord").alias("ord"))
-    return keyed.join(best, ["_link", "ord"], "left_semi").select("ord", *others)
+    first = F.row_number().over(Window.partitionBy("_link").orderBy("ord"))
+    return keyed.withColumn("_n", first).filter(F.col("_n") == 1).select(*rows.columns)
 
 
 def _non_zero(c: Column) -> Column:
@@ -87,8 +86,8 @@ def jsearch(payload: DataFrame) -> DataFrame:
         cadence=F.when(remote, F.lit("remote")).otherwise(F.lit("onsite")), rate=rate, posted=F.substring(blank("j.job_posted_at_datetime_utc"), 1, 10)))
 
 
-def theirstack(payload: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """`max_rows` cuts the pull in order, as a paid feed is; landed tables are read whole."""
+def theirstack(payload: DataFrame, max_rows: int | None = None, max_slugs: int | None = None) -> DataFrame:
+    """`max_rows` cuts the pull in order, as a paid feed is, and `max_slugs` a row's technologies; neither cuts by default."""
     rows = _rows(payload, THEIRSTACK)
     if max_rows is not None:
         rows = rows.orderBy("ord").limit(max_rows)
@@ -99,12 +98,14 @@ def theirstack(payload: DataFrame, max_rows: int | None = None) -> DataFrame:
     level = F.replace(blank("j.seniority"), F.lit("_"), F.lit(" "))
     text = F.concat(F.when(level != "", F.concat(F.lit("Seniority: "), level, F.lit(". "))).otherwise(F.lit("")), blank("j.description"))
     none = F.array().cast("array<string>")
+    slugs = F.coalesce("j.technology_slugs", none)
+    slugs = slugs if max_slugs is None else F.slice(slugs, 1, max_slugs)
     return rows.select("ord", *posting_columns(
         title=F.col("j.job_title"), company=either(strip(blank("j.company")), F.lit(fixed.THEIRSTACK_AGENCY)), link=either("j.url", "j.final_url", "j.source_url"),
         source=F.lit("theirstack"), description=text, employment_type=F.array_join(F.coalesce("j.employment_statuses", none), ","),
         metro=F.when(remote, F.lit("Remote")).otherwise(either("j.short_location", "j.location")),
         cadence=F.when(remote, F.lit("remote")).when(hybrid, F.lit("hybrid")).otherwise(F.lit("onsite")), rate=rate,
-        tech=F.array_join(F.slice(F.coalesce("j.technology_slugs", none), 1, fixed.THEIRSTACK_SLUGS), ", "), posted=F.substring(blank("j.date_posted"), 1, 10)))
+        tech=F.array_join(slugs, ", "), posted=F.substring(blank("j.date_posted"), 1, 10)))
 
 
 def himalayas(payload: DataFrame) -> DataFrame:

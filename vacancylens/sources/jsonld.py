@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancylens import fixed
-from vacancylens.functions.text import any_contains, blank, either, strip, strip_tags, unescape_common
+from vacancylens.functions.text import any_contains, blank, either, strip, strip_tags, unescape
 from vacancylens.models import INT, LONG, TEXT, struct
 from vacancylens.sources.posting import posting_columns
 
@@ -119,7 +119,7 @@ def fields(df: DataFrame, jp: str = "jp") -> DataFrame:
 
 def _info(html: Column, label: str) -> Column:
     cell = F.regexp_extract(html, "(?is)" + fixed.INFO_CELL.format(label), 1)
-    return F.trim(F.regexp_replace(unescape_common(F.regexp_replace(cell, "<[^>]+>", " ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(cell, "<[^>]+>", " ")), r"\s+", " "))
 
 
 def agency_postings(pages: DataFrame) -> DataFrame:
