@@ -143,9 +143,8 @@ def _numbered(code: Column) -> Column:
             .when(dropped, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
 
 
-def _after_ampersand(p: Column) -> Column:
-    """A piece of text that followed an ampersand, with the reference that it begins with, if any, decoded."""
-    coded = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _CODED.items())), F.lit("\x01"), F.lit("\x02"))
+def _after_ampersand(p: Column, coded: Column) -> Column:
+    """A piece of text that followed an ampersand, with the reference that it begins with, if any, decoded by the map of names."""
     digits, hexed = F.regexp_extract(p, "^#0*([0-9]*)", 1), F.regexp_extract(p, "^#[xX]0*([0-9a-fA-F]*)", 1)
     code = F.when(p.rlike("^#[0-9]"), F.when(F.length(digits) > 8, F.lit(-1)).otherwise(F.concat(F.lit("0"), digits).try_cast("bigint"))).otherwise(
         F.when(F.length(hexed) > 8, F.lit(-1)).otherwise(F.conv(F.concat(F.lit("0"), hexed), 16, 10).try_cast("bigint")))
@@ -168,8 +167,9 @@ def unescape(c: Column | str) -> Column:
             common = F.replace(common, F.lit(entity), F.lit(char))
         pieces = F.split(x, "&")
         later = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-        return F.when(x.rlike(_OTHER_ENTITY), F.concat(
-            F.try_element_at(pieces, F.lit(1)), F.array_join(F.transform(later, _after_ampersand), ""))).otherwise(common)
+        names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _CODED.items())), F.lit("\x01"), F.lit("\x02"))
+        each = let(names, lambda coded: F.array_join(F.transform(later, lambda p: _after_ampersand(p, coded)), ""))
+        return F.when(x.rlike(_OTHER_ENTITY), F.concat(F.try_element_at(pieces, F.lit(1)), each)).otherwise(common)
 
     return let(col(c), decoded)
 
