@@ -25,7 +25,7 @@ def test_retrospective_adds_up(spark, sf):
     assert named <= window["postings"]
 
 
-@pytest.mark.parametrize("values", [[], [5.0], [1.0, 2.0], [3.0, 1.0, 2.0, 2.0], [float(i * i % 97) for i in range(500)], [7.0] * 30 + [1e6]])
+@pytest.mark.parametrize("values", [[], [5.0], [1.0, 2.0], [3.0, 1.0, 2.0, 2.0], [float(i * i % 97) for i in range(500)], [7.0] * 30 + [1e6], [float(i) for i in range(4000)] + [1e12]])
 def test_exact_percentiles(spark, values):
     df = spark.createDataFrame([("g", v) for v in values] + [("other", 1.0)], "g string, v double")
     got = {r["g"]: r for r in bands.exact_percentiles(df, ["g"], "v", buckets=8).collect()}
@@ -127,3 +127,31 @@ def test_index_stream_writes_only_changes(spark, tmp_path):
         df.write.mode("append").parquet(f"{base}/in")
         feed.index_feed(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/index", f"{base}/cp", df.schema).awaitTermination()
     assert sorted((r["key"], r["content"], r["batch"]) for r in spark.read.parquet(f"{base}/index").collect()) == [("k", "v1", 0), ("m", "x", 0), ("m", "y", 1)]
+
+
+def test_daily_table_holds_open_days(spark, tmp_path):
+    base = str(tmp_path)
+    for rows in ([("2024-01-01 10:00:00",), ("2024-01-02 09:00:00",)], [("2024-01-02 11:00:00",), (None,), ("2024-01-03 00:30:00",)]):
+        spark.createDataFrame(rows, "t string").selectExpr("cast(t as timestamp) as ts").write.mode("append").parquet(f"{base}/in")
+        totals = feed.daily_totals(spark.readStream.schema("ts timestamp").parquet(f"{base}/in"), "ts", F.count("*").alias("n"))
+        feed.keep_daily(totals, f"{base}/out", f"{base}/cp").awaitTermination()
+    got = spark.read.parquet(f"{base}/out").select(F.col("as_of").cast("string"), "n").collect()
+    assert sorted(map(tuple, got)) == [("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-03", 1)]
+
+
+def test_links_are_kept_unless_capped(spark):
+    from vacancylens.operators import mail
+
+    body = " ".join(f"https://boards.greenhouse.io/acme/jobs/{i}" for i in range(1000, 1300))
+    df = spark.createDataFrame([("d", body)], "doc string, body string")
+    assert mail.classify_links(df, "doc", "body").count() == 300
+    assert mail.classify_links(df, "doc", "body", cap=200).count() == 200
+
+
+def test_first_wins_settles_long_chains(spark):
+    from vacancylens.operators.graph import first_wins
+
+    nodes = spark.createDataFrame([(i, i) for i in range(6)], "node int, priority int")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "hi int, lo int")
+    got = {r["node"]: r["leader"] for r in first_wins(nodes, edges).collect()}
+    assert got == {i: i - i % 2 for i in range(6)}

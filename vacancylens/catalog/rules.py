@@ -151,17 +151,16 @@ BUCKETS_SQL = f""", lt as {LINKED_TEXT_SQL},
   u as (select doc, pos, {_entities("rtrim(raw, '.,)>\"''')")} as url from pos),
   k as (select doc, pos, url, {t.link_identity('url')} as identity,
     case when {t.contains_any('url', fixed.JOB_HOSTS)} then 'job' when not ({_JUNK}) then 'unclassified' end as bucket from u),
-  f as (select *, row_number() over (partition by doc, identity order by pos) as nth from k where bucket is not null and identity <> ''),
-  c as (select *, row_number() over (partition by doc, bucket order by pos) as place from f where nth = 1)"""
+  f as (select *, row_number() over (partition by doc, identity order by pos) as nth from k where bucket is not null and identity <> '')"""
 
 
-@query("url_buckets", with_views(BUCKETS_SQL + " select doc, cast(pos as int) as pos, identity, url, bucket from c where place <= 200", "mail"))
+@query("url_buckets", with_views(BUCKETS_SQL + " select doc, cast(pos as int) as pos, identity, url, bucket from f where nth = 1", "mail"))
 def url_buckets(spark, sf):
     return mails.classify_links(linked_text(spark, sf), "doc", "body")
 
 
 @query("unclassified_hosts", with_views(BUCKETS_SQL + f""",
-  un as (select url, regexp_extract(url, '^https?://([^/?#]+)', 1) as h from c where bucket = 'unclassified' and place <= 200),
+  un as (select url, regexp_extract(url, '^https?://([^/?#]+)', 1) as h from f where nth = 1 and bucket = 'unclassified'),
   shaped as (select case when h <> '' and (regexp_matches(h, {t.q('(?i)' + fixed.ATS_HOST)}) or regexp_matches(substr(url, strpos(url, h) + length(h)), {t.q('(?i)' + fixed.JOB_PATH)}))
     then lower(h) end as host from un)
   select host, count(*) as n, (select count(*) from un) as total_links from shaped where host is not null group by host order by n desc, host limit 12""", "mail"))
@@ -193,6 +192,21 @@ def flt_slug(spark, sf):
     return windows.matching_terms(parts, "p_name", {"kore1": ("ring", "blue", "widget")}).select("p_partkey", "term")
 
 
+# Each posting's title as the slug of one of the sources in turn.
+_SLUG_SOURCE = "case ord % {n} {whens} end".format(
+    n=len(fixed.DEV_TERMS), whens=" ".join(f"when {i} then '{name}'" for i, name in enumerate(fixed.DEV_TERMS)))
+_DEV_SQL = " or ".join("(source = '{}' and ({}))".format(name, " or ".join(f"contains(slug, {t.q(x)})" for x in terms))
+                       for name, terms in fixed.DEV_TERMS.items())
+
+
+@query("developer_role", with_views(f""", s as (select ord, {_SLUG_SOURCE} as source, replace(lower(title), ' ', '-') as slug from postings)
+  select ord, source, slug, ({_DEV_SQL}) as developer from s""", "postings"))
+def developer_role(spark, sf):
+    rows = postings_flat(spark, sf).select(
+        "ord", F.expr(_SLUG_SOURCE).alias("source"), F.expr("replace(lower(title), ' ', '-')").alias("slug"))
+    return rows.withColumn("developer", windows.is_developer_role("slug", "source"))
+
+
 @query("flt_attribution", with_views(f""", s as (select ord, case ord % 3 when 0 then 'adzuna' when 1 then 'remotive' else 'apex' end as source,
     {JD} || case when ord % 2 = 0 then {t.q(fixed.ATTRIBUTION['adzuna'])} else {t.q(fixed.ATTRIBUTION['remotive'])} end as jd_text from postings)
   select source, count(*) as n, sum(case when (source = 'adzuna' and not contains(jd_text, {t.q(fixed.ATTRIBUTION['adzuna'])}))

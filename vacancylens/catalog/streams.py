@@ -46,12 +46,12 @@ def stream_score(spark, sf):
 
 
 @query("daily_snapshots", """select strftime(ts, '%Y-%m-%d') as as_of, count(*) as n, count(*) filter (event_type = 'error') as errors from events
-  where cast(ts as date) < (select cast(max(ts) - interval 1 day as date) from events) group by 1""")
+  where ts is not null group by 1""")
 def daily_snapshots(spark, sf):
-    """Daily totals of the closed days: append mode writes a day once its watermark has passed."""
+    """Daily totals of all days, those still open included."""
     base = run_dir(spark, "daily")
     schema = table(spark, sf, "events").schema
     events = feed.read_table(spark, sf, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     totals = feed.daily_totals(events, "ts", F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    _finish(totals.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start())
-    return spark.read.parquet(f"{base}/out").select("as_of", "n", "errors")
+    _finish(feed.keep_daily(totals, f"{base}/out", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/out").select(F.col("as_of").cast("string").alias("as_of"), "n", "errors")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vacancylens import fixed
 from vacancylens.functions.text import blank, col
+from vacancylens.session import cut
 
 STATS = ("median", "mean", "p10", "p25", "p75", "p90")
 _PROBABILITIES = (("p10", 0.10), ("p25", 0.25), ("median", 0.50), ("p75", 0.75), ("p90", 0.90))
@@ -28,22 +29,22 @@ def distribution(value: Column) -> list[Column]:
     return out + [F.bround(F.avg(value), 2).alias("mean")]
 
 
-def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
+def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """n, mean and exact percentiles per group for values with an open domain.
 
-    Counts per distinct value combine before the shuffle. A histogram of at most `buckets` cells per group finds the
-    cells that hold the wanted ranks, and only those cells are sorted; no task sees a whole group.
+    Counts per distinct value combine before the shuffle and are dealt to ranges of (group, value) of about equal size,
+    `buckets` of them or as many as the session's shuffle partitions. Prefix counts find the ranges that hold the wanted
+    ranks, and only those are sorted. A range is no larger because values lie close together or one lies far off; no
+    task sees a group that spans several ranges.
     """
     keys = list(groups)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    span = counts.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"),
-        F.bround(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 2).alias("mean"))
-    width = F.col("hi") - F.col("lo")
-    cell = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int"))
-    placed = counts.join(span.select(*keys, "lo", "hi"), keys).select(*keys, cell.alias("cell"), "v", "c")
-    per_cell = placed.groupBy(*keys, "cell").agg(F.sum("c").alias("cell_n"))
+    order = [F.col(k) for k in (*keys, "v")]
+    dealt = counts.repartitionByRange(*order) if buckets is None else counts.repartitionByRange(buckets, *order)
+    placed = cut(dealt.withColumn("cell", F.spark_partition_id()))
+    per_cell = placed.groupBy(*keys, "cell").agg(F.sum("c").alias("cell_n"), F.sum(F.col("v") * F.col("c")).alias("cell_sum"))
+    span = per_cell.groupBy(*keys).agg(
+        F.sum("cell_n").alias("n"), F.bround(F.sum("cell_sum") / F.sum("cell_n"), 2).alias("mean"))
     upto = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     per_cell = per_cell.withColumn("before", F.coalesce(F.sum("cell_n").over(upto), F.lit(0)))
 

@@ -60,11 +60,12 @@ def email_source(sender: Column | str, content: Column | str) -> Column:
     )
 
 
-def classify_links(df: DataFrame, doc: str, text: str, cap: int | None = fixed.MAIL_URL_CAP) -> DataFrame:
+def classify_links(df: DataFrame, doc: str, text: str, cap: int | None = None) -> DataFrame:
     """Links in a text: one row per document and kept identity, bucket `job` or `unclassified`.
 
     A job host wins before the junk tests; junk is dropped and does not claim its identity; the first kept
-    occurrence stands for an identity. `cap` bounds each document's bucket, as the mail format does.
+    occurrence stands for an identity. All are kept unless `cap` bounds each document's bucket, as the mail format does
+    with `fixed.MAIL_URL_CAP`.
     """
     found = F.regexp_extract_all(blank(text), F.lit(f"({fixed.URL_IN_TEXT})"), F.lit(1))
     rows = df.select(doc, F.posexplode(found).alias("pos", "raw"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +25,21 @@ def read_table(spark: SparkSession, folder: str, file: str, schema: T.StructType
 
 def load_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table of this feed, empty before its first batch."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+
+
+def of_batch(table: DataFrame, batch: DataFrame, key: str = "key") -> DataFrame:
+    """The rows of a table that grows for ever whose key the batch holds.
+
+    The batch's keys are the small side: while they fit the session's broadcast size Spark sends them to the table's
+    splits, and the table is scanned but not shuffled.
+    """
+    return table.join(batch.select(key).distinct(), key, "left_semi")
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -49,8 +61,8 @@ def drop_seen(stream: DataFrame, seen_path: str, out_path: str, checkpoint: str,
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = load_or_empty(spark, seen_path, SEEN).filter(F.col("batch") != batch_id).select(F.col("key").alias(key)).distinct()
-        fresh = batch.filter(F.col(key).isNotNull()).join(earlier, key, "left_anti")
+        earlier = load_or_empty(spark, seen_path, SEEN).filter(F.col("batch") != batch_id).select(F.col("key").alias(key))
+        fresh = batch.filter(F.col(key).isNotNull()).join(of_batch(earlier, batch, key), key, "left_anti")
         write_batch(first_per_key(fresh, key, ord_col).select(*stream.columns), out_path, batch_id)
         out = load_or_empty(spark, out_path, written).filter(F.col("batch") == batch_id)
         write_batch(out.select(F.col(key).alias("key")), seen_path, batch_id)
@@ -75,7 +87,8 @@ def score_feed(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], stat
         if "duplicates" not in scored.columns:
             scored = scored.withColumn("duplicates", F.lit(None).cast("array<struct<id:string>>"))
         earlier = load_or_empty(spark, seen_path, SEEN).filter(F.col("batch") != batch_id).select("key")
-        write_batch(new_keys(seen_keys(scored), earlier), seen_path, batch_id)
+        keys = seen_keys(scored)
+        write_batch(new_keys(keys, of_batch(earlier, keys)), seen_path, batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -92,6 +105,18 @@ def daily_totals(stream: DataFrame, time: str, *measures: Column, delay: str = "
         "as_of", F.date_format("w.start", "yyyy-MM-dd")).drop("w")
 
 
+def keep_daily(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """`daily_totals` as a table with one partition per day, open days included.
+
+    Every batch gives the days it changed with their totals so far, which replace what the table had of them; a batch that
+    runs again writes the same.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(path)
+
+    return totals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
 def index_feed(stream: DataFrame, index_path: str, checkpoint: str, schema: T.StructType) -> StreamingQuery:
     """Only new and changed documents of each batch reach the index table (and an embedder behind it).
 
@@ -101,7 +126,7 @@ def index_feed(stream: DataFrame, index_path: str, checkpoint: str, schema: T.St
 
     def step(batch: DataFrame, batch_id: int) -> None:
         known = load_or_empty(batch.sparkSession, index_path, versioned).filter(F.col("batch") != batch_id)
-        current = newest_per_key(known, "key", "batch", "key")
+        current = newest_per_key(of_batch(known, batch), "key", "batch", "key")
         write_batch(changed_documents(newest_per_key(batch, "key"), current).drop("change"), index_path, batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
