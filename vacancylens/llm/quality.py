@@ -16,7 +16,7 @@ from vacancylens.llm.common import crc32_text, ship
 
 TRAIN_DOCS = 4000
 TRAIN_LINES = 64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 ROUNDS = 200
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "blank": b" \t\x0b\x0c\r",
