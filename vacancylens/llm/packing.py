@@ -19,8 +19,8 @@ from vacancylens.llm.common import saved, ship
 LENGTH = 4096
 END_ID = 1
 GROUP_PIECES = 16_384
-CACHE_CHUNKS = 800_000
-CACHE_PARTS = 400_000
+CACHE_CHUNKS = 300_000
+CACHE_PARTS = 150_000
 BATCH_CHARS = 2 << 20
 BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 ODD_BLANKS = re.compile(r"[\x1c-\x1f]")
