@@ -20,8 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their recurring lines; a document that held nothing else goes."""
-    rows = linededup.drop_repeated_lines(docs)
+    """Texts without the lines that two documents or more hold; a document that held nothing else goes."""
+    rows = linededup.drop_repeated_lines(docs, min_docs=2)
     changed = F.col("dropped_lines") > 0
     return rows.filter(~F.coalesce(linededup.all_lost(rows), F.lit(False))).withColumn(
         "n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)

@@ -112,6 +112,17 @@ def test_line_dedup(spark, odd):
     assert back.count() == len(ODD) and set(odd.columns) <= set(back.columns) and not linededup.drop_repeated_lines(odd.limit(0)).collect()
 
 
+def test_pipeline_drops_a_line_of_two_documents(spark, sf):
+    import corpus_pipeline as pipeline
+
+    shared = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50))
+    pair = [(1, f"alpha stands here alone\n{shared}"), (2, f"{shared}\nbeta is of its own kind"), (3, "gamma has no such line")]
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in pair], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {r["doc_id"]: r for r in pipeline.drop_lines(spark, frame, sf).collect()}
+    assert rows[1]["text"] == pair[0][1] and rows[3]["text"] == pair[2][1]
+    assert rows[2]["text"] == "beta is of its own kind" and rows[2]["n_chars"] == 23
+
+
 def plain_fingerprint(text):
     words = [w.decode() for w in words_of(text)]
     grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
