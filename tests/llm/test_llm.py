@@ -112,6 +112,18 @@ def test_line_dedup(spark, odd):
     assert back.count() == len(ODD) and set(odd.columns) <= set(back.columns) and not linededup.drop_repeated_lines(odd.limit(0)).collect()
 
 
+def test_line_dedup_finds_several_templates_of_a_leaf(spark):
+    def word(i, k=0):
+        return "".join(chr(97 + (i * 7 + k * 5 + j * (i + k + 3)) % 26) for j in range(6)) + chr(97 + i // 26) + chr(97 + i % 26)
+
+    families = ["the user account {} has been locked by admin today", "the user account {} was given rights to read files",
+                "the user account {} has been given back its old name"]
+    lines = [f.format(word(i)) for f in families for i in range(30)]
+    lines += ["the user account " + " ".join(word(i, k) for k in range(1, 8)) for i in range(40)]
+    got = linededup.drop_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got if not r["dropped_lines"]) == [0, 30, 60, *range(90, 130)]
+
+
 def test_pipeline_drops_a_line_of_two_documents(spark, sf):
     import corpus_pipeline as pipeline
 

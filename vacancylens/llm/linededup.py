@@ -35,23 +35,57 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int) ->
         F.xxhash64("tokens").alias("form"))
 
 
-def _generalised(lines: DataFrame, places: DataFrame, min_docs: int, alike: float) -> DataFrame:
-    """(leaf, form) of the lines that their leaf's template covers.
+def _generalised(lines: DataFrame, places: DataFrame, depth: int, min_docs: int, alike: float) -> DataFrame:
+    """(leaf, form, template) of the lines that a template of their leaf covers.
 
     Only leaves with two forms or more are read again. In such a leaf a position is fixed where one token stands in over
     half of the forms, and a field elsewhere; the template covers the forms that agree with at least `alike` of their
-    positions.
+    positions. The forms left over are tried again by themselves, until nothing more is covered. Where a template covers
+    none of a group's forms, the group is split: the positions past the lead are cut into one segment more than the
+    positions in which two forms may differ, so that alike forms share at least one, and each form goes with those that
+    share the segment of its that most forms hold, but not all. A form that shares none is a template of its own.
     """
     leaves = places.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.count("*").alias("n")).filter(
         (F.col("a") != F.col("b")) & (F.col("n") >= min_docs)).select("leaf")
     forms = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"))
-    forms = saved(forms, "line-forms")
-    sizes = forms.groupBy("leaf").agg(F.count("*").alias("forms"))
-    tokens = forms.select("leaf", "form", "n", F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
-    fixed = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("held")).join(sizes, "leaf").filter(
-        2 * F.col("held") > F.col("forms")).select("leaf", "pos", "token")
-    return tokens.join(fixed, ["leaf", "pos", "token"]).groupBy("leaf", "form", "n").agg(F.count("*").alias("agree")).filter(
-        F.col("agree") >= F.lit(alike) * F.col("n")).select("leaf", "form")
+    left = saved(forms.withColumn("template", F.lit(0).cast("long")), "line-forms")
+    group, covered = ["leaf", "template"], None
+    while not left.isEmpty():
+        found = saved(_agreeing(left, group, alike), "line-agreeing")
+        covered = found if covered is None else covered.unionByName(found)
+        met = found.select(*group).distinct().withColumn("met", F.lit(True))
+        rest = saved(left.join(found, ["leaf", "template", "form"], "left_anti").join(met, group, "left"), "line-rest")
+        again = rest.filter("met").withColumn("template", F.xxhash64("template", F.lit("rest"))).drop("met")
+        left = saved(again.unionByName(_split(rest.filter("met is null").drop("met"), depth, alike)), "line-left")
+        left = left.join(left.groupBy(group).agg(F.count("*").alias("forms")).filter("forms > 1").select(*group), group, "left_semi")
+    return covered if covered is not None else left.select("leaf", "form", "template")
+
+
+def _agreeing(forms: DataFrame, group: list[str], alike: float) -> DataFrame:
+    """(leaf, form, template) of the forms that agree with at least `alike` of the positions their group's majority fixes."""
+    sizes = forms.groupBy(*group).agg(F.count("*").alias("forms"))
+    tokens = forms.select(*group, "form", "n", F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
+    fixed = tokens.groupBy(*group, "pos", "token").agg(F.count("*").alias("held")).join(sizes, group).filter(
+        2 * F.col("held") > F.col("forms")).select(*group, "pos", "token")
+    return tokens.join(fixed, [*group, "pos", "token"]).groupBy(*group, "form", "n").agg(F.count("*").alias("agree")).filter(
+        F.col("agree") >= F.lit(alike) * F.col("n")).select("leaf", "form", "template")
+
+
+def _split(forms: DataFrame, depth: int, alike: float) -> DataFrame:
+    """The forms in smaller groups: each with those of its group that hold its most common segment that not all hold."""
+    group = ["leaf", "template"]
+    past = F.split("tokens", " ")
+    cuts = F.least(F.col("n") - depth, F.col("n") - F.ceil(F.lit(alike) * F.col("n")) + 1).cast("int")
+    ends = F.transform(F.sequence(F.lit(0), F.col("cuts")), lambda i: F.floor(i * (F.col("n") - depth) / F.col("cuts")).cast("int") + depth)
+    parts = F.transform(F.sequence(F.lit(1), F.col("cuts")), lambda i: F.xxhash64(i, F.array_join(F.slice(
+        "past", F.element_at("ends", i) + 1, F.element_at("ends", i + 1) - F.element_at("ends", i)), " ")))
+    segments = forms.withColumns({"past": past, "cuts": cuts}).filter("cuts > 0").withColumn("ends", ends).select(
+        *group, "form", F.explode(parts).alias("segment"))
+    sizes = forms.groupBy(*group).agg(F.count("*").alias("forms"))
+    held = segments.groupBy(*group, "segment").agg(F.count("*").alias("held")).join(sizes, group).filter(
+        (F.col("held") > 1) & (F.col("held") < F.col("forms"))).select(*group, "segment", "held")
+    best = segments.join(held, [*group, "segment"]).groupBy(*group, "form").agg(F.max(F.struct("held", "segment"))["segment"].alias("segment"))
+    return forms.join(best, [*group, "form"]).withColumn("template", F.xxhash64("template", "segment")).drop("segment")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
@@ -59,16 +93,15 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """(doc, lines): per document, the numbers of its lines to drop; `doc` is a hash of key and text.
 
     A line reaches a leaf of the tree by its token count and its first `depth` tokens, tokens with digits being fields.
-    Lines of one leaf share its template or are a template of their own. A template recurs if `min_docs` different
+    Lines of one leaf share one of its templates or are a template of their own. A template recurs if `min_docs` different
     documents hold it; it stays at its first place (smallest key, null last, then smallest line number) and every other
     line of it goes, or with `keep_first` off all of them. Lines under `min_tokens` tokens stay.
     """
     rows = _lines(docs, key, text, depth, min_tokens)
     places = saved(rows.select("id", "doc", "line_no", "leaf", "form"), "line-places")
-    covered = saved(_generalised(rows, places, min_docs, alike), "line-covered").withColumn("general", F.lit(True))
-    places = places.join(covered, ["leaf", "form"], "left").withColumn(
-        "template", F.when(F.col("general"), F.lit(0).cast("long")).otherwise(F.col("form"))).withColumn(
-        "own", F.col("general").isNull())
+    covered = _generalised(rows, places, depth, min_docs, alike)
+    places = places.join(covered, ["leaf", "form"], "left").withColumn("own", F.col("template").isNull()).withColumn(
+        "template", F.coalesce("template", "form"))
     group = ["leaf", "own", "template"]
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "line_no")
     recurring = places.groupBy(*group, "doc").agg(F.min(place).alias("first")).groupBy(*group).agg(
