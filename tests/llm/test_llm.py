@@ -94,6 +94,18 @@ def test_mixing(docs, odd):
     assert drawn.count() == plan.agg(F.sum(F.size("shards") * F.col("copies"))).first()[0]
 
 
+def test_mixing_goes_on_past_long_documents(spark):
+    for at in range(2):  # other keys, other places of the long document
+        rows = [(200 * at + i, "word " * (5000 if i == 7 else 25), "a") for i in range(200)] + [(-1 - i, "word " * (i % 3), "b") for i in range(9)]
+        got = mixing.allocate(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1.0,)).collect()
+        for s in "ab":
+            of = [r for r in got if r["source"] == s]
+            gap = of[0]["target"] - sum(r["size"] * len(r["shards"]) for r in of)
+            passes = int(of[0]["target"] // of[0]["source_size"])
+            untaken = [r["size"] for r in of if r["size"] and len(r["shards"]) == passes]
+            assert 0 <= gap < min(untaken, default=1) and all(len(r["shards"]) in (passes, passes + 1) for r in of)
+
+
 def test_hypergeometric(spark):
     rows = spark.range(4000).select(mixing.hypergeometric(
         F.lit(60).cast("long"), F.lit(20).cast("long"), F.lit(15).cast("long"), (F.col("id") + 0.5) / 4000).alias("k")).groupBy("k").count().collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,6 +155,38 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
         F.array_sort(F.collect_list(F.struct("shard", "end"))).alias("e")).select("src", F.col("e.end").alias("ends"))
 
 
+def _weight(docs: str) -> Column:
+    """Words of an array of documents with all their copies."""
+    return F.aggregate(docs, F.lit(0).cast("long"), lambda s, d: s + d["size"] * d["copies"])
+
+
+def _summed(blocks: DataFrame, amount: str, name: str) -> DataFrame:
+    """Adds `name`: the sum of `amount` over the source's blocks before this one, in the order of their spots."""
+    inner = Window.partitionBy("src", "sup").orderBy("spot", "block")
+    earlier = Window.partitionBy("src").orderBy("sup").rowsBetween(Window.unboundedPreceding, -1)
+    groups = blocks.groupBy("src", "sup").agg(F.sum(amount).alias("_in")).select(
+        "src", "sup", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"))
+    return blocks.withColumn("_inner", F.sum(amount).over(inner) - F.col(amount)).join(groups, ["src", "sup"]).withColumn(
+        name, F.col("_before") + F.col("_inner")).drop("_before", "_inner")
+
+
+def _taken(blocks: DataFrame, item: str, seed: int) -> DataFrame:
+    """Adds `fits` and `got`: all documents of the blocks that fit the room, and of the next block, longest first, those that fit."""
+    longest = F.array_sort("docs", lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(
+        F.xxhash64(F.lit(seed), a["key"]) < F.xxhash64(F.lit(seed), b["key"]), -1).when(
+        F.xxhash64(F.lit(seed), a["key"]) > F.xxhash64(F.lit(seed), b["key"]), 1).otherwise(0))
+
+    def fit(acc, d):
+        takes = (d["size"] > 0) & (d["size"] * d["copies"] <= acc["room"])
+        return F.struct((acc["room"] - F.when(takes, d["size"] * d["copies"]).otherwise(0)).alias("room"),
+                        F.when(takes, F.concat(acc["got"], F.array(d))).otherwise(acc["got"]).alias("got"))
+
+    none = F.array().cast(item)
+    picked = F.aggregate(longest, F.struct((F.col("room") - F.col("start")).alias("room"), none.alias("got")), fit)["got"]
+    return blocks.withColumn("fits", F.col("start") + F.col("held") <= F.col("room")).withColumn("got", F.when(
+        F.col("fits"), F.col("docs")).when(F.col("start") <= F.col("room"), picked).otherwise(none))
+
+
 def allocate(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT,
              shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = SEED,
              key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -161,7 +194,9 @@ def allocate(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
     Documents of a source fall into blocks by a hash of their key, and blocks stand in the order of another hash. A
     source's target is met by whole passes over its blocks, then by blocks in their order while they fit, then by single
-    documents of the next block, longest first while they fit. These draws are the source's quota. The splitting tree
+    documents of the next block, longest first while they fit. The room that is left goes on to the blocks behind in the
+    same way, less the documents that no longer fit, until every untaken document is longer than it. Whole blocks, and
+    those single documents block by block, are draws; they are the source's quota. The splitting tree
     deals quotas to the shards, and each shard takes its number of draws from the source's permuted draws, so that no
     draw is in two shards.
 
@@ -188,51 +223,47 @@ def allocate(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         "sup", F.floor(F.col("spot") * F.ceil(F.col("cells") / SUPER_BLOCKS)).cast("long"))
 
     # Ranks and running sums in the permuted order: inside a group of blocks, plus the sums of the groups before it.
-    inner = Window.partitionBy("src", "sup").orderBy("spot", "block")
-    earlier = Window.partitionBy("src").orderBy("sup").rowsBetween(Window.unboundedPreceding, -1)
-    groups = blocks.groupBy("src", "sup").agg(F.count("*").alias("n"), F.sum("held").alias("held")).select(
-        "src", "sup", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
-        F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("held_before"))
-    placed = blocks.withColumn("n_in", F.row_number().over(inner)).withColumn("held_in", F.sum("held").over(inner)).join(
-        groups, ["src", "sup"]).join(sources.select("src", "source", "words", "target", "passes", "rest"), "src")
-    placed = placed.withColumn("rank", F.col("n_before") + F.col("n_in") - 1).withColumn("end", F.col("held_before") + F.col("held_in"))
-    placed = placed.withColumn("start", F.col("end") - F.col("held")).withColumn("fits", F.col("end") <= F.col("rest"))
-
-    room = F.col("rest") - F.col("start")
-    longest = F.array_sort("docs", lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(
-        F.xxhash64(F.lit(seed), a["key"]) < F.xxhash64(F.lit(seed), b["key"]), -1).when(
-        F.xxhash64(F.lit(seed), a["key"]) > F.xxhash64(F.lit(seed), b["key"]), 1).otherwise(0))
+    placed = _summed(_summed(blocks.withColumn("one", F.lit(1).cast("long")), "one", "rank"), "held", "start").drop("one").join(
+        sources.select("src", "source", "words", "target", "passes", "rest"), "src")
     item = blocks.schema["docs"].dataType.simpleString()
-
-    def fit(acc, d):
-        takes = (d["size"] > 0) & (d["size"] * d["copies"] <= acc["room"])
-        return F.struct((acc["room"] - F.when(takes, d["size"] * d["copies"]).otherwise(0)).alias("room"),
-                        F.when(takes, F.concat(acc["got"], F.array(d))).otherwise(acc["got"]).alias("got"))
-
-    picked = F.aggregate(longest, F.struct(room.alias("room"), F.array().cast(item).alias("got")), fit)["got"]
-    placed = saved(placed.withColumn("picked", F.when(~F.col("fits") & (F.col("start") <= F.col("rest")), picked).otherwise(
-        F.array().cast(item))).select("src", "source", "words", "target", "passes", "rank", "fits", "docs", "picked"), "mix-placed")
-
-    counted = placed.groupBy("src").agg(
-        F.first("passes").alias("passes"), F.count("*").alias("n"), F.count_if("fits").alias("fit"),
-        F.max((F.size("picked") > 0).cast("long")).alias("part"))
-    quotas = counted.withColumn("quota", F.col("passes") * F.col("n") + F.col("fit") + F.col("part"))
+    placed = saved(_taken(placed.withColumn("room", F.col("rest")), item, seed), "mix-placed")
+
+    # What is left of a target goes to the blocks behind, for documents that still fit, until no document does.
+    left, more = placed, []
+    while True:
+        left = left.join(left.groupBy("src").agg((F.first("room") - F.sum(_weight("got"))).alias("now")), "src").filter("not fits").select(
+            "src", "block", "sup", "spot", F.col("now").alias("room"), F.filter(F.array_except("docs", "got"), lambda d: (
+                d["size"] > 0) & (d["size"] * d["copies"] <= F.col("now"))).alias("docs")).filter(F.size("docs") > 0)
+        left = saved(left.withColumn("held", _weight("docs")), f"mix-left-{len(more)}")
+        if left.isEmpty():
+            break
+        left = saved(_taken(_summed(left, "held", "start"), item, seed), f"mix-more-{len(more)}")
+        more.append(left.filter(F.size("got") > 0).select("src", "block", F.col("got").alias("more")))
+    taken = placed
+    if more:  # no block gives twice: what it keeps is longer than the room
+        taken = placed.join(reduce(DataFrame.unionByName, more), ["src", "block"], "left").withColumn(
+            "got", F.concat("got", F.coalesce("more", F.array().cast(item))))
+
+    # A block that the last pass takes documents of is one draw: `place` counts such blocks before it.
+    taken = saved(_summed(taken.withColumn("part", (F.col("fits") | (F.size("got") > 0)).cast("long")), "part", "place").select(
+        "src", "source", "words", "target", "passes", "rank", "part", "place", "docs", "got"), "mix-units")
+    counted = taken.groupBy("src").agg(F.first("passes").alias("passes"), F.count("*").alias("n"), F.sum("part").alias("parts"))
+    quotas = counted.withColumn("quota", F.col("passes") * F.col("n") + F.col("parts"))
     quotas = saved(quotas, "mix-quotas")
-    dealt = quotas.join(saved(splitting_tree(quotas, shards, seed), "mix-tree"), "src").select("src", "n", "fit", "ends")
+    dealt = quotas.join(saved(splitting_tree(quotas, shards, seed), "mix-tree"), "src").select("src", "n", "ends")
 
     def shard_of(unit: Column) -> Column:
         return F.size(F.filter("ends", lambda end: end <= unit))
 
     rounds = F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).otherwise(F.array().cast("array<bigint>"))
-    whole = F.concat(F.transform(rounds, lambda j: shard_of(j * F.col("n") + F.col("rank"))), F.when(
-        F.col("fits"), F.array(shard_of(F.col("passes") * F.col("n") + F.col("rank")))).otherwise(F.array().cast("array<int>")))
-    last = F.array(shard_of(F.col("passes") * F.col("n") + F.col("fit")))
-    return placed.join(dealt, "src").select(
-        "source", "words", "target", whole.alias("whole"), last.alias("last"), "picked", F.explode("docs").alias("d"),
+    whole = F.transform(rounds, lambda j: shard_of(j * F.col("n") + F.col("rank")))
+    last = F.array(shard_of(F.col("passes") * F.col("n") + F.col("place")))
+    return taken.join(dealt, "src").select(
+        "source", "words", "target", whole.alias("whole"), last.alias("last"), "got", F.explode("docs").alias("d"),
     ).select(
         F.col("d.key").alias(key), F.col("source").alias(source), F.col("d.size").alias("size"), F.col("d.copies").alias("copies"),
         F.col("words").alias("source_size"), "target",
-        F.when(F.array_contains("picked", F.col("d")), F.concat("whole", "last")).otherwise(F.col("whole")).alias("shards"))
+        F.when(F.array_contains("got", F.col("d")), F.concat("whole", "last")).otherwise(F.col("whole")).alias("shards"))
 
 
 def draw(docs: DataFrame, allocation: DataFrame, part_words: int = PART_WORDS, seed: int = SEED,
