@@ -292,6 +292,13 @@ def test_topk(spark, sf):
         assert not topk.search(data.limit(0)).collect()
 
 
+def test_topk_keeps_ties_of_negative_products():
+    query, rows = np.array([[-100.0, -100.0]]), np.arange(1, 601)
+    ids, blocks = rows[::-1].copy(), np.arange(600) // 256  # equal vectors; smaller ids in later blocks
+    at, found, score, _ = topk.best_of_range(np.array([0]), np.array([0]), query, np.array([-100000.0]), rows, ids, blocks, np.full((600, 2), 500.0))
+    assert found.tolist() == [1, 2, 3, 4, 5] and set(score.tolist()) == {-100000.0}
+
+
 def test_neighbours(spark, sf):
     frame = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     for data, least in ((frame, 0.9), (spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>"), 1.0)):

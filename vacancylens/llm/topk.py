@@ -53,7 +53,8 @@ def best_of_range(query_rows, query_ids, queries, floors, rows, ids, blocks, vec
     scored = 0
     for step in range(len(starts)):
         b = turn[:, step]
-        open_queries = np.flatnonzero(bounds[np.arange(nq), b] * (1 + 1e-12) + 1e-9 >= least)
+        bound = bounds[np.arange(nq), b]
+        open_queries = np.flatnonzero(bound + 1e-12 * np.abs(bound) + 1e-9 >= least)
         if not len(open_queries):
             break
         for block in np.unique(b[open_queries]):
