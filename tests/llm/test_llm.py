@@ -136,6 +136,13 @@ def test_line_dedup_finds_several_templates_of_a_leaf(spark):
     assert sorted(r["doc_id"] for r in got if not r["dropped_lines"]) == [0, 30, 60, *range(90, 130)]
 
 
+def test_line_dedup_sees_long_lines_without_blanks(spark):
+    chinese, link = "这一行没有空格但是在每一个文档里都会重复出现3次", "https://example.org/" + "part/" * 8
+    texts = [f"{chinese}\n{link}\n{link}{i}\nshort" for i in range(3)]
+    got = linededup.drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {0: texts[0], 1: f"{link}1\nshort", 2: f"{link}2\nshort"}
+
+
 def test_pipeline_drops_a_line_of_two_documents(spark, sf):
     import corpus_pipeline as pipeline
 

@@ -9,6 +9,7 @@ from vacancylens.llm.common import saved
 
 MIN_DOCS = 3
 MIN_TOKENS = 4
+MIN_BYTES = 48
 DEPTH = 3
 ALIKE = 0.8
 FIELD = "<*>"
@@ -20,17 +21,22 @@ def _plain(line: Column) -> Column:
     return F.trim(F.when(line.rlike(odd), F.regexp_replace(line, odd, " ")).otherwise(line))
 
 
-def _masked(plain: Column) -> Column:
-    """The line with the field mark for every token with a digit."""
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(^| )[^ 0-9]*+[0-9][^ ]*+", "$1" + FIELD)).otherwise(plain)
+def _tokens(plain: Column) -> Column:
+    """Number of tokens of a line with single blanks."""
+    return F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1
 
 
-def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int) -> DataFrame:
+def _masked(plain: Column, min_tokens: int) -> Column:
+    """The line with the field mark for every token with a digit; a line of few tokens would not be known by it and stays."""
+    return F.when(plain.rlike("[0-9]") & (_tokens(plain) >= min_tokens), F.regexp_replace(plain, r"(^| )[^ 0-9]*+[0-9][^ ]*+", "$1" + FIELD)).otherwise(plain)
+
+
+def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, min_bytes: int) -> DataFrame:
     # Lines are masked inside the exploded array: as columns, the expressions would be computed again for each use.
-    lines = F.transform(F.transform(F.split(F.col(text), "\n"), _plain), _masked)
+    lines = F.transform(F.transform(F.split(F.col(text), "\n"), _plain), lambda line: _masked(line, min_tokens))
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("doc"), F.posexplode(lines).alias("line_no", "tokens"))
-    rows = rows.withColumn("n", F.length("tokens") - F.length(F.replace(F.col("tokens"), F.lit(" "))) + 1)
-    return rows.filter((F.length("tokens") > 0) & (F.col("n") >= min_tokens)).select(
+    rows = rows.withColumn("n", _tokens(F.col("tokens")))
+    return rows.filter((F.length("tokens") > 0) & ((F.col("n") >= min_tokens) | (F.octet_length("tokens") >= min_bytes))).select(
         "id", "doc", "line_no", "tokens", "n", F.xxhash64("n", F.substring_index("tokens", " ", depth)).alias("leaf"),
         F.xxhash64("tokens").alias("form"))
 
@@ -89,15 +95,17 @@ def _split(forms: DataFrame, depth: int, alike: float) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
-                   min_tokens: int = MIN_TOKENS, depth: int = DEPTH, alike: float = ALIKE, keep_first: bool = True) -> DataFrame:
+                   min_tokens: int = MIN_TOKENS, depth: int = DEPTH, alike: float = ALIKE, keep_first: bool = True,
+                   min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc, lines): per document, the numbers of its lines to drop; `doc` is a hash of key and text.
 
     A line reaches a leaf of the tree by its token count and its first `depth` tokens, tokens with digits being fields.
     Lines of one leaf share one of its templates or are a template of their own. A template recurs if `min_docs` different
     documents hold it; it stays at its first place (smallest key, null last, then smallest line number) and every other
-    line of it goes, or with `keep_first` off all of them. Lines under `min_tokens` tokens stay.
+    line of it goes, or with `keep_first` off all of them. Lines under `min_tokens` tokens stay if they are under
+    `min_bytes` bytes too; longer ones, as scripts without blanks have them, match by their exact form.
     """
-    rows = _lines(docs, key, text, depth, min_tokens)
+    rows = _lines(docs, key, text, depth, min_tokens, min_bytes)
     places = saved(rows.select("id", "doc", "line_no", "leaf", "form"), "line-places")
     covered = _generalised(rows, places, depth, min_docs, alike)
     places = places.join(covered, ["leaf", "form"], "left").withColumn("own", F.col("template").isNull()).withColumn(
