@@ -42,3 +42,15 @@ def uniform(*parts: Column) -> Column:
 def crc32_text(column: Column) -> Column:
     """CRC-32 of a value's text; a null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, share: int = 1000) -> DataFrame:
+    """Rows joined to groups, one row per group with `size` of its rows, where one group may hold most of them.
+
+    Groups over 1/share of all rows are fewer than `share`, hence safe to broadcast; what is left has no such key.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * share > F.lit(total)
+    hot = F.broadcast(groups.filter(large))
+    rest = rows.join(hot.select(on), on, "left_anti").join(groups.filter(~large), on)
+    return rows.join(hot, on).unionByName(rest)

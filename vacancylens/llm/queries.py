@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancylens.llm import language, linededup, lmscore, mixing, neighbours, packing, quality, sharding, simhash, topk
+from vacancylens.llm import (
+    exactdedup, filteraudit, language, linededup, lmscore, mixing, neighbours, packing, prefixtrie, quality, sharding, simhash, topk,
+)
 from vacancylens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op2_topk": topk.ORACLE_SQL, "op7_line_dedup": linededup.ORACLE_SQL}
+SQL: dict[str, str] = {"op2_topk": topk.ORACLE_SQL, "op7_line_dedup": linededup.ORACLE_SQL, "op11_prefix_trie": prefixtrie.ORACLE_SQL,
+                       "op12_filter_audit": filteraudit.ORACLE_SQL, "op13_exact_dedup": exactdedup.ORACLE_SQL}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -84,3 +87,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; the key alone decides."""
     return sharding.shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie over all rebuilt conversations."""
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does to every source, in all 120 orders."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for every document, from an index of all texts."""
+    rows = exactdedup.resolve(exactdedup.insert(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
