@@ -11,7 +11,7 @@ from vacancylens.catalog.sinks import keyword_scorer
 from vacancylens.catalog.views import table, with_views
 from vacancylens.operators import hooks
 from vacancylens.session import run_dir
-from vacancylens.streaming import feed
+from vacancylens.streaming import cache, feed
 
 
 def _finish(q):
@@ -55,3 +55,25 @@ def daily_snapshots(spark, sf):
     totals = feed.daily_totals(events, "ts", F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
     _finish(feed.keep_daily(totals, f"{base}/out", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/out").select(F.col("as_of").cast("string").alias("as_of"), "n", "errors")
+
+
+@query("ttl_cache_stream", """with c as (select user_id, cast(ts as date) as day, max(struct_pack(ts := ts, props := props)).props as props from events
+    where event_type = 'view' group by all),
+  q as (select user_id, cast(ts as date) as today, count(*) as asked from events where event_type = 'error' group by all),
+  h as (select q.user_id, today, asked, max(day) as day from q left join c on c.user_id = q.user_id and datediff('day', day, today) between 0 and 3 group by all)
+  select h.user_id::varchar as key, strftime(today, '%Y-%m-%d') as today, strftime(h.day, '%Y-%m-%d') as researched,
+    datediff('day', h.day, today)::int as age_days, props as value, asked from h left join c on c.user_id = h.user_id and c.day = h.day""")
+def ttl_cache_stream(spark, sf):
+    """The events landing ten days at a time, a restarted run for each: views are results that live for three days, errors
+    are probes."""
+    base = run_dir(spark, "cache")
+    events = table(spark, sf, "events").filter(F.col("event_type").isin("view", "error")).select(
+        F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "view").alias("entry"),
+        F.col("props").alias("value"))
+    for low, high in ((1, 10), (11, 20), (21, 31)):
+        events.filter(F.dayofmonth("at").between(low, high)).write.mode("append").parquet(f"{base}/in")
+        landed = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        _finish(cache.run_cached(cache.cached(landed, max_age=3), f"{base}/out", f"{base}/checkpoint"))
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("key", F.date_format("today", "yyyy-MM-dd").alias("today"), F.date_format("researched", "yyyy-MM-dd").alias("researched"),
+                      "age_days", "value", "asked")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +34,21 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKS) -> Iterator[None]:
+    """Streams started inside keep their state in the given store; a stream takes its settings along when it starts."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and ends the plan of an iterative job."""
     shared_dir(df.sparkSession)
@@ -42,3 +62,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, as spark-submit --py-files would, unless their path has it."""
+    root = Path(__file__).resolve().parents[1]
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    name = "vacancylens-package.zip"
+    if root not in paths and not any(f.endswith(name) for f in spark.sparkContext.listFiles):
+        base = os.path.join(tempfile.mkdtemp(prefix="vacancylens-"), name[:-4])
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "vacancylens"))
