@@ -172,6 +172,25 @@ def test_clusters_equal_the_sequential_rule(spark):
     assert {(r["value"], r["label"]) for r in again} == {(r["value"], r["label"]) for r in got}
 
 
+@pytest.mark.parametrize("batch", [1, 7, 30])
+def test_clusters_are_the_same_in_any_batch(spark, batch):
+    rng = random.Random(batch)
+    counts = {" ".join(rng.choices(["permanent", "role", "contract", "rate", "remote", "travel", "stack", "###"], k=rng.randint(1, 4))): rng.randint(1, 9) for _ in range(60)}
+    rows = [(f, v, n, floor) for f, floor in (("a", 0.82), ("b", 0.88)) for v, n in counts.items() if f == "a" or n > 3]
+    got = leader.cluster_fields(spark.createDataFrame(rows, "field string, value string, n long, floor double"), batch=batch).collect()
+    for field, floor in (("a", 0.82), ("b", 0.88)):
+        assert {r["value"]: r["label"] for r in got if r["field"] == field} == brute_clusters({v: n for f, v, n, _ in rows if f == field}, floor)
+    assert leader.cluster_fields(spark.createDataFrame([], "field string, value string, n long, floor double")).collect() == []
+
+
+def test_thousands_of_spellings_cost_one_leader(spark):
+    """20,000 near-equal values: two rounds, no pairs."""
+    words = "senior platform engineer remote contract position with travel and weekend cover in region"
+    near = spark.range(20_000).select(F.lit("f").alias("field"), F.concat(F.lit(words + " "), F.hex("id")).alias("value"), (20_000 - F.col("id")).alias("n"), F.lit(0.82).alias("floor"))
+    got = leader.cluster_fields(near, batch=1000).groupBy("label").count().collect()
+    assert [(r["label"], r["count"]) for r in got] == [(words + " 0", 20_000)]
+
+
 def test_keep_first(spark):
     items = [("g", 1, "is the role still open at acme corp today"), ("g", 2, "is the role still open at acme corp now"), ("g", 3, "who owns it"), ("g", 4, "who owns it"), ("h", 1, "is the role still open at acme corp today")]
     out = leader.keep_first(spark.createDataFrame(items, "g string, pos int, t string"), "g", "pos", "t")

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import collections
+import logging
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacancylens import fixed
 from vacancylens.functions.text import char_ngrams, col, strip, word_shingles, words
-from vacancylens.functions.vectors import dot, hash_embed, unit
+from vacancylens.functions.vectors import hash_embed, unit
 from vacancylens.operators.graph import first_wins
 from vacancylens.operators.setjoin import similar_pairs
-from vacancylens.session import cut
+from vacancylens.session import cut, ship
 
+log = logging.getLogger(__name__)
 
 def value_counts(df: DataFrame, value: Column | str) -> DataFrame:
     """Counts of a text or list-of-text column: (value, n). Blank values do not count."""
@@ -29,61 +40,173 @@ def field_values(df: DataFrame, field: str) -> Column:
     return F.col(f"analysis.{field}")
 
 
-def cosine_pairs(vectors: DataFrame, key: str = "id", vector: str = "v", space: str = "space", floor: str = "floor") -> DataFrame:
-    """Exact pairs of unit vectors of one space with dot product at or above its floor: (a, b, similarity), a < b.
-
-    Dimensions are ordered by how many vectors use them. A vector is indexed only under its leading dimensions, up to
-    the point where what remains is too short to reach the floor with anything; a similar vector must then use one of
-    those. The dimension table has one row per space and dimension, hence is safe to broadcast while spaces are few, as
-    field names are.
-    """
-    entries = vectors.select(key, space, floor, vector, F.posexplode(vector).alias("dim", "x")).filter(F.col("x") != 0)
-    used = entries.groupBy(space, "dim").agg(F.count("*").alias("df"))
-    ranked = entries.join(F.broadcast(used), [space, "dim"]).groupBy(key, space, floor).agg(
-        F.array_sort(F.collect_list(F.struct("df", "dim", "x"))).alias("e"))
-    tail = F.transform("e", lambda e, i: F.struct(
-        e["dim"].alias("dim"),
-        F.aggregate(F.slice("e", i + 1, F.size("e")), F.lit(0.0), lambda s, r: s + r["x"] * r["x"]).alias("rest")))
-    leading = ranked.select(F.col(key).alias("a"), space, floor, F.explode(F.filter(
-        tail, lambda x: F.sqrt(x["rest"]) >= F.col(floor) - 1e-9)).alias("p")).select("a", space, floor, F.col("p.dim").alias("dim"))
-    vec = vectors.select(F.col(key), F.col(vector))
-    left = leading.join(vec.select(F.col(key).alias("a"), F.col(vector).alias("va")), "a")
-    right = entries.select(F.col(key).alias("b"), space, "dim", F.col(vector).alias("vb"))
-    met = left.join(right, [space, "dim"]).filter(F.col("a") < F.col("b"))
-    close = met.withColumn("similarity", dot(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= F.col(floor) - 1e-12)
-    return close.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+BATCH = 4096
+BLOCK = 512
+SLACK = 1e-12
+_LED = "field string, value string, n long, seed string, similarity double"
+
+
+class Seeds:
+    """Leaders in order of priority, ready to be asked which of them a value resembles first."""
+
+    def __init__(self, vectors: np.ndarray, grams: list[np.ndarray], containment: float):
+        self.vectors, self.containment = vectors, containment
+        self.sizes = np.array([len(g) for g in grams], np.int64)
+        flat = np.concatenate(grams) if grams else np.empty(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(grams)), self.sizes)[order]
+        self.keys, starts = np.unique(flat[order], return_index=True)
+        self.bounds = np.append(starts, len(flat))
+
+    def _containing(self, grams: np.ndarray) -> int | None:
+        """The first leader where the smaller of the two gram sets lies in the other."""
+        if not len(self.keys):
+            return None
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        at = at[self.keys[at] == grams]
+        if not len(at):
+            return None
+        met = np.bincount(np.concatenate([self.owners[self.bounds[i]:self.bounds[i + 1]] for i in at]))
+        enough = (met > 0) & (met / np.maximum(np.minimum(self.sizes[: len(met)], len(grams)), 1) >= self.containment - SLACK)
+        return int(enough.argmax()) if enough.any() else None
+
+    def first(self, vectors: np.ndarray, floor: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Per value the place of the first leader it resembles, or -1, and their dot product."""
+        places, dots = np.full(len(vectors), -1), np.zeros(len(vectors))
+        for at in range(0, len(vectors) if len(self.sizes) else 0, BLOCK):
+            part = slice(at, at + BLOCK)
+            sims = vectors[part] @ self.vectors.T
+            close = sims >= floor[part, None] - SLACK
+            best = np.where(close.any(axis=1), close.argmax(axis=1), -1)
+            for i, g in enumerate(grams[part]):
+                found = self._containing(g) if len(g) else None
+                if found is not None and (best[i] < 0 or found < best[i]):
+                    best[i] = found
+            places[part] = best
+            dots[part] = np.where(best >= 0, sims[np.arange(len(best)), np.maximum(best, 0)], 0.0)
+        return places, dots
+
+
+def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = rows[name].combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+
+    flat, _ = lists("v")
+    grams, ends = lists("grams")
+    return flat.reshape(rows.num_rows, -1), rows["floor"].to_numpy(), [np.unique(grams[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _led(rows: pa.Table, seeds: list, dots: np.ndarray) -> pa.Table:
+    return pa.table({"field": rows["field"], "value": rows["value"], "n": rows["n"].cast(pa.int64()), "seed": pa.array(seeds, pa.string()),
+                     "similarity": pa.array(dots, pa.float64())})
+
+
+def _leaders(containment: float):
+    """The sequential rule over one batch of a field: a value joins the first leader it resembles or becomes one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n", "descending"), ("value", "ascending")])
+        vectors, floor, grams = _columns(rows)
+        values, own, found = rows["value"].to_pylist(), np.full(rows.num_rows, -1), []
+        dots = np.zeros(rows.num_rows)
+        for at in range(0, rows.num_rows, BLOCK):
+            part = slice(at, min(at + BLOCK, rows.num_rows))
+            places, dots[part] = Seeds(vectors[found], [grams[i] for i in found], containment).first(vectors[part], floor[part], grams[part])
+            own[part] = [found[p] if p >= 0 else -1 for p in places]
+            fresh: list[int] = []
+            holders = collections.defaultdict(list)
+            for i in range(part.start, part.stop):
+                if own[i] >= 0:
+                    continue
+                sims = vectors[fresh] @ vectors[i] if fresh else np.empty(0)
+                near = np.flatnonzero(sims >= floor[i] - SLACK)
+                best = fresh[near[0]] if len(near) else None
+                met = collections.Counter(h for g in grams[i].tolist() for h in holders.get(g, ()))
+                inside = [h for h, c in met.items() if c / min(len(grams[h]), len(grams[i])) >= containment - SLACK]
+                best = min([*inside, *([] if best is None else [best])], default=None)
+                if best is None:
+                    own[i], dots[i] = i, float(vectors[i] @ vectors[i] > 0)
+                    fresh.append(i)
+                    for g in grams[i].tolist():
+                        holders[g].append(i)
+                else:
+                    own[i], dots[i] = best, vectors[best] @ vectors[i]
+            found += fresh
+        return _led(rows, [values[i] for i in own], dots)
+
+    return run
+
+
+def _followers(leaders: Broadcast, containment: float):
+    """Later values against one batch's leaders, field by field; null where none is resembled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {f: (names, Seeds(v, g, containment)) for f, (names, v, g) in leaders.value.items()}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            names, vectors, floor, grams = rows["field"].to_numpy(), *_columns(rows)
+            seeds, dots = np.full(rows.num_rows, None), np.zeros(rows.num_rows)
+            for field in set(names.tolist()) & set(known):
+                here = np.flatnonzero(names == field)
+                spelt, asked = known[field]
+                places, dots[here] = asked.first(vectors[here], floor[here], [grams[i] for i in here])
+                seeds[here] = [spelt[p] if p >= 0 else None for p in places]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seeds.tolist(), pa.string()), pa.array(dots)],
+                                             schema=batch.schema.append(pa.field("seed", pa.string())).append(pa.field("similarity", pa.float64())))
+
+    return run
 
 
 def cluster_fields(counts: DataFrame, containment: float = fixed.CLUSTER_CONTAINMENT, min_count: int = 1,
-                   embedding: Column | None = None) -> DataFrame:
+                   embedding: Column | None = None, batch: int = BATCH) -> DataFrame:
     """(field, label, value, n, similarity): each value filed under the most frequent spelling of its field it resembles.
 
     counts(field, value, n, floor), with `floor` the cosine of the field. Values go from the most frequent outward, ties
-    by spelling. A value joins a seed at the floor or when the character 4-grams of the shorter lie in the longer.
+    by spelling. A value joins a leader at the floor or when the character 4-grams of the shorter lie in the longer.
     `embedding` gives unit vectors for `value`; the default is the deterministic bag of words. Everything here runs on
     distinct values, after counting, and all fields share the rounds.
+
+    A round takes the first `batch` open values in that order. They are settled one after the other in a task per field;
+    all later values are then held against the batch's leaders where they lie, and those that resemble one are settled
+    too, by the earliest. No pair of values is ever written: work grows with values times leaders, not with pairs, so
+    thousands of spellings of one thing cost one leader. What is sent around is one batch of leaders, at most `batch`
+    vectors and gram sets; rounds are as many as batches of leaders and values that resemble nothing before them.
     """
+    spark = counts.sparkSession
+    ship(spark)
     kept = counts.filter(F.col("n") >= min_count)
-    vectors = cut(kept.select(F.struct("field", "value").alias("id"), F.col("field").alias("space"), "floor", "n",
-                              (hash_embed("value") if embedding is None else unit(embedding)).alias("v")))
-    close = cosine_pairs(vectors).select("a", "b")
-    grams = F.transform(char_ngrams("id.value"), lambda g: F.xxhash64(F.col("id.field"), g))
-    inside = similar_pairs(vectors.select("id", grams.alias("tokens")), containment, "overlap").select("a", "b")
-    order = F.struct((-F.col("n")).alias("n"), F.col("id.value").alias("value"))
-    nodes = vectors.select(F.col("id").alias("node"), order.alias("priority"))
-    pairs = close.unionByName(inside).distinct()
-    ranked = pairs.join(nodes.select(F.col("node").alias("a"), F.col("priority").alias("pa")), "a").join(
-        nodes.select(F.col("node").alias("b"), F.col("priority").alias("pb")), "b")
-    a_first = F.col("pa") < F.col("pb")
-    edges = ranked.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("hi"),
-                          F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("lo"))
-    led = first_wins(nodes, edges).select(F.col("node").alias("id"), F.col("leader").alias("seed"))
-    vec = vectors.select("id", "n", "v")
-    seeds = vec.select(F.col("id").alias("seed"), F.col("v").alias("v_seed"))
-    own = (F.col("seed") == F.col("id")) & (F.aggregate("v", F.lit(0.0), lambda s, x: s + x) > 0)
-    return cut(led.join(vec, "id").join(seeds, "seed").select(
-        "id.field", F.col("seed.value").alias("label"), "id.value", "n",
-        F.when(own, F.lit(1.0)).otherwise(F.bround(dot(F.col("v"), F.col("v_seed")), 4)).alias("similarity")))
+    grams = F.transform(char_ngrams("value"), lambda g: F.xxhash64(g))
+    left = cut(kept.select("field", "value", F.col("n").cast("long").alias("n"), F.col("floor").cast("double").alias("floor"),
+                           (hash_embed("value") if embedding is None else unit(embedding)).alias("v"), grams.alias("grams")))
+    empty = spark.createDataFrame([], _LED)
+    settled, rounds = [empty], 0
+    follows = T.StructType([*left.schema.fields, T.StructField("seed", T.StringType()), T.StructField("similarity", T.DoubleType())])
+    while True:
+        order = [F.desc("n"), "value", "field"]
+        first = cut(left.orderBy(*order).limit(batch))
+        n = first.count()
+        if not n:
+            break
+        rounds += 1
+        led = cut(first.groupBy("field").applyInArrow(_leaders(containment), _LED))
+        settled.append(led)
+        if n < batch:
+            break
+        heads = first.join(led.filter("seed = value").select("field", "value"), ["field", "value"]).orderBy(*order).toArrow()
+        found = {}
+        for field in set(heads["field"].to_pylist()):
+            rows = heads.filter(pc.equal(heads["field"], field))
+            vectors, _, sets = _columns(rows)
+            found[field] = (rows["value"].to_pylist(), vectors, sets)
+        leaders = spark.sparkContext.broadcast(found)
+        rest = left.join(first.select("field", "value"), ["field", "value"], "left_anti")
+        tried = cut(rest.mapInArrow(_followers(leaders, containment), follows))
+        settled.append(tried.filter(F.col("seed").isNotNull()).select("field", "value", "n", "seed", "similarity"))
+        left = tried.filter(F.col("seed").isNull()).select(left.columns)
+    log.info("clusters settled after %d rounds", rounds)
+    return cut(reduce(DataFrame.unionByName, settled)).select(
+        "field", F.col("seed").alias("label"), "value", "n", F.bround("similarity", 4).alias("similarity"))
 
 
 def cluster_values(counts: DataFrame, threshold: float = fixed.CLUSTER_COSINE, **options) -> DataFrame:
