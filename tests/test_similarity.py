@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,23 +198,67 @@ def test_keep_first(spark):
     assert {(r["g"], r["pos"]) for r in out.collect()} == {("g", 1), ("g", 3), ("g", 4), ("h", 1)}
 
 
+def nearest_by_force(m, k, allowed):
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = m / np.where(norms == 0, 1, norms)
+    sim = np.round(unit @ unit.T, 9)
+    sim[~allowed] = -np.inf
+    return {q: [j for j in sorted(range(len(m)), key=lambda j: (-sim[q, j], j))[:k] if sim[q, j] > -np.inf] for q in range(len(m))}
+
+
+def neighbours(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"]))
+    return {q: [n for _, n in sorted(v)] for q, v in got.items()}
+
+
 @pytest.mark.parametrize("hot", [False, True])
-def test_nearest_equals_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 50)
+def test_nearest_equals_brute_force(spark, hot):
     rng = np.random.default_rng(5)
-    m = rng.normal(size=(300, 8))
+    m = rng.normal(size=(300, 8)) + 3 * rng.normal(size=(6, 8))[rng.integers(0, 6, 300)]
+    m[290:] = 0
     if hot:
         m[:120] = m[0]
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], "id long, embedding array<double>")
+    assert neighbours(knn.nearest(df, df, 5, block_rows=40)) == nearest_by_force(m, 5, ~np.eye(300, dtype=bool))
+
+
+@pytest.mark.parametrize("share", [0.01, 0.5])
+def test_filtered_nearest_equals_brute_force(spark, share):
+    """Queries of one label, of any, and of one that no member has; neighbours must differ in their key."""
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(400, 6)) + 4 * rng.normal(size=(8, 6))[rng.integers(0, 8, 400)]
+    label = np.where(rng.random(400) < share, "rare", "rest").astype(object)
+    want = np.array([("rare", "rest", None, "none")[i % 4] for i in range(400)], dtype=object)
+    key = np.array([f"k{i % 150}" for i in range(400)], dtype=object)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(m)]
+    corpus = spark.createDataFrame([(*r, l, o) for r, l, o in zip(rows, label, key)], "id long, embedding array<double>, label string, own string")
+    asked = spark.createDataFrame([(*r, l, o) for r, l, o in zip(rows, want, key)], "id long, embedding array<double>, label string, own string")
+    allowed = ((want[:, None] == label[None, :]) | (want[:, None] == None)) & (key[:, None] != key[None, :])  # noqa: E711
+    got = neighbours(knn.nearest(asked, corpus, 7, label="label", apart="own", block_rows=50))
+    assert got == {q: n for q, n in nearest_by_force(m, 7, allowed).items() if n}
+
+
+def test_rows_are_sent_once_per_block_of_the_other_side(spark, monkeypatch):
+    """50,000 vectors in 100 far groups: exact, and most block pairs are ruled out."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(100, 16))
+    m = centre[rng.integers(0, 100, 50_000)] + 0.02 * rng.normal(size=(50_000, 16))
+    df = spark.createDataFrame(pa.table({"id": np.arange(50_000), "embedding": list(m)}))
+    asked, pairs = df.filter("id % 25 = 0"), []
+    kept = knn.cut
+    monkeypatch.setattr(knn, "cut", lambda d: pairs.append(kept(d)) or pairs[-1])
+    got = neighbours(knn.nearest(asked, df, 10, block_rows=1000))
+    met = pairs[-1]
+    assert met.columns == ["home", "part", "block"]
+    copies = met.groupBy("home", "part").count().agg(F.max("count"), F.avg("count")).first()
+    assert copies[0] <= 75 and copies[1] < 25
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    sim = np.round(unit @ unit.T, 9)
-    np.fill_diagonal(sim, -np.inf)
-    got = {}
-    for r in knn.nearest(df, df, 5).collect():
-        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"]))
-    for q in range(300):
-        want = sorted(range(300), key=lambda j: (-sim[q, j], j))[:5]
-        assert [n for _, n in sorted(got[q])] == want
+    for q in range(0, 50_000, 2500):
+        sim = np.round(unit[q] @ unit.T, 9)
+        sim[q] = -np.inf
+        assert got[q] == sorted(np.argsort(-sim, kind="stable")[:10].tolist(), key=lambda j: (-sim[j], j))
 
 
 def test_mmr_prefers_variety(spark):

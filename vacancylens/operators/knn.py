@@ -3,119 +3,253 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vacancylens import fixed
 from vacancylens.functions.vectors import unit
-from vacancylens.session import cut
+from vacancylens.session import cut, ship
 
-# Rows of one block of a cell; bounds what a task holds in memory whatever the size of a cell.
+# Rows of one block, of queries or of corpus: bounds what a task holds, and how often a row is sent.
 BLOCK_ROWS = 4096
+MAX_PIVOTS = 4096
+SLICE = 256
+SLACK = 1e-9
 
 
-def _assign(vectors: DataFrame, pivots: np.ndarray, dim_type: T.DataType) -> DataFrame:
-    """Adds the nearest pivot and the distance to it."""
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            m = np.array(batch["v"].tolist(), dtype=np.float64).reshape(len(batch), -1)
-            d2 = np.maximum(0.0, (m * m).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * m @ pivots.T)
-            cell = d2.argmin(1)
-            yield batch.assign(cell=cell.astype("int32"), far=np.sqrt(d2[np.arange(len(batch)), cell]))
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _distances(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (m * m).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * m @ centres.T))
+
+
+@dataclass
+class Cells:
+    """What all tasks know: pivots, and per label and cell how many members there are and how far from the pivot.
+
+    Label None stands for members of any label. Blocks are runs of cells that lie side by side, or shares of one large
+    cell; `block` and `shares` give a cell's first block and into how many it is cut.
+    """
+
+    pivots: np.ndarray
+    near: dict
+    far: dict
+    count: dict
+    block: np.ndarray
+    shares: np.ndarray
+
+    def assign(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = _distances(m, self.pivots)
+        cell = d.argmin(1)
+        return cell, d[np.arange(len(m)), cell]
 
-    schema = T.StructType([T.StructField("id", dim_type), T.StructField("v", T.ArrayType(T.DoubleType())),
-                           T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
-    return vectors.mapInPandas(nearest, schema)
+    def reach(self, d: np.ndarray, label: object, need: int) -> np.ndarray:
+        """Within which distance each query surely has `need` members: whole cells, nearest far ends first."""
+        if label not in self.count:
+            return np.full(len(d), np.inf)
+        ends = d + self.far[label][None, :]
+        ends[:, self.count[label] == 0] = np.inf
+        order = ends.argsort(axis=1)
+        enough = np.cumsum(self.count[label][order], axis=1) >= need
+        bound = np.where(enough.any(axis=1), np.take_along_axis(ends, order, 1)[np.arange(len(d)), enough.argmax(axis=1)], np.inf)
+        # A zero vector has cosine 0 at distance 1, a unit vector at the square root of 2.
+        return np.where(bound < 1.0, bound, np.maximum(bound, 2.0 ** 0.5))
+
+    def may_hold(self, d: np.ndarray, label: object, bound: np.ndarray) -> np.ndarray:
+        """Which cells can hold a member within each query's bound."""
+        if label not in self.count:
+            return np.zeros(d.shape, bool)
+        least = np.maximum(d - self.far[label][None, :], self.near[label][None, :] - d)
+        return (least <= bound[:, None] + SLACK) & (self.count[label] > 0)[None, :]
+
+
+def _survey(placed: DataFrame, pivots: np.ndarray, block_rows: int) -> Cells:
+    """Counts and radii per cell and label: at most pivots x labels rows come to the driver."""
+    def spread(value: float) -> np.ndarray:
+        return np.full(len(pivots), value)
+
+    near, far, count = {None: spread(np.inf)}, {None: spread(-np.inf)}, {None: spread(0)}
+    for r in placed.groupBy("cell", "label").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("n")).collect():
+        for label in {None, r["label"]}:
+            near.setdefault(label, spread(np.inf)), far.setdefault(label, spread(-np.inf)), count.setdefault(label, spread(0))
+            near[label][r["cell"]] = min(near[label][r["cell"]], r["lo"])
+            far[label][r["cell"]] = max(far[label][r["cell"]], r["hi"])
+            count[label][r["cell"]] += r["n"]
+    centred = pivots - pivots.mean(axis=0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if len(pivots) > 1 else np.zeros(1)
+    block, shares = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64)
+    at, held = 0, 0
+    for cell in along.argsort(kind="stable"):
+        n = int(count[None][cell])
+        if held and held + n > block_rows:
+            at, held = at + 1, 0
+        block[cell], shares[cell] = at, max(1, -(-n // block_rows))
+        at, held = (at + shares[cell], 0) if shares[cell] > 1 else (at, held + n)
+    return Cells(pivots, near, far, count, block, shares)
+
+
+def _top(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest entries of each row, ties to the smaller column, -inf left out; best first."""
+    if sim.shape[1] > k:
+        kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+        row, column = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
+    else:
+        row, column = np.nonzero(sim > -np.inf)
+    order = np.lexsort((column, -sim[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def _product(cells: Broadcast, k: int, skip_self: bool, kinds: pa.Schema):
+    """The k best of one corpus block for every query of one query block, within each query's bound."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        right = right.sort_by("id")
+        known, b, far = cells.value, _matrix(right["v"], right.num_rows), right["far"].to_numpy()
+        ids, labels, keys = (np.array(right[c].to_pylist(), dtype=object) for c in ("id", "label", "apart"))
+        inside, where = np.unique(right["cell"].to_numpy(), return_inverse=True)
+        a, bound = _matrix(left["v"], left.num_rows), left["bound"].to_numpy()
+        names, wants, own = (np.array(left[c].to_pylist(), dtype=object) for c in ("id", "label", "apart"))
+        out: list[tuple] = []
+        for at in range(0, left.num_rows, SLICE):
+            part = slice(at, at + SLICE)
+            # Triangle test: a member's distance from its pivot and the query's differ by no more than their distance.
+            d = _distances(a[part], known.pivots[inside])
+            fits = np.abs(d[:, where] - far[None, :]) <= bound[part, None] + SLACK
+            fits &= (wants[part, None] == labels[None, :]) | (wants[part, None] == None)  # noqa: E711
+            fits &= (own[part, None] != keys[None, :]) | (own[part, None] == None)  # noqa: E711
+            if skip_self:
+                fits &= names[part, None] != ids[None, :]
+            rows, columns = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+            if len(rows):
+                sim = np.round(a[part][rows] @ b[columns].T, 9)
+                sim[~fits[np.ix_(rows, columns)]] = -np.inf
+                i, j = _top(sim, k)
+                out.append((names[part][rows[i]], ids[columns[j]], sim[i, j]))
+        if not out:
+            return kinds.empty_table()
+        return pa.Table.from_arrays([pa.array(np.concatenate(c).tolist(), t) for c, t in zip(zip(*out), kinds.types)], schema=kinds)
+
+    return run
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = fixed.RETRIEVE_FETCH_K, key: str = "id", vector: str = "embedding",
-            max_pivots: int = 128, skip_self: bool = True) -> DataFrame:
+            max_pivots: int = MAX_PIVOTS, skip_self: bool = True, label: str | None = None, apart: str | None = None,
+            block_rows: int | None = None) -> DataFrame:
     """Exact top-k neighbours by cosine: (query, neighbour, similarity, rank). Ties go to the smaller key.
 
-    A metric k-nearest-neighbour join. A few corpus vectors serve as pivots and every vector belongs to the cell of its
-    nearest pivot. Distances from pivots bound each query's k-th neighbour from above and each cell's nearest member
-    from below, so a query visits only the cells that can hold a neighbour. Cells are cut into blocks of bounded size
-    and met through an equi-join on (cell, block); each block keeps k candidates per query before the final ranking.
-    The pivot table has at most `max_pivots` rows and each cell contributes at most k+1 distances to the bounds, so what
-    goes to the tasks as constants is bounded by parameters, not by the data.
+    `label` names a column of both sides: a query meets members of its own label only, one without a label meets all.
+    `apart` names a column in which query and neighbour must differ. Both are tested before ranking.
+
+    A metric join in two phases. About sqrt(n) corpus vectors are pivots, each vector lies in the cell of its nearest
+    one, and cells that lie side by side form blocks of bounded size; a cell beyond that is cut into several. Queries are
+    put into blocks by home cell. First every query block meets its home block, which gives each query a true k-th
+    similarity; counts and radii per cell and label give another bound. Then a query block meets each corpus block where
+    some query's bound reaches a cell with members of its label, and inside it every member takes the triangle test.
+    Only blocks are paired, so a row is sent at most once per block of the other side. Pivots and cell radii, at most
+    `max_pivots` vectors and `max_pivots` times labels rows, are all that goes through the driver.
     """
-    kind = corpus.schema[key].dataType
-    base = cut(corpus.select(F.col(key).alias("id"), unit(vector).alias("v")))
-    asked = cut(queries.select(F.col(key).alias("id"), unit(vector).alias("v")))
+    spark, kind = corpus.sparkSession, corpus.schema[key].dataType
+    ship(spark)
+
+    def read(df: DataFrame) -> DataFrame:
+        extra = [(F.col(c) if c else F.lit(None)).cast("string").alias(n) for n, c in (("label", label), ("apart", apart))]
+        return cut(df.select(F.col(key).alias("id"), unit(vector).alias("v"), *extra))
+
+    base, asked = read(corpus), read(queries)
     size, n_asked = base.count(), asked.count()
-    schema = T.StructType([T.StructField("query", kind), T.StructField("neighbour", kind), T.StructField("similarity", T.DoubleType())])
+    found_schema = T.StructType([T.StructField("query", queries.schema[key].dataType), T.StructField("neighbour", kind), T.StructField("similarity", T.DoubleType())])
     if not size or not n_asked:
-        return base.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
-    n_pivots = max(1, min(max_pivots, int(size ** 0.5)))
-    rows = base.orderBy(F.xxhash64("id"), "id").select("v").limit(n_pivots).collect()  # at most max_pivots rows
-    pivots = np.unique(np.array([r["v"] for r in rows], dtype=np.float64), axis=0)
-
-    placed = cut(_assign(base, pivots, kind))
-    need = k + (1 if skip_self else 0)
-    near = Window.partitionBy("cell").orderBy("far")
-    stats = placed.groupBy("cell").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("n")).collect()
-    close = placed.select("cell", "far").withColumn("n", F.row_number().over(near)).filter(F.col("n") <= need)
-    radius = {r["cell"]: (r["lo"], r["hi"]) for r in stats}  # one row per pivot
-    closest = [(r["cell"], r["far"]) for r in close.select("cell", "far").collect()]  # `need` rows per pivot
-    # A hot cell is cut into blocks, and so are the queries; each pair of blocks is one bounded product.
-    cuts = [1] * len(pivots)
-    for r in stats:
-        cuts[r["cell"]] = -(-r["n"] // BLOCK_ROWS)
-    block = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(c).cast("bigint") for c in cuts]), F.col("cell") + 1)).cast("int")
-    corpus_blocks = placed.withColumn("block", block)
-    parts_asked = -(-n_asked // BLOCK_ROWS)
-    cells = np.array(sorted(radius), dtype=np.int32)
-    lo, hi = np.array([radius[c][0] for c in cells]), np.array([radius[c][1] for c in cells])
-    member_cell = np.searchsorted(cells, np.array([c for c, _ in closest], dtype=np.int32))
-    member_far = np.array([d for _, d in closest])
-    centre = pivots[cells]
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return spark.createDataFrame([], T.StructType([*found_schema.fields, T.StructField("rank", T.IntegerType())]))
+    block_rows = block_rows or min(BLOCK_ROWS, max(SLICE, -(-max(size, n_asked) // spark.sparkContext.defaultParallelism)))
+    chosen = base.orderBy(F.xxhash64("id"), "id").select("v").limit(max(1, min(max_pivots, int(size ** 0.5)))).toArrow()
+    pivots = np.unique(_matrix(chosen["v"], chosen.num_rows), axis=0)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = np.array(batch["v"].tolist(), dtype=np.float64).reshape(len(batch), -1)
-            d = np.sqrt(np.maximum(0.0, (m * m).sum(1)[:, None] + (centre * centre).sum(1)[None, :] - 2.0 * m @ centre.T))
-            reach = d[:, member_cell] + member_far[None, :]
-            bound = np.partition(reach, need - 1, axis=1)[:, need - 1] if reach.shape[1] >= need else np.full(len(m), np.inf)
-            least = np.maximum(0.0, np.maximum(d - hi[None, :], lo[None, :] - d))
-            q, c = np.nonzero(least <= bound[:, None] + 1e-9)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[q], "v": batch["v"].to_numpy()[q], "cell": cells[c]})
-
-    visit_schema = T.StructType([T.StructField("id", kind), T.StructField("v", T.ArrayType(T.DoubleType())),
-                                 T.StructField("cell", T.IntegerType())])
-    visiting = asked.mapInPandas(visits, visit_schema)
-    blocks = corpus_blocks.select("cell", "block").distinct()
-    visiting = visiting.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts_asked).cast("bigint")).cast("int")).join(blocks, "cell")
-    parts = visiting.select("cell", "block", "part").distinct()
-    targets = corpus_blocks.join(parts, ["cell", "block"]).select(
-        F.col("cell").alias("t_cell"), F.col("block").alias("t_block"), F.col("part").alias("t_part"), "id", "v")
-
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "neighbour": [], "similarity": []})
-        other = right.sort_values("id")
-        b, ids = np.array(other["v"].tolist()), other["id"].to_numpy()
-        out = []
-        for start in range(0, len(left), BLOCK_ROWS):
-            piece = left.iloc[start:start + BLOCK_ROWS]
-            a, names = np.array(piece["v"].tolist()), piece["id"].to_numpy()
-            sim = np.round(a @ b.T, 9)
-            if skip_self:
-                sim[names[:, None] == ids[None, :]] = -np.inf
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(sim, top, axis=1)
-            keep = np.isfinite(score)
-            out.append(pd.DataFrame({"query": np.repeat(names, top.shape[1])[keep.ravel()], "neighbour": ids[top][keep],
-                                     "similarity": score[keep]}))
-        return pd.concat(out)
-
-    found = visiting.groupBy("cell", "block", "part").cogroup(
-        targets.groupBy("t_cell", "t_block", "t_part")).applyInPandas(product, schema)
+            cells, far = [], []
+            m = _matrix(batch["v"], batch.num_rows)
+            for at in range(0, batch.num_rows, 1024):
+                d = _distances(m[at:at + 1024], pivots)
+                cells.append(d.argmin(1))
+                far.append(d.min(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(cells), pa.int32()), pa.array(np.concatenate(far))],
+                                             schema=batch.schema.append(pa.field("cell", pa.int32())).append(pa.field("far", pa.float64())))
+
+    def with_cell(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(assign, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())]))
+
+    placed = cut(with_cell(base))
+    survey = _survey(placed, pivots, block_rows)
+    cells = spark.sparkContext.broadcast(survey)
+    # A cell's first block and its shares, at most one row per pivot.
+    table = spark.createDataFrame([(i, int(b), int(s)) for i, (b, s) in enumerate(zip(survey.block, survey.shares))], "cell int, first long, shares long")
+    share = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("shares"))).alias("block")
+    members = cut(placed.join(F.broadcast(table), "cell").select("id", "v", "label", "apart", "cell", "far", share))
+    homed = with_cell(asked).join(F.broadcast(table), "cell").select("id", "v", "label", "apart", share)
+    crowd = homed.groupBy("block").agg(F.count("*").alias("n"))  # one row per block at most
+    homed = cut(homed.join(F.broadcast(crowd), "block").select(
+        "id", "v", "label", "apart", "block", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / block_rows)).cast("int").alias("part")))
+
+    kinds = to_arrow_schema(found_schema)
+
+    def meet(asking: DataFrame, pairs: DataFrame) -> DataFrame:
+        """asking(home, part, ...) against members(block, ...) for pairs(home, part, block)."""
+        left = asking.join(pairs, ["home", "part"]).select("home", "part", "block", "id", "v", "label", "apart", "bound")
+        right = members.join(pairs, "block").select(
+            F.col("home").alias("r_home"), F.col("part").alias("r_part"), F.col("block").alias("r_block"), "id", "v", "label", "apart", "cell", "far")
+        return left.groupBy("home", "part", "block").cogroup(right.groupBy("r_home", "r_part", "r_block")).applyInArrow(
+            _product(cells, k, skip_self, kinds), found_schema)
+
+    asking = homed.withColumnRenamed("block", "home")
+    first = cut(meet(asking.withColumn("bound", F.lit(float("inf"))), asking.select("home", "part").distinct().withColumn("block", F.col("home"))))
+    kth = first.groupBy(F.col("query").alias("id")).agg(F.count("*").alias("n"), F.min("similarity").alias("least"))
+    true_bound = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * (F.col("least") - SLACK)))).otherwise(F.lit(float("inf")))
+    need = k + int(skip_self) if apart is None else None
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = cells.value
+        ends = known.block + known.shares
+        for batch in batches:
+            m, bound = _matrix(batch["v"], batch.num_rows), batch["bound"].to_numpy()
+            labels = np.array(batch["label"].to_pylist(), dtype=object)
+            home, part = batch["home"].to_numpy(), batch["part"].to_numpy()
+            met: set[tuple] = set()
+            for at in range(0, batch.num_rows, SLICE):
+                here = np.arange(at, min(at + SLICE, batch.num_rows))
+                d = _distances(m[here], known.pivots)
+                for want in set(labels[here].tolist()):
+                    mine = np.flatnonzero(labels[here] == want)
+                    limit = bound[here[mine]]
+                    if need is not None:
+                        # To a zero vector all are alike, however far.
+                        ranked = m[here[mine]].any(axis=1)
+                        limit = np.where(ranked, np.minimum(limit, known.reach(d[mine], want, need)), limit)
+                    rows, reached = np.nonzero(known.may_hold(d[mine], want, limit))
+                    who = here[mine[rows]]
+                    for h, p, c in set(zip(home[who].tolist(), part[who].tolist(), reached.tolist())):
+                        met.update((h, p, b) for b in range(known.block[c], ends[c]) if b != h)
+            yield pa.RecordBatch.from_pydict({"home": [x[0] for x in met], "part": [x[1] for x in met], "block": [x[2] for x in met]},
+                                             pa.schema([("home", pa.int64()), ("part", pa.int32()), ("block", pa.int64())]))
+
+    bounded = cut(asking.join(kth.select("id", true_bound.alias("bound")), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
+    pairs = cut(bounded.mapInArrow(visits, "home long, part int, block long").distinct())
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return first.unionByName(meet(bounded, pairs)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def mmr(candidates: DataFrame, corpus: DataFrame, k: int = fixed.RETRIEVE_K, weight: float = fixed.RETRIEVE_LAMBDA,
@@ -148,7 +282,8 @@ def mmr(candidates: DataFrame, corpus: DataFrame, k: int = fixed.RETRIEVE_K, wei
 
 def retrieve(queries: DataFrame, corpus: DataFrame, k: int = fixed.RETRIEVE_K, fetch_k: int = fixed.RETRIEVE_FETCH_K,
              weight: float = fixed.RETRIEVE_LAMBDA, key: str = "id", vector: str = "embedding", where=None,
-             skip_self: bool = True) -> DataFrame:
-    """Retrieval as a table function. The filter runs before ranking, so it never costs a query its neighbours."""
+             skip_self: bool = True, label: str | None = None, apart: str | None = None) -> DataFrame:
+    """Retrieval as a table function: (query, neighbour, place). Filters run before ranking, so they never cost a query
+    its neighbours: `where` is the same for all queries, `label` and `apart` differ by query (see `nearest`)."""
     pool = corpus if where is None else corpus.filter(where)
-    return mmr(nearest(queries, pool, fetch_k, key, vector, skip_self=skip_self), pool, k, weight, key, vector)
+    return mmr(nearest(queries, pool, fetch_k, key, vector, skip_self=skip_self, label=label, apart=apart), pool, k, weight, key, vector)
