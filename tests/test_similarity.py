@@ -298,3 +298,22 @@ def test_same_text_under_another_name(spark):
     assert ("genesis10", "genesis10staffing") not in best
     assert best[("beta", "acme")] == pytest.approx(round(over(other, rows[4][2]), 2))
     assert math.isclose(best[("acme", "genesis10")], best[("genesis10", "acme")])
+
+
+def test_precedents_are_real_judgments_of_other_postings(spark):
+    from vacancylens.operators import precedents
+
+    doc = "key string, content string, kind string, id string, scored boolean, prefiltered boolean, rationale string, title string, company string, verdict string, fit_score int, tier string, is_agency boolean, employment_type string, cadence string, rate string"
+    base = ("job", True, False, "fits well", "Dev", "acme", "FIT", 70, "PRIMARY", False, "contract", "", "")
+
+    def row(key, own, text="spark engineer remote", **other):
+        kind, scored, pre, why, *rest = base
+        return (key, text, other.get("kind", kind), own, other.get("scored", scored), other.get("pre", pre), other.get("why", why), *rest)
+
+    docs = spark.createDataFrame([row("a", "acme|dev|"), row("b", "beta|dev|"), row("c", "c|c|", scored=False), row("d", "d|d|", pre=True),
+                                  row("e", "e|e|", why="prefilter: x"), row("f", "f|f|", why="analysis_error: y"), row("g", "g|g|", kind="note")], doc)
+    jobs = spark.createDataFrame([(1, "Dev", "acme", "spark engineer"), (2, "", "", ""), (3, "Dev", "gamma", "spark")], "ord long, title string, company string, jd_text string")
+    got = {(r["query"], r["key"]) for r in precedents.find(jobs, docs).collect()}
+    assert got == {(1, "b"), (3, "a"), (3, "b")}
+    texts = {r["ord"]: r["precedents"] for r in precedents.with_precedents(jobs, docs, opening="Past", closing="End").collect()}
+    assert texts[2] == "" and texts[1] == "Past\n1. Dev @ acme — FIT 70/100 · PRIMARY · contract\n   why: fits well\nEnd"

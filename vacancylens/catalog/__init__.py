@@ -3,11 +3,10 @@
 from importlib import import_module
 
 MODULES = (
-    "scalars", "rules", "keys", "similarity", "measures", "ranking", "entities", "documents", "feeds", "sinks", "streams",
+    "scalars", "rules", "keys", "similarity", "measures", "ranking", "entities", "documents", "feeds", "sinks", "streams", "precedents",
 )
 
 
-
 def load() -> None:
     """Import every catalog module, which registers its queries."""
     for name in MODULES:

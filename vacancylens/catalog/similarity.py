@@ -126,19 +126,3 @@ TOPK = """u as materialized (select vec_id, cast(embedding as double[]) as e fro
 def knn_topk(spark, sf):
     v = table(spark, sf, "embeddings")
     return knn.nearest(v, v, 20, key="vec_id").select("query", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
-
-
-@query("mmr", f"""with {TOPK},
-    among as materialized (select x.query, x.neighbour as a, y.neighbour as b, list_cosine_similarity(ux.e, uy.e) as c from top x join top y using (query)
-      join u ux on ux.vec_id = x.neighbour join u uy on uy.vec_id = y.neighbour),
-    p1 as (select query, neighbour from top where rank = 1),
-    g2 as (select t.query, t.neighbour, t.rank, row_number() over (partition by t.query order by round(0.5 * t.sim - 0.5 * m.c, 9) desc, t.rank) as n
-      from top t join p1 on p1.query = t.query and p1.neighbour <> t.neighbour join among m on m.query = t.query and m.a = t.neighbour and m.b = p1.neighbour),
-    p2 as (select query, neighbour from g2 where n = 1),
-    g3 as (select t.query, t.neighbour, row_number() over (partition by t.query order by round(0.5 * t.sim - 0.5 * greatest(m.c, m2.c), 9) desc, t.rank) as n
-      from top t join p1 on p1.query = t.query and p1.neighbour <> t.neighbour join p2 on p2.query = t.query and p2.neighbour <> t.neighbour
-      join among m on m.query = t.query and m.a = t.neighbour and m.b = p1.neighbour join among m2 on m2.query = t.query and m2.a = t.neighbour and m2.b = p2.neighbour)
-  select query, neighbour, 1 as place from p1 union all select query, neighbour, 2 from p2 union all select query, neighbour, 3 from g3 where n = 1""")
-def mmr(spark, sf):
-    v = table(spark, sf, "embeddings")
-    return knn.retrieve(v, v, key="vec_id")
