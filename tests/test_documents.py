@@ -123,3 +123,18 @@ def test_brief_answers_replace(spark):
     df = spark.createDataFrame([("# B\n\n## Answered by the agent (old)\n\nx", "new"), ("# B\n", " ")], "m string, a string")
     got = [r[0] for r in df.select(briefs.with_answers("m", "a", "2024-01-02")).collect()]
     assert got == ["# B\n\n## Answered by the agent (2024-01-02, from its own web search)\n\nnew\n", "# B\n"]
+
+
+def test_lines_never_leave_their_row(spark):
+    df = spark.createDataFrame([("a", MARKDOWN)], "source string, text string")
+    for frame, doc in ((docs.chunk_markdown(df), None), (docs.section_classes(df, "source"), None)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_long_documents_with_many_headings(spark):
+    text = "\n".join(f"{'#' * (1 + i % 6)} h{i}\nline {i}\n```\n# no\n```" for i in range(3000))
+    df = spark.createDataFrame([("a", text)], "source string, text string")
+    got = [(r["heading_path"], r["content"]) for r in docs.chunk_markdown(df).orderBy("section").collect()]
+    want = read_sections(text)
+    assert len(got) == 3000 and [g[0] for g in got] == [" > ".join(p) for p, _ in want]

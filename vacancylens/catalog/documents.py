@@ -8,6 +8,7 @@ from vacancylens import fixed
 from vacancylens.catalog import twin as t
 from vacancylens.catalog.registry import query
 from vacancylens.catalog.views import run_sql, table
+from vacancylens.functions.text import WHITESPACE
 from vacancylens.operators import docs, ranking
 
 # Lines of apply documents: forty source documents make one, each giving one line.
@@ -67,6 +68,41 @@ MARKDOWN = """select concat('doc', cast(doc_id as varchar(20))) as source, conca
   '### Deep', chr(10), text, chr(10), chr(10), text, chr(10), '## Part two', chr(10), case when doc_id % 4 = 0 then '' else 'tail' end) as text from documents"""
 
 
-@query("md_chunks")
+_WS = t.q(WHITESPACE)
+_ATX = t.q(fixed.ATX_HEADING)
+# Paragraphs as pieces (t, alone), then a fold that fills parts up to the limit.
+_PACKED = f"""list_reduce(list_prepend({{'t': '', 'alone': false, 'parts': []::varchar[], 'buf': ''}}, list_transform(pieces, lambda p:
+    {{'t': p.t, 'alone': p.alone, 'parts': []::varchar[], 'buf': ''}})), lambda a, x: case
+  when x.alone then {{'t': '', 'alone': false, 'parts': list_append(case when a.buf <> '' then list_append(a.parts, a.buf) else a.parts end, x.t), 'buf': ''}}
+  when a.buf = '' then {{'t': '', 'alone': false, 'parts': a.parts, 'buf': x.t}}
+  when length(a.buf) + 2 + length(x.t) <= {fixed.CHUNK_CHARS} then {{'t': '', 'alone': false, 'parts': a.parts, 'buf': a.buf || chr(10) || chr(10) || x.t}}
+  else {{'t': '', 'alone': false, 'parts': list_append(a.parts, a.buf), 'buf': x.t}} end)"""
+CHUNKS_SQL = f"""with src as ({MARKDOWN}), ln as materialized (select source, string_split(text, chr(10)) as lines from src),
+  fl as (select source, list_filter(list_transform(lines, lambda l, i: {{'at': i - 1, 'm': regexp_extract(l, {t.q(fixed.FENCE)}, 1), 'open': '', 'start': 0::bigint,
+    'spans': []::struct(s bigint, e bigint)[]}}), lambda x: x.m <> '') as f from ln),
+  sp as materialized (select source, case when r.open <> '' then list_append(r.spans, {{'s': r.start, 'e': 2147483647::bigint}}) else r.spans end as spans from (
+    select source, list_reduce(list_prepend({{'at': 0::bigint, 'm': '', 'open': '', 'start': 0::bigint, 'spans': []::struct(s bigint, e bigint)[]}}, f), lambda a, x:
+      case when a.open = '' then {{'at': x.at, 'm': '', 'open': x.m, 'start': x.at, 'spans': a.spans}}
+        when a.open = x.m then {{'at': x.at, 'm': '', 'open': '', 'start': 0::bigint, 'spans': list_append(a.spans, {{'s': a.start, 'e': x.at}})}} else a end) as r from fl)),
+  l as materialized (select source, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as pos from ln),
+  h as materialized (select source, pos, length(nullif(regexp_extract(line, {_ATX}, 1), '')) as lev, trim(regexp_extract(line, {_ATX}, 2), {_WS}) as heading
+    from l join sp using (source) where regexp_extract(line, {_ATX}, 1) <> '' and len(list_filter(spans, lambda s: pos between s.s and s.e)) = 0),
+  pa as materialized (select a.source, a.pos, list(b.heading order by b.lev) as path from h a join h b on a.source = b.source and b.pos <= a.pos
+      and not exists (select 1 from h c where c.source = a.source and c.pos > b.pos and c.pos <= a.pos and c.lev <= b.lev) group by a.source, a.pos),
+  sec as (select l.source, l.pos, l.line, h.pos is not null as is_head, count(h.pos) over w as section, max(h.pos) over w as head_pos
+    from l left join h on h.source = l.source and h.pos = l.pos window w as (partition by l.source order by l.pos)),
+  body as materialized (select sec.source, section, trim(string_agg(line, chr(10) order by sec.pos), {_WS}) as body, any_value(head_pos) as head_pos from sec where not is_head group by sec.source, section),
+  par as (select body.*, coalesce(pa.path, []) as path, list_filter(list_transform(regexp_split_to_array(body, '\\n\\s*\\n'), lambda p: trim(p, {_WS})), lambda p: p <> '') as ps
+    from body left join pa on pa.source = body.source and pa.pos = body.head_pos where body <> ''),
+  pc as (select *, flatten(list_transform(ps, lambda p: list_transform(range(0, greatest(ceil(length(p) / {fixed.CHUNK_CHARS}), 1)::bigint), lambda i:
+    {{'t': substr(p, i * {fixed.CHUNK_CHARS} + 1, {fixed.CHUNK_CHARS}), 'alone': i < ceil(length(p) / {fixed.CHUNK_CHARS}) - 1}}))) as pieces from par),
+  fo as (select *, {_PACKED} as r from pc),
+  re as (select *, case when length(body) <= {fixed.CHUNK_CHARS} then [body] when r.buf <> '' then list_append(r.parts, r.buf) else r.parts end as all_parts from fo),
+  un as (select *, unnest(all_parts) as piece, generate_subscripts(all_parts, 1) as nth from re)
+  select source, section, array_to_string(path, ' > ') as heading_path, coalesce(path[-1], '') as heading, len(path)::int as heading_level, (nth - 1)::int as part, len(all_parts)::int as parts,
+    case when len(path) > 0 then array_to_string(list_transform(path, lambda x, i: repeat('#', i) || ' ' || x), chr(10)) || chr(10) || chr(10) || piece else piece end as content from un"""
+
+
+@query("md_chunks", CHUNKS_SQL)
 def md_chunks(spark, sf):
     return docs.chunk_markdown(run_sql(spark, MARKDOWN, sf, "documents"))

@@ -34,18 +34,26 @@ def _fenced_spans(lines: Column) -> Column:
         a["spans"], F.struct(a["start"].alias("start"), F.lit(2**31 - 1).alias("end")))).otherwise(a["spans"]))
 
 
-def _open_headings(doc: str, pos: str, level: str, payload: Column, levels: range) -> Column:
-    """The headings open at a line, outermost first: the last of each level that no outer heading has closed since."""
-    upto = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    last = {n: F.last(F.when(F.col(level) == n, F.struct(F.col(pos).alias("at"), payload.alias("p"))), ignorenulls=True).over(upto) for n in levels}
-    out = []
-    for n in levels:
-        outer = [F.coalesce(last[m]["at"], F.lit(-1)) for m in levels if m < n]
-        alive = last[n]["at"].isNotNull()
-        for at in outer:
-            alive = alive & (last[n]["at"] > at)
-        out.append(F.when(alive, last[n]["p"]))
-    return F.array_compact(F.array(*out))
+def _sections(lines: Column, headings: Column, payload: str) -> Column:
+    """The stretches of a text between its headings: (start, size, open), outermost open heading first.
+
+    headings: array of (at, level, p), in order. A heading closes all open ones of its level or deeper. Only headings are
+    folded; `start` is the line after the heading, counted from 1 as slices are, and before the first nothing is open.
+    """
+    stack = f"array<struct<level:int,p:{payload}>>"
+    kind = f"struct<stack:{stack},out:array<struct<at:int,open:array<{payload}>>>>"
+    begin = F.struct(F.array().cast(stack).alias("stack"), F.array(F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{payload}>").alias("open"))).alias("out")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        kept = F.filter(acc["stack"], lambda s: s["level"] < x["level"])
+        now = F.array_append(kept, F.struct(x["level"].alias("level"), x["p"].alias("p")).cast(f"struct<level:int,p:{payload}>"))
+        return F.struct(now.alias("stack"), F.array_append(acc["out"], F.struct(x["at"].alias("at"), F.transform(now, lambda s: s["p"]).alias("open"))).alias("out")).cast(kind)
+
+    def spans(out: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(out, 2, F.size(out)), lambda o: o["at"]), F.array(F.size(lines)))
+        return F.zip_with(out, ends, lambda o, e: F.struct((o["at"] + 2).alias("start"), (e - o["at"] - 1).alias("size"), o["open"].alias("open")))
+
+    return F.aggregate(headings, begin, step, lambda a: spans(a["out"]))
 
 
 def pack_paragraphs(text: Column, limit: int = fixed.CHUNK_CHARS) -> Column:
@@ -80,25 +88,20 @@ def pack_paragraphs(text: Column, limit: int = fixed.CHUNK_CHARS) -> Column:
 
 
 def chunk_markdown(df: DataFrame, doc: str = "source", text: str = "text", limit: int = fixed.CHUNK_CHARS) -> DataFrame:
-    """Heading-aware chunks: (source, heading_path, heading, heading_level, part, parts, content).
+    """Heading-aware chunks: (source, section, heading_path, heading, heading_level, part, parts, content).
 
-    Lines are rows while headings are resolved; a document, and so a window, is as long as one text.
+    A text is cut, resolved and packed inside its row, where it lies; only finished chunks become rows.
     """
-    lined = df.select(F.col(doc).alias("source"), split_lines(F.col(text)).alias("lines"))
-    spanned = lined.withColumn("spans", _fenced_spans(F.col("lines")))
-    rows = spanned.select("source", "spans", F.posexplode("lines").alias("pos", "line"))
-    fenced = F.exists("spans", lambda s: F.col("pos").between(s["start"], s["end"]))
-    hashes = F.regexp_extract("line", fixed.ATX_HEADING, 1)
-    level = F.when(~fenced & (hashes != ""), F.length(hashes))
-    rows = rows.select("source", "pos", "line", level.alias("level")).withColumn(
-        "heading", F.when(F.col("level").isNotNull(), strip(F.regexp_extract("line", fixed.ATX_HEADING, 2))))
-    upto = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    resolved = rows.withColumn("path", _open_headings("source", "pos", "level", F.col("heading"), range(1, 7))).withColumn(
-        "section", F.count("level").over(upto))
-    body = resolved.filter(F.col("level").isNull()).groupBy("source", "section").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"), F.max("path").alias("path"))
-    joined = strip(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    sections = body.select("source", "section", "path", joined.alias("body")).filter(F.col("body") != "")
+    lined = df.select(F.col(doc).alias("source"), split_lines(F.col(text)).alias("lines")).withColumn("spans", _fenced_spans(F.col("lines")))
+    marked = F.transform("lines", lambda line, i: F.struct(
+        i.cast("int").alias("at"), F.length(F.regexp_extract(line, fixed.ATX_HEADING, 1)).alias("level"), line.alias("line")))
+    open_headings = F.filter(marked, lambda x: (x["level"] > 0) & ~F.exists("spans", lambda s: x["at"].between(s["start"], s["end"])))
+    headings = F.transform(open_headings, lambda x: F.struct(
+        x["at"].alias("at"), x["level"].alias("level"), strip(F.regexp_extract(x["line"], fixed.ATX_HEADING, 2)).alias("p")))
+    resolved = lined.withColumn("sections", _sections(F.col("lines"), headings, "string"))
+    bodies = F.transform("sections", lambda s, i: F.struct(
+        i.cast("long").alias("section"), s["open"].alias("path"), strip(F.array_join(F.slice("lines", s["start"], s["size"]), "\n")).alias("body")))
+    sections = resolved.select("source", F.explode(F.filter(bodies, lambda x: x["body"] != "")).alias("s")).select("source", "s.*")
     parts = sections.withColumn("all_parts", pack_paragraphs(F.col("body"), limit))
     header = F.array_join(F.transform("path", lambda h, i: F.concat(F.repeat(F.lit("#"), (i + 1).cast("int")), F.lit(" "), h)), "\n")
     return parts.select("source", "section", "path", F.size("all_parts").alias("parts"), F.posexplode("all_parts").alias("part", "piece")).select(
@@ -107,43 +110,75 @@ def chunk_markdown(df: DataFrame, doc: str = "source", text: str = "text", limit
         F.when(F.size("path") > 0, F.concat(header, F.lit("\n\n"), "piece")).otherwise(F.col("piece")).alias("content"))
 
 
+def _is_flush(line: Column) -> Column:
+    """A line that starts at the margin and is no checkbox: it ends an entry."""
+    return (strip(line) != "") & ~F.substring(line, 1, 1).rlike(r"\s") & ~line.rlike(fixed.CHECKBOX)
+
+
+def _classed_entries(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, lines, stretches): the runs of lines under one section and one entry, all inside the document's row.
+
+    A stretch is (start, size, section_class, is_box): a checkbox line, or one at the margin, with the blank or indented
+    lines below it.
+    """
+    lined = df.select(F.col(doc).alias("doc"), split_lines(F.col(text)).alias("lines"))
+    marked = F.filter(F.transform("lines", lambda line, i: F.struct(
+        i.cast("int").alias("at"), F.length(F.regexp_extract(line, fixed.SECTION_HEADING, 1)).alias("level"), line.alias("line"))),
+        lambda x: (x["level"] > 0) & _is_flush(x["line"]))
+
+    def own(line: Column) -> Column:
+        heading = F.regexp_extract(line, fixed.SECTION_HEADING, 2)
+        return (F.when(heading.rlike(UNICODE_NOCASE + fixed.SKIP_HEADING), F.lit("skip"))
+                .when(heading.rlike(UNICODE_NOCASE + fixed.APPLY_HEADING), F.lit("apply")).otherwise(F.lit("")))
+
+    headings = F.transform(marked, lambda x: F.struct(x["at"].alias("at"), x["level"].alias("level"), own(x["line"]).alias("p")))
+
+    def named(open_: Column) -> Column:
+        known = F.filter(open_, lambda x: x != "")
+        return F.when(F.size(open_) == 0, F.lit("apply")).when(F.size(known) > 0, F.try_element_at(known, F.lit(-1))).otherwise(F.lit("unclassified"))
+
+    def stretches(section: Column) -> Column:
+        """Heading line first, then cuts at every line that begins or ends an entry; positions count from 1."""
+        first = F.greatest(section["start"] - 1, F.lit(1))
+        size = section["size"] + section["start"] - first
+        cuts = F.filter(F.transform(F.slice("lines", first, size), lambda line, i: F.struct(
+            (i + first).cast("int").alias("at"), line.rlike(fixed.CHECKBOX).alias("box"), _is_flush(line).alias("flush"))),
+            lambda x: x["box"] | x["flush"])
+        begun = F.concat(F.array(F.struct(first.cast("int").alias("at"), F.lit(False).alias("box"), F.lit(False).alias("flush"))), cuts)
+        ends = F.concat(F.transform(cuts, lambda x: x["at"]), F.array((first + size).cast("int")))
+        klass = named(section["open"])
+        return F.filter(F.zip_with(begun, ends, lambda x, e: F.struct(
+            x["at"].alias("start"), (e - x["at"]).alias("size"), klass.alias("section_class"), x["box"].alias("is_box"))), lambda x: x["size"] > 0)
+
+    resolved = lined.withColumn("sections", _sections(F.col("lines"), headings, "string"))
+    return resolved.select("doc", "lines", F.flatten(F.transform("sections", stretches)).alias("stretches"))
+
+
 def section_classes(df: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """Lines of apply documents with the class of their section and the entry they belong to.
 
     (doc, pos, line, section_class, entry): class apply, skip or unclassified; before any heading it is apply. A deeper
     heading that names neither inherits. An entry is a checkbox line and the blank or indented lines below it.
     """
-    rows = df.select(F.col(doc).alias("doc"), F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
-    checkbox = F.col("line").rlike(fixed.CHECKBOX)
-    flush = (strip("line") != "") & ~F.substring("line", 1, 1).rlike(r"\s") & ~checkbox
-    hashes = F.when(flush, F.regexp_extract("line", fixed.SECTION_HEADING, 1)).otherwise(F.lit(""))
-    heading = F.regexp_extract("line", fixed.SECTION_HEADING, 2)
-    own = (F.when(heading.rlike(UNICODE_NOCASE + fixed.SKIP_HEADING), F.lit("skip"))
-           .when(heading.rlike(UNICODE_NOCASE + fixed.APPLY_HEADING), F.lit("apply")).otherwise(F.lit("")))
-    rows = rows.select("doc", "pos", "line", checkbox.alias("is_box"), flush.alias("is_flush"),
-                       F.when(hashes != "", F.length(hashes)).alias("level"), F.when(hashes != "", own).alias("own"))
-    open_classes = _open_headings("doc", "pos", "level", F.col("own"), range(2, 7))
-    upto = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    event = F.last(F.when(F.col("is_box"), F.col("pos")).when(F.col("is_flush"), F.lit(-1)), ignorenulls=True).over(upto)
-    named = F.filter("open", lambda x: x != "")
-    klass = (F.when(F.size("open") == 0, F.lit("apply")).when(F.size(named) > 0, F.try_element_at(named, F.lit(-1)))
-             .otherwise(F.lit("unclassified")))
-    return rows.withColumn("open", open_classes).withColumn("event", event).select(
-        "doc", "pos", "line", "is_box", klass.alias("section_class"), F.when(F.col("event") >= 0, F.col("event")).alias("entry"))
+    rows = _classed_entries(df, doc, text)
+    listed = F.flatten(F.transform("stretches", lambda s: F.transform(F.slice("lines", s["start"], s["size"]), lambda line, i: F.struct(
+        (s["start"] - 1 + i).cast("int").alias("pos"), line.alias("line"), s["section_class"].alias("section_class"),
+        F.when(s["is_box"], s["start"] - 1).cast("int").alias("entry")))))
+    return rows.select("doc", F.explode(listed).alias("l")).select("doc", "l.*")
 
 
 def work_items(df: DataFrame, doc: str = "doc", text: str = "text", include_done: bool = False) -> DataFrame:
     """Open entries of apply sections: (doc, ord, company, role, folder, link, fit), one per folder, first wins.
 
-    Entries under an unclassified section come out with `problem` set instead of being guessed at.
+    Entries under an unclassified section come out with `problem` set instead of being guessed at. Lines never leave
+    their document's row; items alone meet by folder.
     """
-    lines = section_classes(df, doc, text).filter(F.col("entry").isNotNull())
-    box_text = F.regexp_extract("line", fixed.CHECKBOX, 2)
-    entry = lines.groupBy("doc", "entry").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("is_box"), box_text).otherwise(F.col("line")).alias("t")))),
-                                 lambda x: x["t"]), "\n").alias("body"),
-        F.max(F.when(F.col("is_box"), F.regexp_extract("line", fixed.CHECKBOX, 1))).alias("mark"),
-        F.max(F.when(F.col("is_box"), F.col("section_class"))).alias("section_class"))
+    boxes = F.transform(F.filter("stretches", lambda s: s["is_box"]), lambda s: F.struct(
+        (s["start"] - 1).cast("int").alias("entry"), s["section_class"].alias("section_class"),
+        F.element_at("lines", s["start"]).alias("box"), F.slice("lines", s["start"] + 1, s["size"] - 1).alias("below")))
+    entry = _classed_entries(df, doc, text).select("doc", F.explode(boxes).alias("b")).select(
+        "doc", "b.entry", "b.section_class", F.regexp_extract("b.box", fixed.CHECKBOX, 1).alias("mark"),
+        F.array_join(F.concat(F.array(F.regexp_extract("b.box", fixed.CHECKBOX, 2)), "b.below"), "\n").alias("body"))
     title = F.regexp_extract("body", fixed.BOLD_TITLE, 1)
     role = F.when(title.contains("@"), strip(F.regexp_extract(title, r"(?s)^(.*)@[^@]*$", 1))).otherwise(strip(title))
     company = F.when(title.contains("@"), strip(F.regexp_extract(title, r"(?s)@([^@]*)$", 1))).otherwise(F.lit(""))
