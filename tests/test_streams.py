@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from vacancylens.streaming import cache
+from vacancylens.streaming import cache, feed, keytable
 
 PROBES = "key string, at timestamp, entry boolean, value string"
 
@@ -70,3 +70,48 @@ def test_store_drops_keys_by_its_own_clock(spark, tmp_path):
     time.sleep(3)
     run([("a", day(2), False, None)], 2)
     assert answers(spark, base) == sorted([("a", 2, 1, 1, "one", 1), ("a", 2, None, None, None, 1)], key=str)
+
+
+def keys_of(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "key string")
+
+
+def test_a_batch_opens_only_folders_that_may_hold_its_keys(spark, tmp_path):
+    path = str(tmp_path / "seen")
+    table = keytable.KeyTable(spark, path, buckets=16, generations=4)
+    first = [f"k{i}" for i in range(400)]
+    assert table.known(keys_of(spark, "k1"), 0).count() == 0
+    table.append(keys_of(spark, *first), 0)
+    table.known(keys_of(spark, *[f"new{i}" for i in range(20)]), 1)
+    assert len(table.opened) <= 2  # false hits of the filters, out of 16 folders
+    known = table.known(keys_of(spark, "k7", "new1"), 1)
+    assert [r["key"] for r in known.collect()] == ["k7"] and len(table.opened) <= 2
+    files = table._rows().filter(table._of(table.opened)).select(F.input_file_name().alias("f")).distinct().collect()
+    assert len({r["f"].rsplit("/", 1)[0] for r in files}) == len(table.opened)
+    # A batch never sees what it wrote itself, and writing it again changes nothing.
+    for _ in range(2):
+        table.append(keys_of(spark, "x", "y"), 1)
+    assert table.known(keys_of(spark, "x", "k1"), 1).count() == 1
+    assert sorted(r["key"] for r in table.known(keys_of(spark, "x", "k1", None), 2).collect()) == ["k1", "x"]
+
+
+def test_many_generations_are_merged(spark, tmp_path):
+    table = keytable.KeyTable(spark, str(tmp_path / "seen"), buckets=2, generations=3)
+    for batch in range(8):
+        table.append(keys_of(spark, *[f"b{batch}-{i}" for i in range(30)]), batch)
+    gens = {r["bucket"]: r["n"] for r in table._filters().groupBy("bucket").agg(F.countDistinct("gen").alias("n")).collect()}
+    assert set(gens) == {0, 1} and max(gens.values()) <= 4
+    everything = keys_of(spark, *[f"b{b}-{i}" for b in range(8) for i in range(30)])
+    assert table.known(everything, 99).select("key").distinct().count() == 240
+    assert table.known(everything, 7).select("key").distinct().count() == 210
+
+
+def test_index_reads_hashes_not_texts(spark, tmp_path):
+    base, schema = str(tmp_path), "key string, content string, run string, ord long"
+    for run, rows in enumerate([[("k", "v1"), ("m", "x")], [("k", "v1"), ("m", "y")], [("k", "v2"), ("m", "y")], [("k", "v1")]]):
+        df = spark.createDataFrame([(*r, str(run), i) for i, r in enumerate(rows)], schema)
+        df.write.mode("append").parquet(f"{base}/in")
+        feed.index_feed(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/index", f"{base}/cp", df.schema).awaitTermination(120)
+    got = sorted((r["key"], r["content"], r["batch"]) for r in spark.read.parquet(f"{base}/index").collect())
+    assert got == [("k", "v1", 0), ("k", "v1", 3), ("k", "v2", 2), ("m", "x", 0), ("m", "y", 1)]
+    assert "content" not in spark.read.parquet(f"{base}/index-versions/rows").columns

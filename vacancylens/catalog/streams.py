@@ -8,7 +8,7 @@ from vacancylens.catalog.keys import identified
 from vacancylens.catalog.registry import query
 from vacancylens.catalog.rules import JD
 from vacancylens.catalog.sinks import keyword_scorer
-from vacancylens.catalog.views import table, with_views
+from vacancylens.catalog.views import run_sql, table, with_views
 from vacancylens.operators import hooks
 from vacancylens.session import run_dir
 from vacancylens.streaming import cache, feed
@@ -26,7 +26,7 @@ def stream_seen(spark, sf):
     for part in range(3):
         landed.filter(F.col("ord") % 3 == part).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(landed.schema).parquet(f"{base}/in")
-        _finish(feed.drop_seen(stream, f"{base}/keys", f"{base}/out", f"{base}/checkpoint"))
+        _finish(feed.drop_seen(stream, f"{base}/keys", f"{base}/out", f"{base}/checkpoint", buckets=16))
     return spark.read.parquet(f"{base}/out").select("user_id", "event_type", "ord")
 
 
@@ -77,3 +77,21 @@ def ttl_cache_stream(spark, sf):
     out = spark.read.parquet(f"{base}/out")
     return out.select("key", F.date_format("today", "yyyy-MM-dd").alias("today"), F.date_format("researched", "yyyy-MM-dd").alias("researched"),
                       "age_days", "value", "asked")
+
+
+_LANDED = """select concat('k', cast(cast(floor(doc_id / 9) as bigint) % 60 as varchar(20))) as key, doc_id as ord, cast(doc_id % 3 as varchar(20)) as run,
+  case when doc_id % 4 = 0 then text else concat('unchanged ', cast(doc_id % 2 as varchar(20))) end as content from documents"""
+
+
+@query("index_stream", f"""with l as ({_LANDED}), n as (select * from l qualify row_number() over (partition by key, run order by ord desc) = 1),
+  c as (select *, lag(content) over (partition by key order by run) as before from n)
+  select key, run, ord, sha256(content) as hash from c where before is null or before <> content""")
+def index_stream(spark, sf):
+    """Documents landing in three runs: of each run only the new and changed ones are indexed."""
+    base = run_dir(spark, "index")
+    landed = run_sql(spark, _LANDED, sf, "documents")
+    for run in range(3):
+        landed.filter(F.col("run") == str(run)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(landed.schema).parquet(f"{base}/in")
+        _finish(feed.index_feed(stream, f"{base}/index", f"{base}/checkpoint", landed.schema))
+    return spark.read.parquet(f"{base}/index").select("key", "run", "ord", "hash")

@@ -16,44 +16,37 @@ def split_lines(text: Column) -> Column:
     return F.split(blank(text), _LINE_END)
 
 
-def _fenced_spans(lines: Column) -> Column:
-    """Spans (start, end) of fenced blocks. Only fence lines are folded; a fence closes on its own marker alone."""
-    marked = F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.regexp_extract(line, fixed.FENCE, 1).alias("m")))
-    fences = F.filter(marked, lambda x: x["m"] != "")
-    kind = "struct<open:string,start:int,spans:array<struct<start:int,end:int>>>"
-    begin = F.struct(F.lit("").alias("open"), F.lit(-1).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        span = F.struct(acc["start"].alias("start"), x["at"].cast("int").alias("end"))
-        opened = F.struct(x["m"].alias("open"), x["at"].cast("int").alias("start"), acc["spans"].alias("spans"))
-        closed = F.struct(F.lit("").alias("open"), F.lit(-1).alias("start"), F.array_append(acc["spans"], span).alias("spans"))
-        return F.when(acc["open"] == "", opened.cast(kind)).when(acc["open"] == x["m"], closed.cast(kind)).otherwise(acc)
-
-    # A fence left open runs to the end of the document.
-    return F.aggregate(fences, begin, step, lambda a: F.when(a["open"] != "", F.array_append(
-        a["spans"], F.struct(a["start"].alias("start"), F.lit(2**31 - 1).alias("end")))).otherwise(a["spans"]))
-
-
-def _sections(lines: Column, headings: Column, payload: str) -> Column:
+def _sections(lines: Column, marks: Column, payload: str) -> Column:
     """The stretches of a text between its headings: (start, size, open), outermost open heading first.
 
-    headings: array of (at, level, p), in order. A heading closes all open ones of its level or deeper. Only headings are
-    folded; `start` is the line after the heading, counted from 1 as slices are, and before the first nothing is open.
+    marks: array of (at, fence, level, p), in order: a line with a fence mark, or a heading. A heading closes all open ones
+    of its level or deeper; inside a fence, which closes on its own mark alone or runs to the end, there are none. Only
+    marks are folded; `start` is the line after the heading, counted from 1 as slices are, and before the first nothing
+    is open.
     """
     stack = f"array<struct<level:int,p:{payload}>>"
-    kind = f"struct<stack:{stack},out:array<struct<at:int,open:array<{payload}>>>>"
-    begin = F.struct(F.array().cast(stack).alias("stack"), F.array(F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{payload}>").alias("open"))).alias("out")).cast(kind)
+    kind = f"struct<fence:string,stack:{stack},out:array<struct<at:int,open:array<{payload}>>>>"
+    before = F.array(F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{payload}>").alias("open")))
+    begin = F.struct(F.lit("").alias("fence"), F.array().cast(stack).alias("stack"), before.alias("out")).cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
+    def opened(acc: Column, x: Column) -> Column:
         kept = F.filter(acc["stack"], lambda s: s["level"] < x["level"])
         now = F.array_append(kept, F.struct(x["level"].alias("level"), x["p"].alias("p")).cast(f"struct<level:int,p:{payload}>"))
-        return F.struct(now.alias("stack"), F.array_append(acc["out"], F.struct(x["at"].alias("at"), F.transform(now, lambda s: s["p"]).alias("open"))).alias("out")).cast(kind)
+        return F.struct(acc["fence"].alias("fence"), now.alias("stack"), F.array_append(acc["out"], F.struct(
+            x["at"].alias("at"), F.transform(now, lambda s: s["p"]).alias("open"))).alias("out")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        def fenced(mark: Column) -> Column:
+            return F.struct(mark.alias("fence"), acc["stack"].alias("stack"), acc["out"].alias("out")).cast(kind)
+
+        return (F.when(x["fence"] == "", F.when(acc["fence"] == "", opened(acc, x)).otherwise(acc))
+                .when(acc["fence"] == "", fenced(x["fence"])).when(acc["fence"] == x["fence"], fenced(F.lit(""))).otherwise(acc))
 
     def spans(out: Column) -> Column:
         ends = F.concat(F.transform(F.slice(out, 2, F.size(out)), lambda o: o["at"]), F.array(F.size(lines)))
         return F.zip_with(out, ends, lambda o, e: F.struct((o["at"] + 2).alias("start"), (e - o["at"] - 1).alias("size"), o["open"].alias("open")))
 
-    return F.aggregate(headings, begin, step, lambda a: spans(a["out"]))
+    return F.aggregate(marks, begin, step, lambda a: spans(a["out"]))
 
 
 def pack_paragraphs(text: Column, limit: int = fixed.CHUNK_CHARS) -> Column:
@@ -92,12 +85,12 @@ def chunk_markdown(df: DataFrame, doc: str = "source", text: str = "text", limit
 
     A text is cut, resolved and packed inside its row, where it lies; only finished chunks become rows.
     """
-    lined = df.select(F.col(doc).alias("source"), split_lines(F.col(text)).alias("lines")).withColumn("spans", _fenced_spans(F.col("lines")))
-    marked = F.transform("lines", lambda line, i: F.struct(
-        i.cast("int").alias("at"), F.length(F.regexp_extract(line, fixed.ATX_HEADING, 1)).alias("level"), line.alias("line")))
-    open_headings = F.filter(marked, lambda x: (x["level"] > 0) & ~F.exists("spans", lambda s: x["at"].between(s["start"], s["end"])))
-    headings = F.transform(open_headings, lambda x: F.struct(
-        x["at"].alias("at"), x["level"].alias("level"), strip(F.regexp_extract(x["line"], fixed.ATX_HEADING, 2)).alias("p")))
+    lined = df.select(F.col(doc).alias("source"), split_lines(F.col(text)).alias("lines"))
+    marked = F.filter(F.transform("lines", lambda line, i: F.struct(
+        i.cast("int").alias("at"), F.regexp_extract(line, fixed.FENCE, 1).alias("fence"),
+        F.length(F.regexp_extract(line, fixed.ATX_HEADING, 1)).alias("level"), line.alias("line"))), lambda x: (x["fence"] != "") | (x["level"] > 0))
+    headings = F.transform(marked, lambda x: F.struct(
+        x["at"].alias("at"), x["fence"].alias("fence"), x["level"].alias("level"), strip(F.regexp_extract(x["line"], fixed.ATX_HEADING, 2)).alias("p")))
     resolved = lined.withColumn("sections", _sections(F.col("lines"), headings, "string"))
     bodies = F.transform("sections", lambda s, i: F.struct(
         i.cast("long").alias("section"), s["open"].alias("path"), strip(F.array_join(F.slice("lines", s["start"], s["size"]), "\n")).alias("body")))
@@ -131,7 +124,8 @@ def _classed_entries(df: DataFrame, doc: str, text: str) -> DataFrame:
         return (F.when(heading.rlike(UNICODE_NOCASE + fixed.SKIP_HEADING), F.lit("skip"))
                 .when(heading.rlike(UNICODE_NOCASE + fixed.APPLY_HEADING), F.lit("apply")).otherwise(F.lit("")))
 
-    headings = F.transform(marked, lambda x: F.struct(x["at"].alias("at"), x["level"].alias("level"), own(x["line"]).alias("p")))
+    headings = F.transform(marked, lambda x: F.struct(
+        x["at"].alias("at"), F.lit("").alias("fence"), x["level"].alias("level"), own(x["line"]).alias("p")))
 
     def named(open_: Column) -> Column:
         known = F.filter(open_, lambda x: x != "")

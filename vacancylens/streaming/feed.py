@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vacancylens.operators.index import changed_documents
 from vacancylens.operators.keys import new_keys, seen_keys
 from vacancylens.operators.windows import first_per_key, newest_per_key
+from vacancylens.streaming.keytable import BUCKETS, KeyTable
 
 
 def read_table(spark: SparkSession, folder: str, file: str, schema: T.StructType, per_trigger: int | None = None) -> DataFrame:
@@ -33,62 +33,49 @@ def load_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def of_batch(table: DataFrame, batch: DataFrame, key: str = "key") -> DataFrame:
-    """The rows of a table that grows for ever whose key the batch holds.
-
-    The batch's keys are the small side: while they fit the session's broadcast size Spark sends them to the table's
-    splits, and the table is scanned but not shuffled.
-    """
-    return table.join(batch.select(key).distinct(), key, "left_semi")
-
-
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Each batch owns one partition, so a batch that runs again replaces what it wrote before."""
     df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
-SEEN = T.StructType([T.StructField("key", T.StringType()), T.StructField("batch", T.LongType())])
-
-
-def drop_seen(stream: DataFrame, seen_path: str, out_path: str, checkpoint: str, key: str = "key", ord_col: str = "ord") -> StreamingQuery:
+def drop_seen(stream: DataFrame, seen_path: str, out_path: str, checkpoint: str, key: str = "key", ord_col: str = "ord",
+              buckets: int = BUCKETS) -> StreamingQuery:
     """Rows whose key no earlier batch carried, one per key; their keys then join the seen table.
 
-    The seen set grows for ever by design, so it is a table and not operator state. Rows are written before keys: a crash
-    between the two repeats the batch, and both writes replace their own partition.
+    The seen set grows for ever by design, so it is a table of hash buckets and not operator state; a batch opens only
+    what may hold its keys. Rows are written before keys: a crash between the two repeats the batch, and both writes
+    replace their own partition.
     """
     written = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = load_or_empty(spark, seen_path, SEEN).filter(F.col("batch") != batch_id).select(F.col("key").alias(key))
-        fresh = batch.filter(F.col(key).isNotNull()).join(of_batch(earlier, batch, key), key, "left_anti")
-        write_batch(first_per_key(fresh, key, ord_col).select(*stream.columns), out_path, batch_id)
+        seen = KeyTable(spark, seen_path, buckets=buckets)
+        named = batch.filter(F.col(key).isNotNull())
+        earlier = seen.known(named.select(F.col(key).alias("key")), batch_id).select(F.col("key").alias(key)).distinct()
+        write_batch(first_per_key(named.join(earlier, key, "left_anti"), key, ord_col).select(*stream.columns), out_path, batch_id)
         out = load_or_empty(spark, out_path, written).filter(F.col("batch") == batch_id)
-        write_batch(out.select(F.col(key).alias("key")), seen_path, batch_id)
+        seen.append(out.select(F.col(key).cast("string").alias("key")), batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drop_seen_bounded(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Bounded variant: state forgets a key once the watermark has passed it."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-
-
-def score_feed(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], state_path: str, seen_path: str, checkpoint: str) -> StreamingQuery:
+def score_feed(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], state_path: str, seen_path: str, checkpoint: str,
+               buckets: int = BUCKETS) -> StreamingQuery:
     """Score in batches; state is written before seen keys, so a crash costs a batch and never a judgment.
 
     Errored rows leave no key and come back. `stream` rows carry id, link and analysis columns the scorer fills.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        seen = KeyTable(spark, seen_path, buckets=buckets)
         write_batch(scorer(batch), state_path, batch_id)
         scored = spark.read.parquet(state_path).filter(F.col("batch") == batch_id)
         if "duplicates" not in scored.columns:
             scored = scored.withColumn("duplicates", F.lit(None).cast("array<struct<id:string>>"))
-        earlier = load_or_empty(spark, seen_path, SEEN).filter(F.col("batch") != batch_id).select("key")
         keys = seen_keys(scored)
-        write_batch(new_keys(keys, of_batch(earlier, keys)), seen_path, batch_id)
+        seen.append(new_keys(keys, seen.known(keys, batch_id)), batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -117,16 +104,21 @@ def keep_daily(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return totals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
 
 
-def index_feed(stream: DataFrame, index_path: str, checkpoint: str, schema: T.StructType) -> StreamingQuery:
+def index_feed(stream: DataFrame, index_path: str, checkpoint: str, schema: T.StructType, versions_path: str | None = None,
+               buckets: int = BUCKETS) -> StreamingQuery:
     """Only new and changed documents of each batch reach the index table (and an embedder behind it).
 
-    The table is append-only by batch; a key's newest batch is its document.
+    The table is append-only by batch; a key's newest batch is its document. Which version of a key stands there is kept
+    beside it as a table of content hashes, in hash buckets: no batch reads a text that was indexed before.
     """
-    versioned = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = load_or_empty(batch.sparkSession, index_path, versioned).filter(F.col("batch") != batch_id)
-        current = newest_per_key(of_batch(known, batch), "key", "batch", "key")
-        write_batch(changed_documents(newest_per_key(batch, "key"), current).drop("change"), index_path, batch_id)
+        spark = batch.sparkSession
+        versions = KeyTable(spark, versions_path or f"{index_path.rstrip('/')}-versions", "key string, hash string, batch long", buckets)
+        current = newest_per_key(batch, "key").withColumn("hash", F.sha2("content", 256))
+        known = versions.known(current.select("key"), batch_id).groupBy("key").agg(F.max_by("hash", "batch").alias("old"))
+        fresh = current.join(known, "key", "left").filter(F.col("old").isNull() | (F.col("old") != F.col("hash"))).drop("old")
+        write_batch(fresh.select(*schema.names, "hash"), index_path, batch_id)
+        out = load_or_empty(spark, index_path, T.StructType.fromDDL("key string, hash string, batch long")).filter(F.col("batch") == batch_id)
+        versions.append(out, batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
