@@ -122,6 +122,37 @@ def test_near_duplicates_equal_brute_force(spark):
         assert survivor == min(members, key=lambda i: (-len(jobs[i][2]), i))
 
 
+@pytest.mark.parametrize("block", [7, 8192])
+def test_a_text_under_thousands_of_names_gives_linear_edges(spark, block):
+    """Long titles that fail the cosine among names that pass; the components equal those of all pairs."""
+    rng, few = random.Random(8), block == 7
+    body = " ".join(rng.choices([f"word{i}" for i in range(300)], k=120))
+    other = " ".join([*body.split()[:-1], "tail"])
+    long = [" ".join(rng.choices([f"t{i}" for i in range(40)], k=60)) for _ in range(30)]
+    n = 120 if few else 5000
+    jobs = [(f"c{rng.randrange(n // 4)}", long[i % 30] if i % 3 == 0 else f"dev {i % (n // 3)}", body if i % 2 else other, False) for i in range(n)]
+    jobs += [("solo", f"only {i}", body.replace("word1 ", "x "), False) for i in range(3)]
+    df = spark.createDataFrame([(i, *j) for i, j in enumerate(jobs)], "ord int, company string, title string, jd_text string, from_correspondence boolean")
+    prepared = neardup.cut(neardup.prepare(df))
+    reps = neardup.cut(neardup.classes(prepared))
+    edges = neardup.class_edges(reps, neardup.text_pairs(df, prepared), block=block)
+    assert edges.count() <= (60 if few else 6) * reps.count()
+    if few:
+        groups = {}
+        for r in neardup.with_survivor(df).collect():
+            groups.setdefault(r["component"], set()).add(r["ord"])
+        assert {frozenset(g) for g in groups.values()} == brute_groups(jobs)
+        whole = neardup.class_edges(reps, neardup.text_pairs(df, prepared))
+        assert {tuple(sorted(g)) for g in linked(edges)} == {tuple(sorted(g)) for g in linked(whole)}
+
+
+def linked(edges):
+    groups = {}
+    for r in graph.components(edges).collect():
+        groups.setdefault(r["component"], set()).add(r["node"])
+    return groups.values()
+
+
 def test_one_company_two_titles_stay_apart(spark):
     body = " ".join(f"w{i}" for i in range(150))
     df = spark.createDataFrame([(0, "acme", "Dev", body, False), (1, "acme", "Lead", body, False)], "ord int, company string, title string, jd_text string, from_correspondence boolean")

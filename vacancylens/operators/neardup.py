@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from vacancylens.functions.text import blank, norm_text, shingle_hashes, words
 from vacancylens.functions.vectors import bucket_counts, dot, norm
 from vacancylens.operators.graph import components
 from vacancylens.operators.setjoin import similar_pairs
-from vacancylens.session import cut
+from vacancylens.session import cut, ship
 
 
 def _embed_text(title: str, text: str, chars: int | None) -> Column:
@@ -89,52 +92,104 @@ def _titles_allow(a: str, b: str) -> Column:
     return (F.col(f"{a}.c") != F.col(f"{b}.c")) | (F.col(f"{a}.t") == F.col(f"{b}.t"))
 
 
-def class_edges(reps: DataFrame, pairs: DataFrame, min_cosine: float = fixed.NEAR_DUP_COSINE) -> DataFrame:
+FEW = 256
+BLOCK_TITLES = 8192
+SLICE = 512
+_EDGE = "a string, b string"
+
+
+def _forest(min_cosine: float):
+    """Edges of a spanning forest of the passing pairs between two blocks of titles: linear in the titles."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        left, right = rows.filter(pc.field("first")), rows.filter(~pc.field("first"))
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
+
+        def side(rows: pa.Table) -> tuple:
+            m = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1).astype(float)
+            return (rows["x"].to_numpy(zero_copy_only=False), m, np.sqrt((m * m).sum(axis=1)),
+                    *(rows[c].to_numpy(zero_copy_only=False) for c in ("t", "low", "high")))
+
+        (x, a, na, ta, la, ha), (y, b, nb, tb, lb, hb) = side(left), side(right)
+        names = np.unique(np.concatenate([x, y]))
+        root = np.arange(len(names))
+        at_x, at_y = np.searchsorted(names, x), np.searchsorted(names, y)
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out = []
+        for start in range(0, len(x), SLICE):
+            part = slice(start, start + SLICE)
+            scale = na[part, None] * nb[None, :]
+            near = (scale > 0) & (a[part] @ b.T >= min_cosine * scale - 1e-12)
+            # Two titles of one company that has no other name under either may not merge.
+            alone = (la[part] == ha[part])[:, None] & (lb == hb)[None, :] & (la[part][:, None] == lb[None, :])
+            near &= ~alone | (ta[part][:, None] == tb[None, :])
+            for i, row in enumerate(near, start):
+                mine = at_x[i]
+                labels = root[at_y[row]]
+                for j in at_y[row][np.unique(labels, return_index=True)[1]] if len(labels) else ():
+                    p, q = find(mine), find(int(j))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out.append((names[mine], names[j]))
+        return pa.table({"a": pa.array([e[0] for e in out], pa.string()), "b": pa.array([e[1] for e in out], pa.string())})
+
+    return run
+
+
+def title_vertices(reps: DataFrame) -> DataFrame:
+    """(text_key, t, v, x, low, high): the titles a text stands under, each with its first class and two of its companies.
+
+    Classes of one text and title differ in their company alone, so they pass every test with each other. Whether two
+    titles meet depends on no more of their companies than whether both have one, and the same.
+    """
+    return reps.filter(F.col("n_words") >= fixed.SHINGLE_WORDS).groupBy("text_key", "t", "v").agg(
+        F.min(F.struct("ord", "class_key"))["class_key"].alias("x"), F.min("c").alias("low"), F.max("c").alias("high"))
+
+
+def class_edges(reps: DataFrame, pairs: DataFrame, min_cosine: float = fixed.NEAR_DUP_COSINE, block: int = BLOCK_TITLES) -> DataFrame:
     """Edges (a, b) over class keys that connect exactly what all passing pairs would connect.
 
-    A text posted under very many names has very many classes, and all pairs of two such texts would be their product.
-    So each class meets only two pivots of a neighbouring text - its first class, and its first class of another
-    company - and the class of its own company and title there. Where all those meetings pass the cosine test, they
-    connect what the product would. A class that fails one, and every class of a text whose pivots fail each other, is
-    compared with all its neighbours instead.
+    The classes of one text and title hang on their first one. Neighbouring texts, and each text with itself, meet title
+    by title: a few titles in a plain join, many in blocks whose passing pairs leave a spanning forest, so a text under
+    thousands of names gives edges in proportion to its names, whatever passes and whatever fails. A text whose shingle
+    set is empty overlaps nothing, not even itself.
     """
-    # A text whose shingle set is empty overlaps nothing, not even itself.
-    texts = reps.filter(F.col("n_words") >= fixed.SHINGLE_WORDS).select("text_key").distinct()
-    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
-        texts.select(F.col("text_key").alias("a"), F.col("text_key").alias("b")))
-    p1 = reps.groupBy("text_key").agg(F.min(F.struct("ord", "class_key", "c", "t")).alias("p1"))
-    others = reps.join(p1, "text_key").filter(F.col("c") != F.col("p1.c"))
-    p2 = others.groupBy("text_key").agg(F.min(F.struct("ord", "class_key", "c", "t")).alias("p2"))
-    pivots = p1.select("text_key", "p1.class_key").unionByName(p2.select("text_key", "p2.class_key"))
-
-    of_a = reps.select(F.col("text_key").alias("a"), F.col("class_key").alias("x"), "c", "t")
-    to_pivots = of_a.join(near, "a").join(
-        pivots.select(F.col("text_key").alias("b"), F.col("class_key").alias("y")), "b").select("x", "y")
-    same_name = of_a.join(near.filter("a < b"), "a").join(
-        reps.select(F.col("text_key").alias("b"), F.col("class_key").alias("y"), "c", "t"), ["b", "c", "t"]).select("x", "y")
-    meetings = to_pivots.unionByName(same_name).filter("x <> y").select(
-        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-    full = reps.select("class_key", "text_key", "c", "t", "v")
-
-    def judge(candidates: DataFrame) -> DataFrame:
-        met = candidates.join(full.alias("p"), F.col("x") == F.col("p.class_key")).join(
-            full.alias("q"), F.col("y") == F.col("q.class_key")).filter(_titles_allow("p", "q"))
-        return met.select("x", "y", F.col("p.text_key").alias("tx"), F.col("q.text_key").alias("ty"),
-                          _similar("p", "q", min_cosine).alias("passes"))
-
-    judged = cut(judge(meetings))
-    failed = judged.filter(~F.col("passes"))
-    pivot_pairs = p1.join(p2, "text_key").select(F.least("p1.class_key", "p2.class_key").alias("x"),
-                                                 F.greatest("p1.class_key", "p2.class_key").alias("y"))
-    bad_texts = failed.join(pivot_pairs, ["x", "y"], "left_semi").select(F.col("tx").alias("text_key")).distinct()
-    unsafe = failed.select(F.explode(F.array("x", "y")).alias("x")).unionByName(
-        reps.join(bad_texts, "text_key", "left_semi").select(F.col("class_key").alias("x"))).distinct()
-    rest = of_a.join(unsafe, "x", "left_semi").join(near, "a").join(
-        reps.select(F.col("text_key").alias("b"), F.col("class_key").alias("y")), "b").filter("x <> y").select(
-        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    slow = judge(rest.join(judged, ["x", "y"], "left_anti"))
-    return judged.unionByName(slow).filter("passes").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    ship(reps.sparkSession)
+    titles = cut(title_vertices(reps))
+    members = reps.join(titles.select("text_key", "t", "v", "x"), ["text_key", "t", "v"]).filter("class_key <> x").select(
+        F.col("x").alias("a"), F.col("class_key").alias("b"))
+    sizes = titles.groupBy("text_key").agg(F.count("*").alias("n"))
+    # A text meets its neighbours and, if it stands under several titles, itself.
+    itself = sizes.filter("n > 1").select(F.explode(F.array(F.struct(F.col("text_key").alias("a"), F.col("text_key").alias("b")))).alias("e")).select("e.a", "e.b")
+    near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(itself)
+    near = near.join(sizes.select(F.col("text_key").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("text_key").alias("b"), F.col("n").alias("nb")), "b")
+
+    few = near.filter(F.col("na") * F.col("nb") <= FEW).join(titles.alias("p"), F.col("a") == F.col("p.text_key")).join(
+        titles.alias("q"), F.col("b") == F.col("q.text_key"))
+    alone = (F.col("p.low") == F.col("p.high")) & (F.col("q.low") == F.col("q.high")) & (F.col("p.low") == F.col("q.low"))
+    meets = (F.col("p.x") != F.col("q.x")) & (~alone | (F.col("p.t") == F.col("q.t"))) & _similar("p", "q", min_cosine)
+    plain = few.filter(meets).select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
+
+    many = near.filter(F.col("na") * F.col("nb") > FEW).withColumn("parts_a", F.ceil(F.col("na") / block).cast("int")).withColumn(
+        "parts_b", F.ceil(F.col("nb") / block).cast("int"))
+
+    def dealt(own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        rows = titles.join(many, F.col("text_key") == F.col(own)).withColumn(
+            mine, F.pmod(F.xxhash64("x"), F.col(f"parts_{own}")).cast("int")).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1)))
+        return rows.filter((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j"))).select("a", "b", "i", "j", "x", "t", "v", "low", "high")
+
+    sides = dealt("a", "b", "i", "j").withColumn("first", F.lit(True)).unionByName(dealt("b", "a", "j", "i").withColumn("first", F.lit(False)))
+    forest = sides.groupBy("a", "b", "i", "j").applyInArrow(_forest(min_cosine), _EDGE)
+    return members.unionByName(plain).unionByName(forest)
 
 
 def with_survivor(df: DataFrame, ord_col: str = "ord", text: str = "jd_text", min_cosine: float = fixed.NEAR_DUP_COSINE,
@@ -163,7 +218,9 @@ def collapse(df: DataFrame, ord_col: str = "ord", text: str = "jd_text", max_lis
     """
     groups = cut(with_survivor(df, ord_col, text, **options))
     lost = groups.filter("ord <> survivor")
-    side = df.select(F.col(ord_col).alias("ord"), "id", "company", "title", "link", words(text).alias("w"),
+    # Only texts that take part in a comparison are tokenised again.
+    taking = lost.select(F.explode(F.array("ord", "survivor")).alias(ord_col)).distinct()
+    side = df.join(taking, ord_col, "left_semi").select(F.col(ord_col).alias("ord"), "id", "company", "title", "link", words(text).alias("w"),
                      bucket_counts(_embed_text("title", text, options.get("embed_chars"))).alias("v"))
     members = lost.join(side, "ord")
     heads = side.select(F.col("ord").alias("survivor"), F.col("w").alias("w_s"), F.col("v").alias("v_s")).join(

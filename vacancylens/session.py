@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -24,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="vacancylens-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
@@ -50,9 +52,11 @@ def state_store(spark: SparkSession, provider: str = ROCKS) -> Iterator[None]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and ends the plan of an iterative job."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame to the shared folder and read it back: its plan is computed once and ends there, and a lost executor
+    costs a reread."""
+    path = run_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
