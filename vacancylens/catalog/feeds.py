@@ -10,7 +10,8 @@ from vacancylens.catalog.registry import query
 from vacancylens.catalog.rules import _entities
 from vacancylens.catalog.scalars import _WS
 from vacancylens.catalog.views import postings, run_sql, table
-from vacancylens.sources import boards, email_messages, feeds, jsonld, registry, states
+from vacancylens.session import run_dir
+from vacancylens.sources import boards, email_messages, feeds, jsonld, registry, states, payloads
 
 VISIBLE = f"""trim(regexp_replace(array_to_string(list_transform(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda l: trim(l, {_WS})), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_WS})"""
 _DAY = "concat('2024-01-', lpad(cast(1 + doc_id % 28 as varchar(20)), 2, '0'))"
@@ -339,3 +340,18 @@ def src_union(spark, sf):
     }
     rows, _ = registry.union_sources(builders)
     return rows.groupBy("source", "channel_rank").agg(F.count("*").alias("n"))
+
+
+@query("src_landed", """select 'remotive' as source, 0 as channel_rank, count(*) as n, count(distinct doc_id) as links from documents where doc_id % 4 <> 0
+  union all select 'jsearch', 1, count(*), count(distinct doc_id) from documents""")
+def src_landed(spark, sf):
+    """Two feeds landed as payload files and read back through the data source."""
+    base = run_dir(spark, "payloads")
+    d = docs(spark, sf)
+    item = F.struct(F.concat(F.lit("https://r/"), "key").alias("url"), F.lit("t").alias("title"), F.when(F.expr("doc_id % 4 = 0"), "Marketing").otherwise("Devops").alias("category"))
+    other = F.struct(F.concat(F.lit("https://j/"), "key").alias("job_apply_link"), F.lit("t").alias("job_title"))
+    for name, body in (("remotive", item), ("jsearch", other)):
+        d.select(F.to_json(body).alias("body")).write.text(f"{base}/{name}")
+    payloads.register(spark)
+    rows, _ = payloads.union_landed(spark, base, {"remotive": feeds.remotive, "jsearch": feeds.jsearch})
+    return rows.groupBy("source", "channel_rank").agg(F.count("*").alias("n"), F.countDistinct("link").alias("links"))

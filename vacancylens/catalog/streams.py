@@ -11,7 +11,7 @@ from vacancylens.catalog.sinks import keyword_scorer
 from vacancylens.catalog.views import run_sql, table, with_views
 from vacancylens.operators import hooks
 from vacancylens.session import run_dir
-from vacancylens.streaming import cache, feed
+from vacancylens.streaming import cache, feed, health
 
 
 def _finish(q):
@@ -95,3 +95,54 @@ def index_stream(spark, sf):
         stream = spark.readStream.schema(landed.schema).parquet(f"{base}/in")
         _finish(feed.index_feed(stream, f"{base}/index", f"{base}/checkpoint", landed.schema))
     return spark.read.parquet(f"{base}/index").select("key", "run", "ord", "hash")
+
+
+# The events in three landings of ten days. Every 50th is undated; of the first five days, some come only with the second
+# landing, days too late; of the tenth day, some come then too, late but within two days, and others come twice.
+_DAY = "extract(day from ts)"
+
+
+@query("late_rows", f"""select event_id, event_id % 50 <> 7 as dated from events where event_id % 50 = 7 or ({_DAY} >= 2 and not (event_id % 50 = 3 and {_DAY} <= 5))""")
+def late_rows(spark, sf):
+    """Rows from the second day on, once each: undated ones stay, those behind the watermark go."""
+    base = run_dir(spark, "late")
+    day = F.dayofmonth("ts")
+    events = table(spark, sf, "events").select("event_id", F.col("event_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    held = (F.col("event_id") % 50 == 3) & ((day <= 5) | (day == 10))
+    again = (day == 10) & (F.col("event_id") % 10 == 0) | (F.col("event_id") % 100 == 7) & (day <= 10)
+    landings = [(day <= 10) & ~held, day.between(11, 20) | held | again, day > 20]
+    for when in landings:
+        landed = events.filter(when).select("event_id", "key", F.when(F.col("event_id") % 50 != 7, F.col("ts")).alias("ts"))
+        landed.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(landed.schema).parquet(f"{base}/in")
+        inside = feed.fresh(stream, F.lit("2024-01-02").cast("timestamp"), time="ts")
+        _finish(feed.drop_seen(inside, f"{base}/keys", f"{base}/out", f"{base}/checkpoint", ord_col="event_id", buckets=16))
+    return spark.read.parquet(f"{base}/out").select("event_id", F.col("ts").isNotNull().alias("dated"))
+
+
+_SOURCES = {"view": None, "click": None, "signup": None, "purchase": None, "ghost": None, "keyed": "skipped: no key"}
+
+
+@query("source_rot_stream", f"""with r(source, reason) as (values {', '.join(f"('{k}', {'null' if v is None else repr(v)})" for k, v in _SOURCES.items())}),
+  e as (select event_type as source, event_id % 3 as batch, value from events where not (event_type = 'signup' and event_id % 3 = 1)),
+  c as (select b.batch, r.source, reason, count(e.batch) as raw, count(*) filter (e.source = 'click' and value > 20 or e.source <> 'click' and value > 1000000) as kept
+    from r cross join (values (0), (1), (2)) b(batch) left join e on e.source = r.source and e.batch = b.batch group by all)
+  select batch::bigint as batch, source, raw, kept, case when raw > 0 then 'ok' else coalesce(reason, 'nothing returned') end as status, raw = 0 and reason is null as alert from c""")
+def source_rot_stream(spark, sf):
+    """Events of four sources in three landings, one of them without any row of one source; two more sources are registered."""
+    base = run_dir(spark, "health")
+    events = table(spark, sf, "events").select(F.col("event_type").alias("source"), "value", "event_id")
+    is_kept = F.when(F.col("source") == "click", F.col("value") > 20).otherwise(F.col("value") > 1_000_000)
+    listener = health.SourceListener(spark, _SOURCES, f"{base}/health")
+    spark.streams.addListener(listener)
+    try:
+        for part in range(3):
+            landed = events.filter((F.col("event_id") % 3 == part) & ~((F.col("source") == "signup") & (F.lit(part) == 1)))
+            landed.write.mode("append").parquet(f"{base}/in")
+            stream = health.observed(spark.readStream.schema(landed.schema).parquet(f"{base}/in"), _SOURCES, is_kept)
+            running = stream.writeStream.format("parquet").option("path", f"{base}/out").option(
+                "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+            health.run_watched(running, listener)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.read.schema(health.HEALTH).parquet(f"{base}/health")

@@ -52,10 +52,11 @@ def drop_seen(stream: DataFrame, seen_path: str, out_path: str, checkpoint: str,
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = KeyTable(spark, seen_path, buckets=buckets)
-        named = batch.filter(F.col(key).isNotNull())
+        named = batch.filter(F.col(key).isNotNull()).persist()
         earlier = seen.known(named.select(F.col(key).alias("key")), batch_id).select(F.col("key").alias(key)).distinct()
         write_batch(first_per_key(named.join(earlier, key, "left_anti"), key, ord_col).select(*stream.columns), out_path, batch_id)
         out = load_or_empty(spark, out_path, written).filter(F.col("batch") == batch_id)
+        named.unpersist()
         seen.append(out.select(F.col(key).cast("string").alias("key")), batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -80,9 +81,14 @@ def score_feed(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], stat
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def fresh(stream: DataFrame, since: Column, time: str = "posted", delay: str = "2 days") -> DataFrame:
-    """Window on the dated rows only: late ones fall to the watermark, undated ones pass and meet the seen table later."""
-    dated = stream.filter(F.col(time).isNotNull() & (F.col(time) >= since)).withWatermark(time, delay)
+def fresh(stream: DataFrame, since: Column, key: str = "key", time: str = "posted", delay: str = "2 days") -> DataFrame:
+    """Rows inside the window, late and undated ones by rule.
+
+    Dated rows before `since` are dropped. The others carry a watermark: a row further behind than `delay` is too late
+    and dropped, and a key that comes again within the delay passes once; state forgets it after that. Undated rows have
+    no place on that clock: they pass without state and meet the seen table later (`drop_seen`).
+    """
+    dated = stream.filter(F.col(time).isNotNull() & (F.col(time) >= since)).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
     return dated.unionByName(stream.filter(F.col(time).isNull()))
 
 
