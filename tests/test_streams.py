@@ -115,3 +115,41 @@ def test_index_reads_hashes_not_texts(spark, tmp_path):
     got = sorted((r["key"], r["content"], r["batch"]) for r in spark.read.parquet(f"{base}/index").collect())
     assert got == [("k", "v1", 0), ("k", "v1", 3), ("k", "v2", 2), ("m", "x", 0), ("m", "y", 1)]
     assert "content" not in spark.read.parquet(f"{base}/index-versions/rows").columns
+
+
+def test_landed_payloads_open_only_the_folders_asked_for(spark, tmp_path):
+    from vacancylens.sources import payloads
+
+    for name, lines in (("a", ["1", "é"]), ("b", ["x"]), ("c", [])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.json").write_text("".join(f"{x}\n" for x in lines), encoding="utf-8")
+    (tmp_path / "a" / "two.json").write_text("last line without end")
+    (tmp_path / "a" / "_SUCCESS").write_text("no payload")
+    payloads.register(spark)
+    rows = spark.read.format(payloads.FORMAT).load(str(tmp_path))
+    got = sorted((r["source"], r["file"].rsplit("/", 1)[1], r["ord"], r["body"]) for r in rows.collect())
+    assert got == [("a", "one.json", 0, "1"), ("a", "one.json", 1, "é"), ("a", "two.json", 0, "last line without end"), ("b", "one.json", 0, "x")]
+    reader = payloads.PayloadReader(f"file://{tmp_path}")
+    assert len(reader.partitions()) == 4
+    assert list(reader.pushFilters([payloads.EqualTo(("source",), "a"), payloads.EqualTo(("body",), "1")])) == [payloads.EqualTo(("body",), "1")]
+    assert len(reader.partitions()) == 2
+    assert rows.filter("source in ('b', 'c')").count() == 1
+    assert "source" in rows.filter("source = 'a'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_source_that_returns_nothing_raises_an_alert(spark, tmp_path):
+    from vacancylens.streaming import health
+
+    listener = health.SourceListener(spark, {"a": None, "b": None, "k": "no key"}, str(tmp_path / "health"))
+    assert listener.rows(3, {"raw_0": 5, "kept_0": 0, "raw_1": 0, "kept_1": 0, "raw_2": 0, "kept_2": 0}) == [
+        (3, "a", 5, 0, "ok", False), (3, "b", 0, 0, "nothing returned", True), (3, "k", 0, 0, "no key", False)]
+
+
+def test_late_rows_go_and_undated_rows_stay(spark, tmp_path):
+    base, schema = str(tmp_path), "key string, posted timestamp, ord long"
+    landings = [[("a", day(10), 1), ("a", day(10), 2), ("old", day(1), 3), ("u", None, 4)],
+                [("late", day(5), 5), ("near", day(9), 6), ("a", day(10), 7), ("u", None, 8), ("v", None, 9)], [("a", day(20), 10)]]
+    for rows in landings:
+        stream = feed.fresh(land(spark, base, rows, schema), F.lit(day(2)))
+        feed.drop_seen(stream, f"{base}/keys", f"{base}/out", f"{base}/cp", buckets=2).awaitTermination(120)
+    assert sorted(r["key"] for r in spark.read.parquet(f"{base}/out").collect()) == ["a", "near", "u", "v"]

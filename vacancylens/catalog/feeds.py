@@ -11,7 +11,7 @@ from vacancylens.catalog.rules import _entities
 from vacancylens.catalog.scalars import _WS
 from vacancylens.catalog.views import postings, run_sql, table
 from vacancylens.session import run_dir
-from vacancylens.sources import boards, email_messages, feeds, jsonld, registry, states, payloads
+from vacancylens.sources import boards, email_messages, feeds, jsonld, payloads, registry, states
 
 VISIBLE = f"""trim(regexp_replace(array_to_string(list_transform(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda l: trim(l, {_WS})), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_WS})"""
 _DAY = "concat('2024-01-', lpad(cast(1 + doc_id % 28 as varchar(20)), 2, '0'))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -63,7 +64,7 @@ class PayloadReader(DataSourceReader):
                                                "ord": pa.array(range(at, at + n), pa.int64()), "body": pa.array(lines, pa.string())})
 
         with system.open_input_stream(partition.path) as raw:
-            for line in pa.PythonFile(raw, mode="r") if not hasattr(raw, "readline") else iter(raw.readline, b""):
+            for line in io.BufferedReader(raw, 1 << 20):
                 lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
                 if len(lines) >= BATCH_LINES:
                     yield batch()
@@ -90,17 +91,19 @@ class LandedPayloads(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session. Filters reach it where spark.sql.python.filterPushdown.enabled is set."""
+    """Make the format known to a session, and let filters reach it, which it needs to leave folders closed."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LandedPayloads)
 
 
 def union_landed(spark: SparkSession, path: str, parsers: Mapping[str, Callable[[DataFrame], DataFrame]],
                  enabled: Callable[[str], bool] | None = None) -> tuple[DataFrame | None, list[SourceStatus]]:
-    """All landed sources in registry order, parsed by `parsers`: source to a function of its (ord, body) rows."""
-    landed = spark.read.format(FORMAT).load(path)
+    """All landed sources in registry order, parsed by `parsers`: source to a function of its (ord, body) rows.
 
+    Every source loads the folder for itself: a filter stays with the reader it was pushed to.
+    """
     def builder(name: str) -> Callable[[], DataFrame]:
-        return lambda: parsers[name](landed.filter(F.col("source") == name).select("ord", "body"))
+        return lambda: parsers[name](spark.read.format(FORMAT).load(path).filter(F.col("source") == name).select("ord", "body"))
 
     return union_sources({name: builder(name) for name in parsers}, enabled)
