@@ -12,6 +12,7 @@ from vacancylens.catalog.similarity import KEYWORDS, leader_sql
 from vacancylens.catalog.views import postings, run_sql, table, with_views
 from vacancylens.operators import bands, leader, market
 from vacancylens.plans import report, retrospective, snapshots
+from vacancylens.session import run_dir
 
 FACTS = f""", uni as materialized ({LATEST}), facts as materialized (select *, jd_source = 'full' and trim(fetched_jd) <> '' as is_read,
     case when jd_source = 'full' and trim(fetched_jd) <> '' then {t.midpoint(t.rate('fetched_jd'))} end as hourly,
@@ -277,23 +278,45 @@ _METRIC_ROWS = f"""r as ({RATES}), s as ({SPLITS}), w as ({WINDOW}), m as (
   union all select 'count_' || field || '_' || trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_'), n from s)"""
 
 
-@query("snapshot_metrics", with_views(FACTS + f", {_METRIC_ROWS} select key, round(value, 4) as value from m where value is not null", "postings"))
+_ALL_METRICS = f"""{_METRIC_ROWS}, e as ({EMPLOYERS}), am as (select * from m union all
+    select 'employers_who_s_hiring_direct', count(*) filter (not is_agency) from e union all select 'employers_who_s_hiring_agencies', count(*) filter (is_agency) from e)"""
+
+
+@query("snapshot_metrics", with_views(FACTS + f", {_ALL_METRICS} select key, round(sum(value), 4) as value from am where value is not null group by key", "postings"))
 def snapshot_metrics(spark, sf):
     snap = snapshots.snapshot(retrospective.build(postings(spark, sf)), "2024-01-07", "abc")
-    return snap.select(F.explode("metrics").alias("key", "value")).filter(~F.col("key").startswith("employers_")).select(
-        "key", F.round("value", 4).alias("value"))
+    return snap.select(F.explode("metrics").alias("key", "value")).select("key", F.round("value", 4).alias("value"))
+
+
+@query("snapshot_terms", with_views(FACTS + f", tm as ({TERMS}) select field, label, total::bigint as total from tm where place <= {fixed.SNAPSHOT_TERMS}", "postings"))
+def snapshot_terms(spark, sf):
+    """The leading terms of every field as the snapshot keeps them."""
+    snap = snapshots.snapshot(retrospective.build(postings(spark, sf)), "2024-01-07", "abc")
+    return snap.select(F.explode("terms").alias("field", "m")).select("field", F.explode("m").alias("label", "total"))
 
 
 _LONG_STATS = " union all ".join(f"select 'inbox' as part, 'rate reality' as section, scope as item, '{x}' as metric, {x} as value, n, total, '' as note from r where n > 0" for x in bands.STATS)
 _BAND_STATS = " union all ".join(f"select 'baseline', 'calc', occupation, '{x}', {x}, n, n, {t.q(fixed.CEILING_FLAG)} from b where {x} is not null" for x in bands.STATS)
 
 
-@query("report_long", with_views(FACTS + f""", r as ({RATES}), b as (select term as occupation, count(current_price) as n, {t.stats('current_price')} from ({RATE_ROWS}) group by term)
+def _long(source, section, item, n, total, note, *measures):
+    return " ".join(f"union all select 'inbox', {section}, {item}, '{m}', {m}::double, {n}, {total}, {note} from {source}" for m in measures)
+
+
+@query("report_long", with_views(FACTS + f""", r as ({RATES}), b as (select term as occupation, count(current_price) as n, {t.stats('current_price')} from ({RATE_ROWS}) group by term),
+    s as ({SPLITS}), tm as ({TERMS}), e as ({EMPLOYERS}), gaps as (select * from (values ('split employment_type'), ('split cadence'), ('terms resume_keywords'), ('terms red_flags'), ('terms none')) g(section)),
+    present as (select 'split ' || field as section from s union select 'terms ' || field from tm)
   {_LONG_STATS} union all select 'inbox', 'rate reality', scope, 'gap', null, n, total, {t.q(report.NO_RATE)} from r where n = 0
+  {_long('s', "'split ' || field", 'label', 'n', 'n', "''", 'n', 'share')}
+  {_long('tm', "'terms ' || field", 'label', 'contributing', 'postings', "'top ' || place || ' of ' || all_clusters", 'total', 'spellings')}
+  {_long('e', "case when is_agency then 'employers agency' else 'employers direct' end", 'name', 'n', 'n', "''", 'n', 'spellings')}
+  union all select 'inbox', section, '', 'gap', null, 0, 0, {t.q(report.NO_TERMS)} from gaps where section not in (select section from present)
   union all {_BAND_STATS} union all select 'baseline', 'bls', '', 'gap', null, 0, 0, {t.q(report.NO_BAND)}""", "postings"))
 def report_long(spark, sf):
-    """Rate and band parts with their gap rows; the second baseline is expected and sends nothing here."""
+    """The whole report with its gap rows, written for its date and read back; the second baseline sends nothing here."""
     found = bands.ceiling_bands(run_sql(spark, RATE_ROWS, sf, "lineitem")).withColumn("source", F.lit("calc")).withColumn("is_predicted", F.lit(False))
     expected = spark.createDataFrame([("calc",), ("bls",)], "source string")
-    rows = report.rate_rows(market.rate_reality(facts(spark, sf))).unionByName(report.band_rows(found, expected))
-    return rows.select("part", "section", "item", "metric", "value", "n", "total", "note")
+    rows = report.report(retrospective.build(postings(spark, sf)), found, expected, (*report.SECTIONS, "terms none"))
+    path = run_dir(spark, "report")
+    report.write_report(rows, "2024-01-07", path)
+    return spark.read.parquet(path).select("part", "section", "item", "metric", "value", "n", "total", "note")

@@ -124,7 +124,7 @@ def email_source(spark, sf):
 # Page links made absolute, plus the links inside mail: both kinds of text go through the same buckets.
 LINKED_TEXT_SQL = """(select concat('p', cast(page_id as varchar(20))) as doc, concat(
     replace(html, 'href="/', concat('href="https://', case page_id % 3 when 0 then 'boards.greenhouse.io' when 1 then 'licdn.com' else 'jobs.example.com' end, '/')),
-    ' ', url, ' ', url, '?utm_source=again#x)') as body from pages
+    ' ', url, ' ', url, '?utm_source=again#x) ', url, '&eacute;t&#233;&amp;n=1&rsquo;') as body from pages
   union all select mid as doc, content as body from mail)"""
 
 
@@ -133,13 +133,13 @@ def linked_text(spark, sf):
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc"),
         F.concat(F.replace("html", F.lit('href="/'), F.concat(F.lit('href="https://'), F.expr(
             "case page_id % 3 when 0 then 'boards.greenhouse.io' when 1 then 'licdn.com' else 'jobs.example.com' end"), F.lit("/"))),
-            F.lit(" "), "url", F.lit(" "), "url", F.lit("?utm_source=again#x)")).alias("body"))
+            F.lit(" "), "url", F.lit(" "), "url", F.lit("?utm_source=again#x) "), "url", F.lit("&eacute;t&#233;&amp;n=1&rsquo;")).alias("body"))
     return p.unionByName(mail(spark, sf).select(F.col("mid").alias("doc"), F.col("content").alias("body")))
 
 
 def _entities(x: str) -> str:
     from vacancylens.functions.text import _ENTITIES
-    for old, new in (("&copy;", "©"), ("&middot;", "·"), *_ENTITIES):  # pages hold the first two beside the common ones
+    for old, new in (("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&#233;", "é"), ("&rsquo;", "’"), *_ENTITIES):
         x = f"replace({x}, {t.q(old)}, {t.q(new)})"
     return x
 

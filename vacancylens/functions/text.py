@@ -128,9 +128,11 @@ _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#
              ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
 
 
-_OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in _ENTITIES) + ");)[#A-Za-z]"
 _CODED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-_UNCLOSED = "^(" + "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)) + ")"
+_OPEN_NAMES = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+_UNCLOSED = f"^({_OPEN_NAMES})"
+# Something that can be a reference, and is none of the common ones: `&page=2` of a link is not.
+_OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in _ENTITIES) + f");)(?:#[0-9xX]|[A-Za-z][A-Za-z0-9]*;|{_OPEN_NAMES})"
 _C1 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
 
 
@@ -143,16 +145,29 @@ def _numbered(code: Column) -> Column:
             .when(dropped, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
 
 
+def _named() -> Column:
+    """The names in one map per first letter, from `A` on: a map is searched from its start, so short ones are found faster."""
+    def letter(code: int) -> Column:
+        pairs = "\x01".join(f"{k}\x02{v}" for k, v in _CODED.items() if k.startswith(chr(code)))
+        return F.str_to_map(F.lit(pairs or "\x02"), F.lit("\x01"), F.lit("\x02"))
+
+    return F.array(*[letter(code) for code in range(ord("A"), ord("z") + 1)])
+
+
 def _after_ampersand(p: Column, coded: Column) -> Column:
     """A piece of text that followed an ampersand, with the reference that it begins with, if any, decoded by the map of names."""
     digits, hexed = F.regexp_extract(p, "^#0*([0-9]*)", 1), F.regexp_extract(p, "^#[xX]0*([0-9a-fA-F]*)", 1)
     code = F.when(p.rlike("^#[0-9]"), F.when(F.length(digits) > 8, F.lit(-1)).otherwise(F.concat(F.lit("0"), digits).try_cast("bigint"))).otherwise(
         F.when(F.length(hexed) > 8, F.lit(-1)).otherwise(F.conv(F.concat(F.lit("0"), hexed), 16, 10).try_cast("bigint")))
     closed, unclosed = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(p, _UNCLOSED, 1)
+
+    def value(name: Column) -> Column:
+        return F.try_element_at(F.try_element_at(coded, F.ascii(name) - ord("A") + 1), name)
+
     return (F.when(p.rlike("^#([0-9]|[xX][0-9a-fA-F])"), F.concat(
                 _numbered(code.cast("bigint")), F.regexp_replace(p, "^#([0-9]+|[xX][0-9a-fA-F]+);?", "")))
-            .when(F.try_element_at(coded, closed).isNotNull(), F.concat(F.try_element_at(coded, closed), F.substr(p, F.length(closed) + 2)))
-            .when(unclosed != "", F.concat(F.try_element_at(coded, unclosed), F.substr(p, F.length(unclosed) + 1)))
+            .when((closed != "") & value(closed).isNotNull(), F.concat(value(closed), F.substr(p, F.length(closed) + 2)))
+            .when(unclosed != "", F.concat(value(unclosed), F.substr(p, F.length(unclosed) + 1)))
             .otherwise(F.concat(F.lit("&"), p)))
 
 
@@ -167,9 +182,9 @@ def unescape(c: Column | str) -> Column:
             common = F.replace(common, F.lit(entity), F.lit(char))
         pieces = F.split(x, "&")
         later = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-        names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _CODED.items())), F.lit("\x01"), F.lit("\x02"))
-        each = let(names, lambda coded: F.array_join(F.transform(later, lambda p: _after_ampersand(p, coded)), ""))
-        return F.when(x.rlike(_OTHER_ENTITY), F.concat(F.try_element_at(pieces, F.lit(1)), each)).otherwise(common)
+        each = let(_named(), lambda coded: F.array_join(F.transform(later, lambda p: _after_ampersand(p, coded)), ""))
+        return (F.when(~x.contains("&"), x)
+                .when(x.rlike(_OTHER_ENTITY), F.concat(F.try_element_at(pieces, F.lit(1)), each)).otherwise(common))
 
     return let(col(c), decoded)
 

@@ -67,10 +67,10 @@ def classify_links(df: DataFrame, doc: str, text: str, cap: int | None = None) -
     occurrence stands for an identity. All are kept unless `cap` bounds each document's bucket, as the mail format does
     with `fixed.MAIL_URL_CAP`.
     """
-    found = F.regexp_extract_all(blank(text), F.lit(f"({fixed.URL_IN_TEXT})"), F.lit(1))
-    rows = df.select(doc, F.posexplode(found).alias("pos", "raw"))
-    url = unescape(F.rtrim(F.col("raw"), F.lit(".,)>\"'")))
-    rows = rows.select(doc, "pos", url.alias("url")).withColumn("identity", link_identity("url"))
+    raw = F.regexp_extract_all(blank(text), F.lit(f"({fixed.URL_IN_TEXT})"), F.lit(1))
+    # Decoded before the explode: a column made after it would be worked out again in every test of the filter.
+    found = F.transform(raw, lambda u: unescape(F.rtrim(u, F.lit(".,)>\"'"))))
+    rows = df.select(doc, F.posexplode(found).alias("pos", "url")).withColumn("identity", link_identity("url"))
     nocase = UNICODE_NOCASE
     junk = (F.col("url").rlike(nocase + fixed.ASSET_URL) | F.col("url").rlike(nocase + fixed.JUNK_HOST)
             | F.col("url").rlike(nocase + fixed.JUNK_PATH))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +48,27 @@ def band_rows(bands: DataFrame, expected: DataFrame) -> DataFrame:
     return found.unionByName(missing)
 
 
-def report(r: Retrospective, bands: DataFrame, expected: DataFrame) -> DataFrame:
-    """All sections: rates, splits, terms, employers, bands."""
+SECTIONS = ("split employment_type", "split cadence", "terms resume_keywords", "terms red_flags", "employers direct", "employers agency")
+
+
+def gap_rows(rows: DataFrame, sections: Sequence[str]) -> DataFrame:
+    """One row for every expected section of the inbox that has none: nothing to cluster is not the same as no section."""
+    wanted = rows.sparkSession.createDataFrame([(s,) for s in sections], "section string")
+    return wanted.join(rows.select("section").distinct(), "section", "left_anti").select(
+        F.lit("inbox").alias("part"), "section", F.lit("").alias("item"), F.lit("gap").alias("metric"), F.lit(None).cast("double").alias("value"),
+        F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("total"), F.lit(fixed.INBOX_CAVEAT).alias("caveat"), F.lit(NO_TERMS).alias("note"))
+
+
+def report(r: Retrospective, bands: DataFrame, expected: DataFrame, sections: Sequence[str] = SECTIONS) -> DataFrame:
+    """All sections: rates, splits, terms, employers, bands, and a gap row for every one of them that is empty."""
     inbox = F.lit(fixed.INBOX_CAVEAT)
     splits = _rows(r.splits, "inbox", F.concat(F.lit("split "), "field"), F.col("label"), ["n", "share"], F.col("n"), F.col("n"), inbox)
     terms = _rows(r.terms, "inbox", F.concat(F.lit("terms "), "field"), F.col("label"), ["total", "spellings"],
                   F.col("contributing"), F.col("postings"), inbox, F.concat(F.lit("top "), F.col("place").cast("string"), F.lit(" of "), F.col("all_clusters").cast("string")))
     employers = _rows(r.employers, "inbox", F.when(F.col("is_agency"), F.lit("employers agency")).otherwise(F.lit("employers direct")),
                       F.col("name"), ["n", "spellings"], F.col("n"), F.col("n"), inbox)
-    return rate_rows(r.rates).unionByName(splits).unionByName(terms).unionByName(employers).unionByName(band_rows(bands, expected))
+    found = splits.unionByName(terms).unionByName(employers)
+    return rate_rows(r.rates).unionByName(found).unionByName(gap_rows(found, sections)).unionByName(band_rows(bands, expected))
 
 
 def write_report(table: DataFrame, as_of: str, path: str) -> None:

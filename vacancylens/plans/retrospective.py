@@ -37,7 +37,11 @@ def _slug(c: Column) -> Column:
 
 
 def metrics(r: Retrospective) -> DataFrame:
-    """Every section flattened to (key, value) rows, null figures left out."""
+    """Every section flattened to (key, value) rows, null figures left out.
+
+    Labels that read alike once they are keys, as `Full-time` and `Full time` do, are one key: their counts add up, and so
+    do their shares, which are parts of one whole.
+    """
     def rows(df: DataFrame, *pairs: tuple[Column, Column]) -> DataFrame:
         return df.select(F.explode(F.array(*[F.struct(k.alias("key"), v.cast("double").alias("value")) for k, v in pairs])).alias("m")).select("m.*")
 
@@ -54,7 +58,7 @@ def metrics(r: Retrospective) -> DataFrame:
         *[(F.concat(F.lit(f"rate_{s}_"), scope), F.col(s)) for s in STATS]))
     out = out.unionByName(rows(r.splits, (F.concat(F.lit("share_"), label), F.col("share")), (F.concat(F.lit("count_"), label), F.col("n"))))
     out = out.unionByName(rows(counts, (question, F.coalesce(F.col("n"), F.lit(0)))))
-    return out.filter(F.col("value").isNotNull())
+    return out.filter(F.col("value").isNotNull()).groupBy("key").agg(F.sum("value").alias("value"))
 
 
 def long_table(r: Retrospective, top_employers: int = fixed.TOP_EMPLOYERS) -> DataFrame:
