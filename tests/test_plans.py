@@ -155,3 +155,35 @@ def test_first_wins_settles_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(5)], "hi int, lo int")
     got = {r["node"]: r["leader"] for r in first_wins(nodes, edges).collect()}
     assert got == {i: i - i % 2 for i in range(6)}
+
+
+def test_labels_that_read_alike_are_one_metric(spark):
+    from vacancylens.plans import retrospective as retro
+
+    none = "field string, label string, total long, spellings long, place int, all_clusters long, contributing long, postings long"
+    r = retro.Retrospective(
+        window=spark.createDataFrame([(4, 4)], "postings long, jd_read long"),
+        rates=spark.createDataFrame([], "scope string, n long, total long, share double, " + ", ".join(f"{s} double" for s in retro.STATS)),
+        splits=spark.createDataFrame([("employment_type", "Full-time", 2, 0.5), ("employment_type", "Full time", 1, 0.25)], "field string, label string, n long, share double"),
+        terms=spark.createDataFrame([], none), employers=spark.createDataFrame([], "name string, n long, is_agency boolean, spellings long"))
+    got = {m["key"]: m["value"] for m in retro.metrics(r).collect()}
+    assert got["count_employment_type_full_time"] == 3 and got["share_employment_type_full_time"] == 0.75
+
+
+def test_worklist_shows_what_a_row_absorbed(spark):
+    from vacancylens.plans import worklist
+
+    kind = "ord long, title string, company string, duplicates array<struct<id:string,company:string,title:string,link:string,similarity:double,overlap:double>>"
+    rows = [(1, "Dev", "acme", [("i", "beta", "Lead", "https://x/1", 0.981, 0.9), ("j", "", None, None, 1.0, 0.835)]), (2, "Solo", "x", []), (3, "", "", None)]
+    got = {r["ord"]: r for r in worklist.collapsed(spark.createDataFrame(rows, kind)).collect()}
+    assert set(got) == {1} and got[1]["n_absorbed"] == 2 and got[1]["posting"] == "Dev @ acme"
+    assert got[1]["absorbed"] == "[Lead @ beta](https://x/1) (similarity 0.98 · JD overlap 90%); Untitled @ unknown (similarity 1.00 · JD overlap 84%)"
+
+
+def test_archive_list_is_empty_without_messages(spark):
+    from vacancylens.plans import worklist
+
+    plan = spark.createDataFrame([("m", "s", "t", 1, "c", "hold", "r")], "mid string, sender string, subject string, n_jobs long, context string, action string, reason string")
+    assert worklist.archive_lines(plan, "done", "2024-01-01").count() == 0
+    lines = worklist.archive_lines(plan.withColumn("action", F.lit("archive")), "done", "2024-01-01").orderBy("place").collect()
+    assert [r["line"] for r in lines][2] == "m\tdone\ts\tt\t1 job(s): c" and lines[0]["line"].startswith("# 1 message(s)")

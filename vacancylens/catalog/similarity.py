@@ -9,6 +9,7 @@ from vacancylens.catalog.registry import query
 from vacancylens.catalog.views import postings, run_sql, table, with_views
 from vacancylens.functions.identity import composite_id
 from vacancylens.operators import knn, leader, neardup
+from vacancylens.plans import worklist
 
 # The documents as they are, as postings: many companies share texts, some copies differ in their title.
 DUP_SQL = """select d.doc_id as ord, concat(d.source, case d.doc_id % 3 when 0 then ' Inc' else '' end) as company,
@@ -126,3 +127,20 @@ TOPK = """u as materialized (select vec_id, cast(embedding as double[]) as e fro
 def knn_topk(spark, sf):
     v = table(spark, sf, "embeddings")
     return knn.nearest(v, v, 20, key="vec_id").select("query", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+_SHOWN = """case when link <> '' then '[' || coalesce(nullif(title, ''), 'Untitled') || ' @ ' || coalesce(nullif(company, ''), 'unknown') || '](' || link || ')'
+    else coalesce(nullif(title, ''), 'Untitled') || ' @ ' || coalesce(nullif(company, ''), 'unknown') end"""
+
+
+@query("collapsed_list", f"""with recursive {SURVIVORS}, ab as (
+  select s.ord, survivor, round_even(list_cosine_similarity(va.v, vb.v), 4)::decimal(10, 4) as similarity,
+    round_even(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 4)::decimal(10, 4) as overlap
+  from surv s join vec va on va.ord = s.ord join vec vb on vb.ord = survivor join sh x on x.ord = s.ord join sh y on y.ord = survivor where s.ord <> survivor),
+  li as (select survivor, count(*) as n, string_agg({_SHOWN} || ' (similarity ' || round(similarity, 2)::decimal(10, 2) || ' · JD overlap ' || round(overlap * 100, 0)::int || '%)', '; ' order by ab.ord) as absorbed
+    from ab join dup using (ord) group by survivor)
+  select d.ord, coalesce(nullif(title, ''), 'Untitled') || ' @ ' || coalesce(nullif(company, ''), 'unknown') as posting, n::int as n_absorbed, absorbed from li join dup d on d.ord = survivor""")
+def collapsed_list(spark, sf):
+    """Every posting that absorbed others, with the evidence for each."""
+    rows = dup_postings(spark, sf).withColumn("id", composite_id("company", "title"))
+    return worklist.collapsed(neardup.with_duplicates(*neardup.collapse(rows)))

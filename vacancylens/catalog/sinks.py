@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vacancylens.catalog.registry import query
+from vacancylens.catalog import twin as t
+from vacancylens.catalog.keys import ID, archive_plan, identified
+from vacancylens.catalog.registry import SQL, query
+from vacancylens import fixed
 from vacancylens.catalog.rules import JD
 from vacancylens.catalog.views import postings, postings_flat, table, with_views
 from vacancylens.operators import hooks, rules
-from vacancylens.plans import snapshots
+from vacancylens.plans import snapshots, worklist
 from vacancylens.session import run_dir
 from vacancylens.sources import states
 
@@ -52,3 +55,31 @@ def keyword_scorer():
 def score_hook(spark, sf):
     rows = postings_flat(spark, sf).select("ord", F.expr(JD).alias("scorer_text"))
     return hooks.score(rows, keyword_scorer).select("ord", "analysis.fit_score", "analysis.verdict", "analysis.why", "analysis_errored")
+
+
+@query("failure_log", with_views(""" select fetch_error || chr(9) || link || chr(9) || title || ' @ ' || company as line from postings where link <> '' and jd_source <> 'full'""", "postings"))
+def failure_log(spark, sf):
+    """The log of pages that could not be read, written as text and read back."""
+    path = run_dir(spark, "failures")
+    worklist.write_lines(worklist.failure_log(postings(spark, sf)), path, "ord")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("queue_json", with_views(f""" select {ID} as id, link, company, title, source_platform, jd_source, why from postings where scored and verdict <> 'SKIP' and link <> ''
+  and jd_source <> 'full' and not {t.contains_any('link', fixed.NOT_BROWSER_FETCHABLE)}""", "postings"))
+def queue_json(spark, sf):
+    """The browser's queue, written as JSON and read back."""
+    path = run_dir(spark, "queue")
+    worklist.write_queue(identified(spark, sf), path)
+    return spark.read.schema("id string, link string, company string, title string, source_platform string, jd_source string, why string").json(path)
+
+
+@query("archive_list", f"""with p as ({SQL['archive_plan']}), a as (select * from p where action = 'archive')
+  select mid || chr(9) || 'triaged' || chr(9) || coalesce(nullif(sender, ''), '?') || chr(9) || coalesce(nullif(subject, ''), '(no subject)') || chr(9) || n_jobs || ' job(s): ' || context as line from a
+  union all select '# ' || count(*) || ' message(s) to move out of the inbox into ''triaged''; list of 2024-01-07' from a having count(*) > 0
+  union all select '# message id, label, sender, subject, context; separated by tabs' from a having count(*) > 0""")
+def archive_list(spark, sf):
+    """The archive list with its headings, written as text and read back."""
+    path = run_dir(spark, "archive")
+    worklist.write_lines(worklist.archive_lines(archive_plan(spark, sf), "triaged", "2024-01-07"), path, "place", "mid")
+    return spark.read.text(path).select(F.col("value").alias("line"))

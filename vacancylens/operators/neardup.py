@@ -238,13 +238,14 @@ def collapse(df: DataFrame, ord_col: str = "ord", text: str = "jd_text", max_lis
     return survivors, absorbed
 
 
-def with_duplicates(survivors: DataFrame, absorbed: DataFrame, most: int = 1000, ord_col: str = "ord") -> DataFrame:
+def with_duplicates(survivors: DataFrame, absorbed: DataFrame, most: int | None = None, ord_col: str = "ord") -> DataFrame:
     """Survivors with their absorbed postings as an array, for tables that want it in the row.
 
-    The array shows the first `most`; `n_absorbed` and the absorbed table stay whole.
+    All of them, unless `most` says how many a reader takes; `n_absorbed` and the absorbed table are whole in any case,
+    and are what to use where a posting may absorb a large part of all rows.
     """
     first = Window.partitionBy("survivor").orderBy("ord")
-    listed = absorbed.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
+    listed = absorbed if most is None else absorbed.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most)
     lists = listed.groupBy(F.col("survivor").alias(ord_col)).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("ord", "id", "company", "title", "link", "similarity", "overlap"))),
         lambda x: F.struct(x["id"].alias("id"), x["company"].alias("company"), x["title"].alias("title"),
