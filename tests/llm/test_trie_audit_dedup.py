@@ -240,3 +240,27 @@ def test_join_groups_with_one_key_for_most_rows(spark):
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
     got = join_groups(rows, groups, "k", "n").collect()
     assert len(got) == 5000 and all(r["n"] == (4000 if r["k"] == 0 else 1) for r in got)
+
+
+def test_columns_of_any_name_pass_unchanged(spark, sf):
+    """Extra columns with the names that the operators use inside, in any case."""
+    from vacancylens.llm import linededup, mixing, simhash
+
+    names = ["_key", "_hash", "_shard", "_SHARDS", "_source", "_size", "_words", "_time", "_spot", "_part", "_doc", "_drop", "_text", "_key_"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").repartition(2)
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for operator in (simhash.one_of_each, linededup.drop_repeated_lines, lambda d: mixing.draw(d, mixing.allocate(d))):
+        plain, clashing = operator(docs), operator(wide)
+        assert set(names) <= set(clashing.columns)
+        got = clashing.collect()
+        assert all(r[n] == f"{n}:{r['doc_id']}" for r in got for n in names)
+        keep = [c for c in plain.columns if c in docs.columns]
+        assert sorted(map(str, clashing.select(keep).collect())) == sorted(map(str, plain.select(keep).collect()))
+
+
+def test_vectors_beyond_a_long_take_no_part(spark):
+    from vacancylens.llm import topk
+
+    rows = [(0, [1e17, 1.0]), (1, [3.0, 1.0]), (2, [1e300, 0.0]), (50, [1.0, -2.0]), (3, [-4e6, 4e6])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(50, 1, 1, 65536), (50, 2, 3, 256 * 256 * -12_000_000)]

@@ -54,3 +54,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, share: i
     hot = F.broadcast(groups.filter(large))
     rest = rows.join(hot.select(on), on, "left_anti").join(groups.filter(~large), on)
     return rows.join(hot, on).unionByName(rest)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind them as it takes to differ from all of a frame's columns."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        return free(f"{name}_") if name.lower() in taken else name
+
+    return [free(n) for n in names]

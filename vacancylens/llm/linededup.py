@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacancylens.llm.common import saved
+from vacancylens.llm.common import saved, unused
 
 MIN_DOCS = 3
 MIN_TOKENS = 4
@@ -128,15 +128,16 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     stays as it is; equal rows get equal results; very long texts are cut at their line ends like others; an empty
     table gives an empty result. Columns of the input with the names of the two counts are replaced.
     """
-    drops = repeated_lines(docs, key, text, **options).withColumnRenamed("doc", "_doc").withColumnRenamed("lines", "_drop")
-    rows = docs.withColumn("_doc", F.xxhash64(key, text)).join(drops, "_doc", "left")
+    doc, drop, body = unused(docs, "_doc", "_drop", "_text")
+    drops = repeated_lines(docs, key, text, **options).withColumnRenamed("doc", doc).withColumnRenamed("lines", drop)
+    rows = docs.withColumn(doc, F.xxhash64(key, text)).join(drops, doc, "left")
     split = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop"))
-    cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(drop))
+    cleaned = F.when(F.col(drop).isNull(), F.col(text)).otherwise(
         F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    counts = {"lines": F.coalesce(F.size(split), F.lit(0)), "dropped_lines": F.coalesce(F.size("_drop"), F.lit(0))}
-    return rows.withColumns({k: F.when(F.col(text).isNull(), 0).otherwise(v).cast("long") for k, v in counts.items()} | {"_text": cleaned}).withColumn(
-        text, F.col("_text")).drop("_doc", "_drop", "_text")
+    counts = {"lines": F.coalesce(F.size(split), F.lit(0)), "dropped_lines": F.coalesce(F.size(drop), F.lit(0))}
+    return rows.withColumns({k: F.when(F.col(text).isNull(), 0).otherwise(v).cast("long") for k, v in counts.items()} | {body: cleaned}).withColumn(
+        text, F.col(body)).drop(doc, drop, body)
 
 
 def all_lost(rows: DataFrame, text: str = "text") -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacancylens.llm.common import saved, uniform
+from vacancylens.llm.common import saved, uniform, unused
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -271,17 +271,21 @@ def draw(docs: DataFrame, allocation: DataFrame, part_words: int = PART_WORDS, s
     """The mixed documents with all their columns: a row for every time a document is taken, each shard shuffled locally.
 
     A shard's rows are dealt by their place in its random order to partitions of about `part_words` words and sorted by
-    it there.
+    it there. A document without words, null or empty, is never taken; null keys and sources are values like any other;
+    rows that share key, source and size are taken alike; whole texts move with their row; an empty table gives an empty
+    result, and columns of any name pass unchanged.
     """
+    k, src, size, dealt, words_of, time, shard, spot, part = unused(
+        docs, "_key", "_source", "_size", "_shards", "_words", "_time", "_shard", "_spot", "_part")
     shards = [r["shards"] for r in allocation.agg(F.max(F.array_max("shards")).alias("shards")).collect()]
     total = allocation.agg(F.sum(F.col("size") * F.col("copies") * F.size("shards"))).first()[0] or 0
     n_shards = (shards[0] or 0) + 1
     parts = max(1, -(-total // (part_words * n_shards)))
     took = allocation.filter(F.size("shards") > 0).select(
-        F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size"), F.col("shards").alias("_shards"))
-    rows = docs.select("*", words(F.col(text)).alias("_words")).join(took, (
-        F.col(key).eqNullSafe(F.col("_key"))) & F.col(source).cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    rows = rows.select(*docs.columns, F.posexplode("_shards").alias("_time", "_shard")).withColumn(
-        "_spot", uniform(F.lit(seed + 2), F.col("_shard"), F.col("_time"), F.col(key)))
-    return rows.withColumn("_part", F.floor(F.col("_spot") * parts)).repartition(
-        n_shards * parts, "_shard", "_part").sortWithinPartitions("_shard", "_spot").select(*docs.columns)
+        F.col(key).alias(k), F.col(source).alias(src), F.col("size").alias(size), F.col("shards").alias(dealt))
+    rows = docs.select("*", words(F.col(text)).alias(words_of)).join(took, (
+        F.col(key).eqNullSafe(F.col(k))) & F.col(source).cast("string").eqNullSafe(F.col(src)) & (F.col(words_of) == F.col(size)))
+    rows = rows.select(*docs.columns, F.posexplode(dealt).alias(time, shard)).withColumn(
+        spot, uniform(F.lit(seed + 2), F.col(shard), F.col(time), F.col(key)))
+    return rows.withColumn(part, F.floor(F.col(spot) * parts)).repartition(
+        n_shards * parts, shard, part).sortWithinPartitions(shard, spot).select(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancylens.llm.common import saved, ship
+from vacancylens.llm.common import saved, ship, unused
 from vacancylens.operators.graph import components
 
 SHINGLE = 3
@@ -173,13 +173,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents, one row of each component: the smallest key, null last, then the smallest hash of its text."""
+    """The documents, one row of each component: the smallest key, null last, then the smallest hash of its text.
+
+    Of rows that share key and text one stays. Null, empty and blank texts are one component; whole texts are read; an
+    empty table gives an empty result, and columns of any name pass unchanged.
+    """
+    own, digest = unused(docs, "_key", "_hash")
     groups = near_duplicates(docs, key, text, shingle, distance)
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "text_hash")
-    kept = groups.groupBy("group").agg(F.min(place).alias("k")).select(F.col("k.key").alias("_key"), F.col("k.text_hash").alias("_hash"))
-    rows = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_key", F.col(key))
-    rows = rows.join(kept, rows["_key"].eqNullSafe(kept["_key"]) & (rows["_hash"] == kept["_hash"]), "left_semi")
-    return rows.dropDuplicates(["_key", "_hash"]).select(docs.columns)
+    kept = groups.groupBy("group").agg(F.min(place).alias("k")).select(F.col("k.key").alias(own), F.col("k.text_hash").alias(digest))
+    rows = docs.withColumn(digest, F.xxhash64(text)).withColumn(own, F.col(key))
+    rows = rows.join(kept, rows[own].eqNullSafe(kept[own]) & (rows[digest] == kept[digest]), "left_semi")
+    return rows.dropDuplicates([own, digest]).select(docs.columns)
 
 
 def hexadecimal(value: Column) -> Column:

@@ -15,6 +15,7 @@ K = 5
 BLOCK = 256
 RANGE_BLOCKS = 16
 PIVOTS = 64
+FITS = 2.0**62
 SAMPLE = 4096
 EXACT = float(1 << 52)
 
@@ -80,7 +81,8 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     """(query_id, rank, key, score): the k rows with the highest inner product of floor(scale * x), ties to smaller keys.
 
     Queries are the rows whose key is divisible by `every`; candidates are all rows but the query's own. Vectors that are
-    null or hold a null or non-finite component take no part, nor do rows with a null key. Vectors of unlike length
+    null or hold a null or non-finite component take no part, nor do rows with a null key, nor vectors whose integer form
+    has a squared length of 2^62 or more, as their products need not fit a long. Vectors of unlike length
     are filled up with zeros. Rows that share a key are queries and candidates of their own. An empty table, or one
     without queries, gives an empty result. Other columns are not read.
 
@@ -95,6 +97,7 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     rows = table.filter(F.col(key).isNotNull() & finite(F.col(vector).cast("array<double>"))).select(
         F.col(key).cast("long").alias("id"),
         F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(F.lit(scale) * x).cast("double")).alias("vector"))
+    rows = rows.filter(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x) < FITS)
     rows = saved(rows, "topk-rows").withColumn("row", F.monotonically_increasing_id())
     pivots = [r["vector"] for r in rows.select("vector", F.xxhash64("id", "row").alias("h")).orderBy("h").limit(PIVOTS).collect()]
     width = max(map(len, pivots), default=0)
