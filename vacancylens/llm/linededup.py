@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacancylens.llm.common import saved, unused
 
-MIN_DOCS = 3
+MIN_DOCS = 2
 MIN_TOKENS = 4
 MIN_BYTES = 48
 DEPTH = 3
@@ -158,7 +158,7 @@ with lines as (
   select doc_id, line_no, tokens, parts, len(parts) as n, array_to_string(parts[1:3], ' ') as lead from placed where len(parts) >= 4
 ), forms as (
   select n, lead, tokens, any_value(parts) as parts from leaves
-  where (n, lead) in (select (n, lead) from leaves group by n, lead having count(distinct tokens) > 1 and count(*) >= 3)
+  where (n, lead) in (select (n, lead) from leaves group by n, lead having count(distinct tokens) > 1 and count(*) >= 2)
   group by n, lead, tokens
 ), words as (
   select n, lead, tokens, generate_subscripts(parts, 1) as pos, unnest(parts) as word from forms
@@ -176,7 +176,7 @@ with lines as (
          count(distinct doc_id) over t as docs
   from templates window t as (partition by n, lead, own)
 ), drops as (
-  select doc_id, list(line_no) as gone from firsts where docs >= 3 and place > 1 group by doc_id
+  select doc_id, list(line_no) as gone from firsts where docs >= 2 and place > 1 group by doc_id
 )
 select d.doc_id, d.lang, d.source, d.n_chars,
        case when gone is null then d.text
