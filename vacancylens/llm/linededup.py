@@ -15,27 +15,32 @@ ALIKE = 0.8
 FIELD = "<*>"
 
 
-def _plain(line: Column) -> Column:
-    """The line with single blanks between tokens."""
-    odd = r"[\x09-\x0D ]{2,}|[\x09-\x0D]"  # a single blank needs no replacement, and most lines have no other
-    return F.trim(F.when(line.rlike(odd), F.regexp_replace(line, odd, " ")).otherwise(line))
+def _plain(text: Column) -> Column:
+    """The text with single blanks between tokens and none at the ends of its lines."""
+    odd = text.contains("  ") | text.rlike(r"[\x09\x0B-\x0D]")  # a single blank needs no replacement, and most texts have no other
+    single = F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D ]+", " ")).otherwise(text)
+    return F.trim(F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
 
 
-def _tokens(plain: Column) -> Column:
-    """Number of tokens of a line with single blanks."""
-    return F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1
+def _masked(plain: Column) -> Column:
+    """The text with the field mark for every token with a digit."""
+    digits = r"(^|[ \n])[^ \n0-9]*+[0-9][^ \n]*+"
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, digits, "$1" + FIELD)).otherwise(plain)
 
 
-def _masked(plain: Column, min_tokens: int) -> Column:
-    """The line with the field mark for every token with a digit; a line of few tokens would not be known by it and stays."""
-    return F.when(plain.rlike("[0-9]") & (_tokens(plain) >= min_tokens), F.regexp_replace(plain, r"(^| )[^ 0-9]*+[0-9][^ ]*+", "$1" + FIELD)).otherwise(plain)
+def _tokens(line: Column) -> Column:
+    """Number of tokens of a line with single blanks."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
 
 
 def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, min_bytes: int) -> DataFrame:
-    # Lines are masked inside the exploded array: as columns, the expressions would be computed again for each use.
-    lines = F.transform(F.transform(F.split(F.col(text), "\n"), _plain), lambda line: _masked(line, min_tokens))
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("doc"), F.posexplode(lines).alias("line_no", "tokens"))
-    rows = rows.withColumn("n", _tokens(F.col("tokens")))
+    # Whole texts are masked, and cut into lines after that: expressions over array elements are interpreted one by one.
+    # The outer form brings null texts one null line, which the filter drops; the plain form would compute all of it in a filter too.
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("doc"), _plain(F.col(text)).alias("plain"))
+    texts = texts.withColumn("both", F.arrays_zip(F.split("plain", "\n").alias("plain"), F.split(_masked(F.col("plain")), "\n").alias("masked")))
+    rows = texts.select("id", "doc", F.posexplode_outer("both").alias("line_no", "line")).withColumn("n", _tokens(F.col("line.plain")))
+    # A line of few tokens would not be known by its mask and stays as it is.
+    rows = rows.withColumn("tokens", F.when(F.col("n") >= min_tokens, F.col("line.masked")).otherwise(F.col("line.plain")))
     return rows.filter((F.length("tokens") > 0) & ((F.col("n") >= min_tokens) | (F.octet_length("tokens") >= min_bytes))).select(
         "id", "doc", "line_no", "tokens", "n", F.xxhash64("n", F.substring_index("tokens", " ", depth)).alias("leaf"),
         F.xxhash64("tokens").alias("form"))
