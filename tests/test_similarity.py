@@ -348,3 +348,12 @@ def test_precedents_are_real_judgments_of_other_postings(spark):
     assert got == {(1, "b"), (3, "a"), (3, "b")}
     texts = {r["ord"]: r["precedents"] for r in precedents.with_precedents(jobs, docs, opening="Past", closing="End").collect()}
     assert texts[2] == "" and texts[1] == "Past\n1. Dev @ acme — FIT 70/100 · PRIMARY · contract\n   why: fits well\nEnd"
+
+
+def test_company_grams_are_never_broadcast(spark):
+    probes = spark.createDataFrame([("building",), ("acme42",), ("zzzzz99",), ("acme",)], "probe_key string")
+    entries = spark.createDataFrame([("thebuilding0001",), ("building0001",), ("acme42group",), ("acme",), ("ilding",)], "entry_key string")
+    out = company.matching_keys(probes, entries)
+    assert "BroadcastHashJoin [gram" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("acme", "acme"), ("acme42", "acme42group"), ("building", "building0001"),
+                                                 ("building", "ilding"), ("building", "thebuilding0001")]

@@ -20,25 +20,32 @@ def _grams(c: Column) -> Column:
         F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(_GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
+def _shuffled(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """A join on grams. Size estimates miss what `explode` adds, so without a hint a table of grams would pass for a small one and be broadcast."""
+    return left.hint("merge").join(right.hint("merge"), "gram", how)
+
+
 def matching_keys(probes: DataFrame, entries: DataFrame) -> DataFrame:
     """(probe_key, entry_key) of company keys that name the same company.
 
     probes(probe_key) and entries(entry_key) hold distinct keys. Equal keys join directly. Containment goes through
-    character 5-grams: if the shorter key lies in the longer, so does its rarest 5-gram, and that one gram is what it
-    joins on; the candidates are then checked.
+    character 5-grams: if the shorter key lies in the longer, so do all its 5-grams, and the one that fewest keys of the
+    other side hold is what it joins on; a key with a gram that no other holds lies in none. The candidates are then
+    checked.
     """
     p = probes.select("probe_key").filter(F.col("probe_key") != "").distinct()
     e = entries.select("entry_key").filter(F.col("entry_key") != "").distinct()
     equal = p.join(e, F.col("probe_key") == F.col("entry_key"))
     p_grams = p.select("probe_key", F.explode(_grams(F.col("probe_key"))).alias("gram"))
     e_grams = e.select("entry_key", F.explode(_grams(F.col("entry_key"))).alias("gram"))
-    df = p_grams.select("gram").unionByName(e_grams.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
-    def rarest(side: DataFrame, key: str) -> DataFrame:
-        return side.join(df, "gram").groupBy(key).agg(F.min(F.struct("df", "gram")).alias("g")).select(key, F.col("g.gram").alias("gram"))
+    def rarest(side: DataFrame, key: str, other: DataFrame) -> DataFrame:
+        df = other.groupBy("gram").agg(F.count("*").alias("df"))
+        return _shuffled(side, df, "left").groupBy(key).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).filter(
+            "g.df > 0").select(key, F.col("g.gram").alias("gram"))
 
-    shorter_probe = rarest(p_grams, "probe_key").join(e_grams, "gram").select("probe_key", "entry_key")
-    shorter_entry = rarest(e_grams, "entry_key").join(p_grams, "gram").select("probe_key", "entry_key")
+    shorter_probe = _shuffled(rarest(p_grams, "probe_key", e_grams), e_grams).select("probe_key", "entry_key")
+    shorter_entry = _shuffled(rarest(e_grams, "entry_key", p_grams), p_grams).select("probe_key", "entry_key")
     inside = shorter_probe.unionByName(shorter_entry).filter(
         (F.col("probe_key") != F.col("entry_key")) & same_company(F.col("probe_key"), F.col("entry_key")))
     return equal.select("probe_key", "entry_key").unionByName(inside).distinct()
@@ -66,9 +73,9 @@ def applied_hits(probes: DataFrame, applied: DataFrame) -> DataFrame:
     keys = asked.select("probe_key").distinct()
     probe_grams = keys.select("probe_key", F.explode(_grams(F.col("probe_key"))).alias("gram"))
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    one = probe_grams.join(df, "gram", "left").groupBy("probe_key").agg(
+    one = _shuffled(probe_grams, df, "left").groupBy("probe_key").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).select("probe_key", F.col("g.gram").alias("gram"))
-    inside = one.join(grams, "gram").filter(F.col("site").contains(F.col("probe_key"))).select("probe_key", "site")
+    inside = _shuffled(one, grams).filter(F.col("site").contains(F.col("probe_key"))).select("probe_key", "site")
     by_url = asked.join(inside, "probe_key").join(hosts, "site").drop("probe_key", "site").withColumn("matched_on", F.lit("url"))
     fresh = by_url.join(by_name.select("probe", "row"), ["probe", "row"], "left_anti")
     return by_name.unionByName(fresh)
