@@ -112,3 +112,15 @@ def test_registry(spark):
     for names in ([], ["nope"]):
         with pytest.raises(registry.UnknownSource):
             registry.selection(names, ["a"])
+
+
+@pytest.mark.parametrize("read,body", [
+    (boards.greenhouse, '{"jobs":[{"absolute_url":"https://x/1","title":"Dev","content":"&lt;p&gt;' + "a b " * 60 + '&lt;/p&gt;"}]}'),
+    (boards.lever, '[{"hostedUrl":"https://x/1","text":"Dev","description":"<p>' + "a b " * 60 + '</p>"}]')])
+def test_board_bodies_are_worked_out_once(spark, read, body):
+    rows = read(spark.createDataFrame([("acme", body), ("none", None)], "token string, body string").repartition(2))
+    kinds = 1 if read is boards.greenhouse else 2  # a lever job has a description and lists
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("(script|style)") == kinds
+    got = rows.collect()
+    assert [(r["token"], r["jd_source"], r["email_jd_text"]) for r in got] == [("acme", "full", "")]
+    assert got[0]["fetched_jd"].endswith("a b a b")

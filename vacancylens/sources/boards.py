@@ -9,7 +9,7 @@ from vacancylens import fixed
 from vacancylens.functions.dates import epoch_millis, in_window, iso_timestamp
 from vacancylens.functions.identity import pretty_token
 from vacancylens.functions.text import blank, either, html_to_text, strip, thousands, unescape
-from vacancylens.sources.posting import board_columns
+from vacancylens.sources.posting import board_rows
 
 GREENHOUSE = (
     "struct<jobs:array<struct<absolute_url:string,company_name:string,title:string,location:struct<name:string>,first_published:string,"
@@ -47,10 +47,10 @@ def greenhouse(payloads: DataFrame, since: Column | None = None, cap: int | None
         return F.when(stated, strip(F.concat(label, F.lit(": "), _span(r["min_cents"] / 100, r["max_cents"] / 100), F.lit(" "), strip(blank(r["currency_type"])))))
 
     ranges = F.coalesce("j.pay_input_ranges", F.array().cast("array<struct<min_cents:bigint,max_cents:bigint,currency_type:string,title:string>>"))
-    return rows.select("token", *board_columns(
-        link=F.col("j.absolute_url"), company=either(strip(blank("j.company_name")), pretty_token("token")), title=strip(blank("j.title")),
+    return board_rows(
+        rows, "token", link=F.col("j.absolute_url"), company=either(strip(blank("j.company_name")), pretty_token("token")), title=strip(blank("j.title")),
         platform="greenhouse", location=strip(blank("j.location.name")), pay=F.array_join(F.array_compact(F.transform(ranges, pay)), " · "),
-        posted=F.col("posted"), body=html_to_text(unescape(blank("j.content")))))
+        posted=F.col("posted"), body=html_to_text(unescape(blank("j.content"))))
 
 
 def lever(payloads: DataFrame, since: Column | None = None, cap: int | None = None) -> DataFrame:
@@ -66,11 +66,12 @@ def lever(payloads: DataFrame, since: Column | None = None, cap: int | None = No
                                      F.nullif(strip(blank("j.salaryRange.currency")), F.lit("")), F.nullif(interval, F.lit("")))).otherwise(F.lit(""))
     lists = F.transform(F.coalesce("j.lists", F.array().cast("array<struct<text:string,content:string>>")),
                         lambda x: F.concat(blank(x["text"]), F.lit("\n"), html_to_text(x["content"])))
-    body = strip(F.array_join(F.filter(F.concat(F.array(either("j.descriptionPlain", html_to_text("j.description"))), lists), lambda x: x != ""), "\n\n"))
+    described = F.when(blank("j.descriptionPlain") != "", F.col("j.descriptionPlain")).otherwise(html_to_text("j.description"))
+    body = strip(F.array_join(F.filter(F.concat(F.array(described), lists), lambda x: x != ""), "\n\n"))
     place = F.concat_ws(" · ", F.nullif(strip(blank("j.categories.location")), F.lit("")), F.nullif(strip(blank("j.workplaceType")), F.lit("")))
-    return rows.select("token", *board_columns(
-        link=either("j.hostedUrl", "j.applyUrl"), company=pretty_token("token"), title=strip(blank("j.text")), platform="lever", location=place,
-        pay=pay, posted=F.col("posted"), body=body))
+    return board_rows(
+        rows, "token", link=either("j.hostedUrl", "j.applyUrl"), company=pretty_token("token"), title=strip(blank("j.text")), platform="lever", location=place,
+        pay=pay, posted=F.col("posted"), body=body)
 
 
 def listings(payloads: DataFrame) -> DataFrame:
