@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vacancylens.operators import company, graph, knn, leader, neardup
+from vacancylens.functions.text import shingle_hashes, words
+from vacancylens.operators import company, graph, knn, leader, neardup, setjoin
 from vacancylens.operators.setjoin import similar_pairs
 
 
@@ -357,3 +358,71 @@ def test_company_grams_are_never_broadcast(spark):
     assert "BroadcastHashJoin [gram" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [("acme", "acme"), ("acme42", "acme42group"), ("building", "building0001"),
                                                  ("building", "ilding"), ("building", "thebuilding0001")]
+
+
+def test_tokens_are_worked_out_once_per_pass(spark):
+    items = spark.createDataFrame([(1, 1, "a b c d e"), (1, 2, "A b c d e"), (1, 3, "a b"), (1, 4, "a b"), (2, 1, "a b c d e"), (2, 2, None)], "g int, pos int, s string")
+    seen, cut = [], setjoin.cut
+
+    def watched(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    setjoin.cut = watched
+    try:
+        got = leader.keep_first(items.repartition(2), "g", "pos", "s").collect()
+    finally:
+        setjoin.cut = cut
+    assert sorted((r["g"], r["pos"]) for r in got) == [(1, 1), (1, 3), (1, 4), (2, 1), (2, 2)]
+    assert not any("Filter" in line and "regexp_extract_all" in line for line in seen[0].splitlines())
+
+
+def test_hashes_of_runs_tell_runs_apart(spark):
+    text = "a b c d e f a b c d e ab c d e"
+    w = text.split()
+    for n in (1, 2, 3, 4, 5, 7):
+        row = spark.createDataFrame([(text, "a b"), ("", None)], "t string, u string").repartition(1).select(
+            *[F.size(shingle_hashes(words(c), n)).alias(c) for c in ("t", "u")]).collect()
+        want = lambda x: len({tuple(x[i:i + n]) for i in range(len(x) - n + 1)})
+        assert sorted(map(tuple, row)) == sorted([(want(w), want(["a", "b"])), (0, 0)])
+
+
+def test_best_of_a_block_equals_brute_force():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(40, 8)), rng.normal(size=(9000, 8))
+    b[100:6000] = b[100]  # many ties, over a tile's end
+    a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+    a[3] = 0
+    b[7000] = 0
+    sim = np.round(a @ b.T, 9)
+    own = np.arange(9000) % 40
+    sim[own[None, :] == np.arange(40)[:, None]] = -np.inf
+    i, j, s = knn._best(a, b, np.full(40, -np.inf), 10, lambda rows, columns: own[columns] == rows)
+    for row in range(40):
+        order = np.lexsort((np.arange(9000), -sim[row]))[:10]
+        assert j[i == row].tolist() == order.tolist() and np.allclose(s[i == row], sim[row][order])
+
+
+def test_rows_are_sent_to_few_blocks(spark):
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(4000, 8)))], "id int, embedding array<double>")
+    blocks, cut = [], knn.cut
+
+    def watched(df):
+        out = cut(df)
+        if {"cell", "block"} <= set(df.columns):
+            blocks.append(out.select("block").distinct().count())
+        return out
+
+    knn.cut = watched
+    try:
+        got = knn.nearest(v, v, 3).filter("query < 5").collect()
+    finally:
+        knn.cut = cut
+    assert blocks and blocks[0] <= 2 * np.sqrt(3 * spark.sparkContext.defaultParallelism) - 2
+    m = np.array([r["embedding"] for r in v.orderBy("id").collect()])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(5):
+        sim = m @ m[q]
+        sim[q] = -9
+        assert [r["neighbour"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == np.argsort(-sim)[:3].tolist()

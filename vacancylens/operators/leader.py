@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacancylens import fixed
-from vacancylens.functions.text import char_ngrams, col, strip, word_shingles, words
+from vacancylens.functions.text import char_ngrams, col, shingle_hashes, strip, words
 from vacancylens.functions.vectors import hash_embed, unit
 from vacancylens.operators.graph import first_wins
 from vacancylens.operators.setjoin import similar_pairs
@@ -222,7 +222,7 @@ def keep_first(items: DataFrame, group: str, ord_col: str, text: str, n: int = f
     Items too short for a word n-gram always stay. The group is part of each token, so groups never meet.
     """
     keyed = items.select(group, ord_col, text, F.struct(F.col(group), F.col(ord_col)).alias("node"))
-    grams = F.transform(word_shingles(words(text), n), lambda g: F.xxhash64(F.col(group).cast("string"), g))
+    grams = F.transform(shingle_hashes(words(text), n), lambda g: F.xxhash64(F.col(group).cast("string"), g))
     sets = keyed.select(F.col("node").alias("id"), grams.alias("tokens"))
     pairs = similar_pairs(sets, threshold, "overlap")
     edges = pairs.select(F.least("a", "b").alias("hi"), F.greatest("a", "b").alias("lo"))
