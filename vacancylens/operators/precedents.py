@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from vacancylens import fixed
 from vacancylens.functions.identity import composite_id
 from vacancylens.functions.text import blank, strip
-from vacancylens.functions.vectors import hash_embed
+from vacancylens.functions.vectors import bucket_counts
 from vacancylens.operators import knn, rules
+from vacancylens.session import cut
 
 PRECEDENT = "precedent"
+VECTOR = "_vector"
 
 
 def eligible() -> Column:
@@ -29,20 +31,27 @@ def question(chars: int | None = None) -> Column:
     return strip(F.concat(blank("title"), F.lit(" — "), blank("company"), F.lit("\n"), text))
 
 
+def embedded(documents: DataFrame, embed: Callable[[Column], Column] = bucket_counts) -> DataFrame:
+    """The documents with a vector in place of their text. Before a shuffle of documents, this keeps their texts out of it."""
+    return documents.withColumn(VECTOR, embed(F.col("content"))).drop("content")
+
+
 def find(jobs: DataFrame, documents: DataFrame, by: str = "ord", k: int = fixed.RETRIEVE_K, fetch_k: int = fixed.RETRIEVE_FETCH_K,
-         weight: float = fixed.RETRIEVE_LAMBDA, embed: Callable[[Column], Column] = hash_embed, chars: int | None = None) -> DataFrame:
+         weight: float = fixed.RETRIEVE_LAMBDA, embed: Callable[[Column], Column] = bucket_counts, chars: int | None = None) -> DataFrame:
     """(query, place, and the document's columns): per posting up to `k` similar, mutually different past judgments.
 
-    documents as `index.build_documents` gives them, one row per key. Documents that are no precedent, and those of the
+    documents as `index.build_documents` or `embedded` gives them, one row per key; they are worked out once. `embed` need
+    not give vectors of length one, the search is by cosine. Documents that are no precedent, and those of the
     posting's own identity, are ruled out before ranking and inside the cells of the search, so a rare kind of document
     still fills a posting's list. Postings without any text ask nothing.
     """
-    pool = documents.select(F.col("key").alias("id"), embed(F.col("content")).alias("embedding"),
-                            F.when(eligible(), PRECEDENT).otherwise("other").alias("label"), F.col("id").alias("own"))
+    known = cut(documents if VECTOR in documents.columns else embedded(documents, embed))
+    pool = known.select(F.col("key").alias("id"), F.col(VECTOR).alias("embedding"),
+                        F.when(eligible(), PRECEDENT).otherwise("other").alias("label"), F.col("id").alias("own"))
     asked = jobs.filter((blank("title") != "") | (blank("company") != "") | (blank("jd_text") != "")).select(
         F.col(by).alias("id"), embed(question(chars)).alias("embedding"), F.lit(PRECEDENT).alias("label"), composite_id("company", "title").alias("own"))
     chosen = knn.retrieve(asked, pool, k, fetch_k, weight, skip_self=False, label="label", apart="own")
-    return chosen.withColumnRenamed("neighbour", "key").join(documents.drop("content"), "key")
+    return chosen.withColumnRenamed("neighbour", "key").join(known.drop(VECTOR), "key")
 
 
 def with_precedents(jobs: DataFrame, documents: DataFrame, by: str = "ord", opening: str | None = None, closing: str | None = None,
