@@ -143,6 +143,22 @@ def test_line_dedup_sees_long_lines_without_blanks(spark):
     assert {r["doc_id"]: r["text"] for r in got} == {0: texts[0], 1: f"{link}1\nshort", 2: f"{link}2\nshort"}
 
 
+def test_line_dedup_cuts_texts_once(spark):
+    """Once for the lines and once for the result; the lines of leaves with several forms were cut and masked again."""
+    read = spark.sparkContext.accumulator(0)
+    lines = [f"the user account {chr(97 + i)}x has been locked by admin today\nonly {i} here\n" for i in range(20)]
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([*enumerate(lines), (20, None), (21, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.drop_repeated_lines(docs.mapInArrow(counted, docs.schema)).collect()}
+    assert read.value == 2 * len(got) == 44
+    assert [got[i]["lines"] for i in (0, 1, 20, 21)] == [3, 3, 0, 1] and got[0]["text"] == lines[0] and got[1]["text"] == "only 1 here\n"
+
+
 def test_pipeline_drops_a_line_of_two_documents(spark, sf):
     import corpus_pipeline as pipeline
 

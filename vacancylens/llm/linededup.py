@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacancylens.functions.text import let
 from vacancylens.llm.common import saved, unused
 
 MIN_DOCS = 2
@@ -13,6 +14,7 @@ MIN_BYTES = 48
 DEPTH = 3
 ALIKE = 0.8
 FIELD = "<*>"
+SLOTS = 1 << 22
 
 
 def _plain(text: Column) -> Column:
@@ -46,7 +48,7 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, mi
         F.xxhash64("tokens").alias("form"))
 
 
-def _generalised(lines: DataFrame, places: DataFrame, depth: int, min_docs: int, alike: float) -> DataFrame:
+def _generalised(lines: DataFrame, depth: int, min_docs: int, alike: float) -> DataFrame:
     """(leaf, form, template) of the lines that a template of their leaf covers.
 
     Only leaves with two forms or more are read again. In such a leaf a position is fixed where one token stands in over
@@ -56,9 +58,12 @@ def _generalised(lines: DataFrame, places: DataFrame, depth: int, min_docs: int,
     positions in which two forms may differ, so that alike forms share at least one, and each form goes with those that
     share the segment of its that most forms hold, but not all. A form that shares none is a template of its own.
     """
-    leaves = places.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.count("*").alias("n")).filter(
-        (F.col("a") != F.col("b")) & (F.col("n") >= min_docs)).select("leaf")
-    forms = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"))
+    leaves = saved(lines.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.count("*").alias("n")).filter(
+        (F.col("a") != F.col("b")) & (F.col("n") >= min_docs)).select("leaf"), "line-leaves")
+    # Most lines are in no such leaf. A table of slots, of bounded length, keeps nearly all of them out of the shuffle.
+    slot = F.pmod("leaf", F.lit(SLOTS)).cast("int").alias("slot")
+    few = lines.select("leaf", "form", "tokens", "n", slot).join(F.broadcast(leaves.select(slot).distinct()), "slot", "left_semi")
+    forms = few.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n")).join(leaves, "leaf", "left_semi")
     left = saved(forms.withColumn("template", F.lit(0).cast("long")), "line-forms")
     group, covered = ["leaf", "template"], None
     while not left.isEmpty():
@@ -110,10 +115,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     line of it goes, or with `keep_first` off all of them. Lines under `min_tokens` tokens stay if they are under
     `min_bytes` bytes too; longer ones, as scripts without blanks have them, match by their exact form.
     """
-    rows = _lines(docs, key, text, depth, min_tokens, min_bytes)
-    places = saved(rows.select("id", "doc", "line_no", "leaf", "form"), "line-places")
-    covered = _generalised(rows, places, depth, min_docs, alike)
-    places = places.join(covered, ["leaf", "form"], "left").withColumn("own", F.col("template").isNull()).withColumn(
+    rows = saved(_lines(docs, key, text, depth, min_tokens, min_bytes), "line-places")
+    covered = _generalised(rows, depth, min_docs, alike)
+    places = rows.select("id", "doc", "line_no", "leaf", "form").join(covered, ["leaf", "form"], "left").withColumn("own", F.col("template").isNull()).withColumn(
         "template", F.coalesce("template", "form"))
     group = ["leaf", "own", "template"]
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "line_no")
@@ -136,11 +140,15 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     doc, drop, body = unused(docs, "_doc", "_drop", "_text")
     drops = repeated_lines(docs, key, text, **options).withColumnRenamed("doc", doc).withColumnRenamed("lines", drop)
     rows = docs.withColumn(doc, F.xxhash64(key, text)).join(drops, doc, "left")
-    split = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(drop))
-    cleaned = F.when(F.col(drop).isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n"))
-    counts = {"lines": F.coalesce(F.size(split), F.lit(0)), "dropped_lines": F.coalesce(F.size(drop), F.lit(0))}
+    ends = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+
+    def without(split: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(drop))
+        return F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n")
+
+    # The text is cut once a row: an expression inside a lambda is worked out for every element.
+    cleaned = F.when(F.col(drop).isNull(), F.col(text)).otherwise(let(F.split(F.col(text), "\n"), without))
+    counts = {"lines": ends + 1, "dropped_lines": F.coalesce(F.size(drop), F.lit(0))}
     return rows.withColumns({k: F.when(F.col(text).isNull(), 0).otherwise(v).cast("long") for k, v in counts.items()} | {body: cleaned}).withColumn(
         text, F.col(body)).drop(doc, drop, body)
 
