@@ -27,10 +27,10 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "vacancylens"))
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a table into the shared folder and read it back: its plan ends there, and lost executors cost a reread."""
     path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ MIN_BYTES = 48
 DEPTH = 3
 ALIKE = 0.8
 FIELD = "<*>"
-SLOTS = 1 << 22
+WORDS = 1 << 20
 
 
 def _plain(text: Column) -> Column:
@@ -43,9 +43,23 @@ def _lines(docs: DataFrame, key: str, text: str, depth: int, min_tokens: int, mi
     rows = texts.select("id", "doc", F.posexplode_outer("both").alias("line_no", "line")).withColumn("n", _tokens(F.col("line.plain")))
     # A line of few tokens would not be known by its mask and stays as it is.
     rows = rows.withColumn("tokens", F.when(F.col("n") >= min_tokens, F.col("line.masked")).otherwise(F.col("line.plain")))
+    # A leaf holds the whole of a line that does not go past its lead, hence a single form; only longer ones are read again.
     return rows.filter((F.length("tokens") > 0) & ((F.col("n") >= min_tokens) | (F.octet_length("tokens") >= min_bytes))).select(
-        "id", "doc", "line_no", "tokens", "n", F.xxhash64("n", F.substring_index("tokens", " ", depth)).alias("leaf"),
-        F.xxhash64("tokens").alias("form"))
+        "id", "doc", "line_no", F.when(F.col("n") > depth, F.col("tokens")).alias("tokens"), "n",
+        F.xxhash64("n", F.substring_index("tokens", " ", depth)).alias("leaf"), F.xxhash64("tokens").alias("form"))
+
+
+def _may_meet(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """The rows with `may`: true wherever `keys` has their values of `on`, and for few others.
+
+    The keys are read as a table of bits, 64 a row. It is broadcast, as `WORDS` bounds its length.
+    """
+    slot = F.pmod(F.xxhash64(*on), F.lit(64 * WORDS))
+    word, place = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    bits = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word", "left").withColumn(
+        "may", F.coalesce(F.getbit("bits", place) == 1, F.lit(False))).drop("word", "bits")
 
 
 def _generalised(lines: DataFrame, depth: int, min_docs: int, alike: float) -> DataFrame:
@@ -60,9 +74,7 @@ def _generalised(lines: DataFrame, depth: int, min_docs: int, alike: float) -> D
     """
     leaves = saved(lines.groupBy("leaf").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.count("*").alias("n")).filter(
         (F.col("a") != F.col("b")) & (F.col("n") >= min_docs)).select("leaf"), "line-leaves")
-    # Most lines are in no such leaf. A table of slots, of bounded length, keeps nearly all of them out of the shuffle.
-    slot = F.pmod("leaf", F.lit(SLOTS)).cast("int").alias("slot")
-    few = lines.select("leaf", "form", "tokens", "n", slot).join(F.broadcast(leaves.select(slot).distinct()), "slot", "left_semi")
+    few = _may_meet(lines.select("leaf", "form", "tokens", "n"), leaves, "leaf").filter("may")  # most lines are in no such leaf
     forms = few.groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n")).join(leaves, "leaf", "left_semi")
     left = saved(forms.withColumn("template", F.lit(0).cast("long")), "line-forms")
     group, covered = ["leaf", "template"], None
@@ -80,11 +92,13 @@ def _generalised(lines: DataFrame, depth: int, min_docs: int, alike: float) -> D
 def _agreeing(forms: DataFrame, group: list[str], alike: float) -> DataFrame:
     """(leaf, form, template) of the forms that agree with at least `alike` of the positions their group's majority fixes."""
     sizes = forms.groupBy(*group).agg(F.count("*").alias("forms"))
-    tokens = forms.select(*group, "form", "n", F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
-    fixed = tokens.groupBy(*group, "pos", "token").agg(F.count("*").alias("held")).join(sizes, group).filter(
-        2 * F.col("held") > F.col("forms")).select(*group, "pos", "token")
-    return tokens.join(fixed, [*group, "pos", "token"]).groupBy(*group, "form", "n").agg(F.count("*").alias("agree")).filter(
-        F.col("agree") >= F.lit(alike) * F.col("n")).select("leaf", "form", "template")
+    marks = F.transform(F.split("tokens", " "), lambda token, pos: F.concat_ws(" ", pos.cast("string"), token))
+    # A group has two forms or more, so that one form's own tokens are never fixed. What is fixed is one list, no longer than a
+    # line, which meets whole forms: tokens are counted but not joined.
+    held = forms.select(*group, F.explode(marks).alias("mark")).groupBy(*group, "mark").agg(F.count("*").alias("held")).filter("held > 1")
+    fixed = held.join(sizes, group).filter(2 * F.col("held") > F.col("forms")).groupBy(*group).agg(F.collect_list("mark").alias("fixed"))
+    agree = F.size(F.array_intersect(marks, F.col("fixed")))
+    return forms.join(fixed, group).filter(agree >= F.greatest(F.lit(1.0), F.lit(alike) * F.col("n"))).select("leaf", "form", "template")
 
 
 def _split(forms: DataFrame, depth: int, alike: float) -> DataFrame:
@@ -115,11 +129,17 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     line of it goes, or with `keep_first` off all of them. Lines under `min_tokens` tokens stay if they are under
     `min_bytes` bytes too; longer ones, as scripts without blanks have them, match by their exact form.
     """
-    rows = saved(_lines(docs, key, text, depth, min_tokens, min_bytes), "line-places")
+    rows = saved(_lines(docs, key, text, depth, min_tokens, min_bytes), "line-places", compression="zstd")
     covered = _generalised(rows, depth, min_docs, alike)
-    places = rows.select("id", "doc", "line_no", "leaf", "form").join(covered, ["leaf", "form"], "left").withColumn("own", F.col("template").isNull()).withColumn(
-        "template", F.coalesce("template", "form"))
+    lines = _may_meet(rows.select("id", "doc", "line_no", "leaf", "form"), covered, "leaf", "form")
+    met = saved(lines.filter("may").drop("may").join(covered, ["leaf", "form"], "left"), "line-met")
+    alone = lines.filter(~F.col("may")).drop("may").withColumn("template", F.lit(None).cast("long"))
+    places = met.unionByName(alone).withColumn("own", F.col("template").isNull()).withColumn("template", F.coalesce("template", "form")).drop("form")
+    # Few lines recur. Two numbers per template tell which may, and only the places of those are shuffled whole.
     group = ["leaf", "own", "template"]
+    held = places.groupBy(*group).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter(
+        (F.col("n") >= min_docs) & ((F.col("a") != F.col("b")) | F.lit(min_docs < 2)))
+    places = saved(_may_meet(places, held, *group).filter("may").drop("may"), "line-recurring")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "line_no")
     recurring = places.groupBy(*group, "doc").agg(F.min(place).alias("first")).groupBy(*group).agg(
         F.count("*").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs).select(
