@@ -135,7 +135,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     met = saved(lines.filter("may").drop("may").join(covered, ["leaf", "form"], "left"), "line-met")
     alone = lines.filter(~F.col("may")).drop("may").withColumn("template", F.lit(None).cast("long"))
     places = met.unionByName(alone).withColumn("own", F.col("template").isNull()).withColumn("template", F.coalesce("template", "form")).drop("form")
-    # Few lines recur. Two numbers per template tell which may, and only the places of those are shuffled whole.
+    # Few lines recur. A count and two documents per template tell which may, and only the places of those are shuffled whole.
     group = ["leaf", "own", "template"]
     held = places.groupBy(*group).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter(
         (F.col("n") >= min_docs) & ((F.col("a") != F.col("b")) | F.lit(min_docs < 2)))
