@@ -6,13 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vacancylens.llm import language, linededup, lmscore, mixing, neighbours, packing, quality, sharding, simhash, topk
-from vacancylens.llm.common import table
+from vacancylens.llm.common import table, word_codes
 from vacancylens.llm.packing import encoder, place
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -398,6 +399,29 @@ def test_lm_scores(spark, odd):
     assert not lmscore.score(odd.limit(0), odd.select("doc_id")).collect()
 
 
+def test_words_of_blank_null_and_odd_texts():
+    texts = [None, "", " \t\n\x0b\x0c\r", "  a B\n a  ", "x\x1cy \x85z\xa0 \u2003é É\x00q", "B", "\na"]
+    numbers, names, per_text = word_codes(pa.array(texts, pa.string()))
+    assert [names[i].as_py().encode() for i in numbers.tolist()] == [w for t in texts for w in (t or "").encode().split()]
+    assert per_text.tolist() == [len((t or "").encode().split()) for t in texts] and len(set(names.to_pylist())) == len(names)
+    for none in (texts[:3], []):
+        numbers, names, per_text = word_codes(pa.array(none, pa.string()))
+        assert not len(numbers) and not len(names) and per_text.tolist() == [0] * len(none)
+
+
+def test_lm_keys_are_worked_out_once_a_distinct_pair(monkeypatch):
+    texts, hashed, mixed = ["a b A b", None, "b a " * 2000, " ", "c"], [], lmscore._mixed
+    monkeypatch.setattr(lmscore, "_mixed", lambda x: hashed.append(len(x)) or mixed(x))
+    seen = lmscore._tokens(pa.array(texts))
+    split = [(t or "").lower().split() for t in texts]
+    pairs = [p for s in split for p in zip([None, *s], s)]
+    assert sum(hashed) == len(set(pairs)) == 5
+    assert len(seen.keys) == 5 + 3 + 1 and np.all(np.diff(seen.keys.astype(object)) > 0)
+    for number, size, things in ((seen.word, len(seen.word_place), [[w for w in s] for s in split]),
+                                 (seen.pair, len(seen.pair_place), [list(zip([None, *s], s)) for s in split])):
+        assert seen.own(number, size).tolist() == [collections.Counter(t)[x] for t in things for x in t]
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as pipeline
 

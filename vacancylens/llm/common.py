@@ -7,6 +7,9 @@ import shutil
 import tempfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,23 @@ def crc32_text(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of every word, the distinct words by number, words per text): what stands between ASCII white space, in order.
+
+    A null text has no words.
+    """
+    trimmed = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    cut = pc.ascii_split_whitespace(trimmed)
+    per_text = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = cut.flatten()
+    blank = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)
+    if blank.any():
+        words = words.filter(pc.not_equal(words, ""))
+        per_text[blank] = 0
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, per_text
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, share: int = 1000) -> DataFrame:
     """Rows joined to groups, one row per group with `size` of its rows, where one group may hold most of them.
 

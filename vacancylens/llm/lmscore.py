@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacancylens.llm.common import saved, ship
+from vacancylens.llm.common import saved, ship, word_codes
 
 BLOCK_CHARS = 4 << 20
 PART_CHARS = 16 << 20
 MIX = 0.5
 ADD = 0.5
-BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -32,37 +33,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 START = int(_mixed(np.array([1], np.uint64))[0]) & ~1
 
 
-def token_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word keys, keys of the words before, pair keys, words per text) over all words of the texts, in order.
+@dataclass
+class _Tokens:
+    """The words of a block's texts, in order, and its distinct keys.
 
     Words stand between ASCII white space, A-Z in lower case, and are known by a 64-bit hash. The lowest bit tells words (0)
     from pairs (1). The first word of a text follows a start mark.
     """
-    coded = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    buffer = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
-    solid = ~BLANK[buffer]
-    begins = solid & np.concatenate(([True], ~solid[:-1]))
-    ends_of_text = np.cumsum([len(c) + 1 for c in coded])
-    per_text = np.diff(np.concatenate(([0], np.cumsum(begins)[ends_of_text - 1]))).astype(np.int64) if coded else np.zeros(0, np.int64)
-    chars = buffer[solid].astype(np.uint64) + np.uint64(1)
-    starts = np.flatnonzero(begins[solid])
-    if not len(starts):
-        none = np.zeros(0, np.uint64)
-        return none, none, none, per_text
-    sizes = np.diff(np.concatenate((starts, [len(chars)])))
-    powers = np.cumprod(np.full(int(sizes.max()), STEP, np.uint64))
-    words = _mixed(np.add.reduceat(chars * powers[np.arange(len(chars)) - np.repeat(starts, sizes)], starts)) & ~np.uint64(1)
-    before = np.concatenate((np.array([START], np.uint64), words[:-1]))
-    firsts = (np.cumsum(per_text) - per_text)[per_text > 0]
-    before[firsts] = START
-    pairs = _mixed(before * np.uint64(0xC2B2AE3D27D4EB4F) + words) | np.uint64(1)
-    return words, before, pairs, per_text
-
-
-def _distinct(words: np.ndarray, pairs: np.ndarray, texts: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, part of each): the sorted distinct keys of a block, the same in every pass. Parts are equal ranges of keys."""
-    keys = np.unique(np.concatenate((words, pairs, np.full(min(texts, 1), START, np.uint64))))
-    return keys, (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+    per_text: np.ndarray  # words of each text
+    text_no: np.ndarray  # the text of each word
+    word: np.ndarray  # the number of each word
+    before: np.ndarray  # the number of the word before it; the start mark has the one behind all words
+    pair: np.ndarray  # the number of the pair that it ends
+    keys: np.ndarray  # distinct keys of words, pairs and the start mark, sorted
+    word_place: np.ndarray  # where the keys of numbered words and, last, of the start mark stand
+    pair_place: np.ndarray  # where those of numbered pairs stand
+
+    def own(self, number: np.ndarray, size: int) -> np.ndarray:
+        """How often the numbered thing at each place stands in the same text."""
+        cell, _ = pd.factorize(self.text_no * size + number)
+        return np.bincount(cell)[cell]
+
+
+def _tokens(texts: pa.Array) -> _Tokens:
+    """The same words, numbers and keys in every pass; only distinct words and pairs are hashed and sorted."""
+    word, names, per_text = word_codes(pc.ascii_lower(texts))
+    word, size = word.astype(np.int64), len(names)
+    hashes = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False) & ~np.uint64(1)
+    hashes = np.append(hashes, np.uint64(START))
+    before = np.concatenate((np.full(min(len(word), 1), size), word[:-1]))
+    before[(np.cumsum(per_text) - per_text)[per_text > 0]] = size
+    pair, cells = pd.factorize(before * (size + 1) + word)
+    pairs = _mixed(hashes[cells // (size + 1)] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[cells % (size + 1)]) | np.uint64(1)
+    keys, place = np.unique(np.concatenate((hashes, pairs)), return_inverse=True)
+    return _Tokens(per_text, np.repeat(np.arange(len(per_text)), per_text), word, before, pair, keys, place[:size + 1], place[size + 1:])
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key. Parts are equal ranges of keys."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -99,7 +109,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             batch = pa.RecordBatch.from_arrays(batch.columns, names=["key", "text"])
             first = 0
-            for i, n in enumerate(pa.compute.binary_length(batch.column(1)).to_pylist()):
+            for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
                 size += n or 0
                 if size >= BLOCK_CHARS:
                     held.append(batch.slice(first, i + 1 - first))
@@ -148,17 +158,14 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     def requests(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = {"block": [], "part": [], "keys": [], "all": [], "chosen": []}
         for name, payload in zip(left["block"].to_pylist(), left["payload"]):
-            texts = _unpack(payload.as_py())["text"].to_pylist()
-            words, _, pairs, per_text = token_keys(texts)
-            keys, part = _distinct(words, pairs, len(texts), parts)
-            flags = np.zeros(len(texts), bool)
+            seen = _tokens(_unpack(payload.as_py())["text"].combine_chunks())
+            flags = np.zeros(len(seen.per_text), bool)
             flags[right["chosen"][0].as_py() or []] = True
-            picked = np.repeat(flags, per_text)
-            place_of = np.searchsorted(keys, np.concatenate((words, pairs)))
-            every = np.bincount(place_of, minlength=len(keys))
-            some = np.bincount(place_of[np.concatenate((picked, picked))], minlength=len(keys))
-            start = np.searchsorted(keys, np.array([START], np.uint64))
-            every[start], some[start] = len(texts), flags.sum()
+            picked, place = flags[seen.text_no], np.concatenate((seen.word_place, seen.pair_place))
+            every, some = (np.bincount(place, weights=np.concatenate((
+                np.bincount(seen.word[kept], minlength=len(seen.word_place) - 1), [texts], np.bincount(seen.pair[kept], minlength=len(seen.pair_place)))))
+                for kept, texts in ((slice(None), len(flags)), (picked, flags.sum())))
+            keys, part = seen.keys, _part_of(seen.keys, parts)
             for p, a, b in _runs(part):
                 for column, value in zip(rows, (name, p, _squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), _squeezed(every[a:b].astype("<u4")), _squeezed(some[a:b].astype("<u4")))):
                     rows[column].append(value)
@@ -169,7 +176,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
 
     def answer(rows: pa.Table) -> pa.Table:
         keys = [np.cumsum(_numbers(k.as_py(), "<u8"), dtype=np.uint64) for k in rows["keys"]]
-        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        at, known = pd.factorize(np.concatenate(keys))
         sums = [np.bincount(at, weights=np.concatenate([_numbers(k.as_py(), "<u4") for k in rows[c]])) for c in ("all", "chosen")]
         word = (known & np.uint64(1) == 0) & (known != np.uint64(START))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
@@ -190,27 +197,21 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     def losses(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         chosen = next((c for c in right["marks"].to_pylist() if c), [])
-        right = right.filter(pa.compute.is_valid(right["part"])).sort_by("part")
+        right = right.filter(pc.is_valid(right["part"])).sort_by("part")
         for payload in left["payload"]:
             docs_of = _unpack(payload.as_py())
-            words, before, pairs, per_text = token_keys(docs_of["text"].to_pylist())
-            keys, _ = _distinct(words, pairs, len(per_text), parts)
-            at = [np.searchsorted(keys, k) for k in (words, before, pairs)]
-            text_no = np.repeat(np.arange(len(per_text)), per_text)
-            held = np.concatenate([text_no * len(keys) + at[0], text_no * len(keys) + at[2]])
-            cells, own = np.unique(held, return_counts=True)
-
-            def own_of(place: np.ndarray) -> np.ndarray:
-                cell = text_no * len(keys) + place
-                spot = np.minimum(np.searchsorted(cells, cell), max(len(cells) - 1, 0))
-                return np.where(cells[spot] == cell, own[spot], 1) if len(cells) else np.ones(0)  # the start mark stands once
-
+            seen = _tokens(docs_of["text"].combine_chunks())
+            per_text, text_no = seen.per_text, seen.text_no
+            own_word = seen.own(seen.word, len(seen.word_place))
+            own_pair = seen.own(seen.pair, len(seen.pair_place))
+            own_ahead = np.where(seen.before == len(seen.word_place) - 1, 1, np.roll(own_word, 1))  # the start mark stands once
             flags = np.zeros(len(per_text), bool)
             flags[chosen] = True
             loss = []
             for column, total, mine in (("chosen", totals[1], flags[text_no]), ("all", totals[0], np.ones(len(text_no), bool))):
                 count = np.concatenate([_numbers(b.as_py(), "<u8") for b in right[column]]).astype(float)
-                word, ahead, pair = (np.maximum(count[p] - own_of(p) * mine, 0) for p in at)
+                word, ahead, pair = (np.maximum(count[place][number] - own * mine, 0) for place, number, own in (
+                    (seen.word_place, seen.word, own_word), (seen.word_place, seen.before, own_ahead), (seen.pair_place, seen.pair, own_pair)))
                 single = (word + add) / (total - per_text[text_no] * mine + add * max(vocabulary, 1))
                 both = np.where(ahead > 0, pair / np.maximum(ahead, 1), 0)
                 weight = np.where(ahead > 0, mix, 0)
