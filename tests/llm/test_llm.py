@@ -275,6 +275,44 @@ def test_tokens_and_packing(docs, odd):
     assert not packing.pack(odd.limit(0), PATH).collect()
 
 
+def test_new_parts_go_to_the_model_in_one_call_and_read_ones_stay(monkeypatch):
+    import tokenizers
+
+    sent = []
+
+    class Counted:
+        from_file = staticmethod(lambda path: Counted(file=Tokenizer.from_file(path)))
+
+        def __init__(self, model=None, file=None):
+            object.__setattr__(self, "inner", file or Tokenizer(model))
+            object.__setattr__(self, "whole", file is not None)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.append((self.whole, [p for t in texts for p in ([t] if self.whole else t.split(" "))]))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(packing, "_encoders", {})
+    monkeypatch.setattr(packing, "CACHE_PARTS", 40)
+    encode, plain = encoder(PATH), Tokenizer.from_file(PATH)
+    odd = ["İ", "x<|endoftext|>y", "Σς中文", "it's\xa0I'LL", "é\x85\x1cz", "<|nothing|>", "12³½", "</w>"]
+    for n in range(12):
+        texts = [f"often Read WORDS {odd[n % 8]} \t{'abcdefghijkl'[n]}{'xyz' * n} привет", None, " \n", " ".join(odd[n % 5:n % 8]), "often"]
+        texts += [" ".join("qrstuvwxyz"[(n + k) % 10] * (n + k + 1) for k in range(9))]
+        sent.clear()
+        got = encode(texts)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(sent) <= 2 and all(len(set(names)) == len(names) for _, names in sent)
+        assert n > 0 or any("often" in names for whole, names in sent if not whole)
+        assert n == 0 or not any(w in names for _, names in sent for w in ("often", "read", "words", "привет"))
+
+
 def test_place_is_valid_and_tight():
     rng = np.random.default_rng(0)
     for sizes in (rng.integers(1, 101, 400), rng.integers(30, 71, 300), np.full(9, 100), np.array([60, 40, 51, 51, 51, 49, 49, 49])):

@@ -3,32 +3,30 @@
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacancylens.llm.common import saved, ship
+from vacancylens.llm.common import saved, ship, word_codes
 
 LENGTH = 4096
 END_ID = 1
 GROUP_PIECES = 16_384
-CACHE_CHUNKS = 300_000
-CACHE_PARTS = 150_000
-BATCH_CHARS = 2 << 20
-BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
-ODD_BLANKS = re.compile(r"[\x1c-\x1f]")
+CACHE_PARTS = 250_000
+BATCH_BYTES = 4 << 20
+MARK = np.array([0xFFFFFFFF], "<u4")  # no id; stands for the blank behind a chunk
 PLAIN = re.compile(r"[\x00-\xff]*")
-# How the tokenizer cuts lower-case chunks of Latin-1 characters into parts.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºßà-öø-ÿ]+|[0-9²³¹¼-¾]|[^0-9a-zªµºßà-öø-ÿ²³¹¼-¾\x85\xa0]+")
+# How the tokenizer cuts lower-case chunks of Latin-1 characters into parts, here with blanks between the chunks.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºßà-öø-ÿ]+|[0-9²³¹¼-¾]|[^0-9a-zªµºßà-öø-ÿ²³¹¼-¾\x85\xa0 ]+| ")
 
-_encoders: dict[str, Callable[[list[str | None]], list[bytes]]] = {}
+_encoders: dict[str, Callable[[pa.Array | list[str | None]], list[bytes]]] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -38,66 +36,88 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbered stretches of a pool, one behind the other; where each begins, and where the last one ends)."""
+    took = sizes[number]
+    upto = np.concatenate(([0], np.cumsum(took)))
+    return pool[np.repeat(starts[number] - upto[:-1], took) + np.arange(upto[-1])], upto
+
+
+def encoder(path: str) -> Callable[[pa.Array | list[str | None]], list[bytes]]:
     """A function from texts to their ids, as little-endian unsigned 32-bit numbers, by the tokenizer file at `path`.
 
     The tokenizer never joins characters across white space, so a text's ids are those of its white-space-free chunks, and
-    a chunk of Latin-1 characters has those of its parts, which go to the vocabulary's model at once. Other chunks, and
-    those that might hold a special token, take the tokenizer's whole way. Ids of chunks and parts stay in bounded caches,
-    which a Python worker keeps from task to task.
+    a chunk of Latin-1 characters has those of its parts, which go to the vocabulary's model, all new ones in one call.
+    Other chunks, and those that might hold a special token, take the tokenizer's whole way. Chunks are worked out once
+    for all texts of a call. Ids of parts and of other chunks stay in two bounded generations, which a Python worker
+    keeps from task to task: when the younger one is full it becomes the older one, and what is read is young again.
     """
     if path not in _encoders:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
-        model, letters = tokenizer.model, _byte_letters()
-        known: dict[str, bytes] = {}
-        parts: dict[str, bytes] = {}
-
-        def packed(ids: list[int]) -> bytes:
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        def learn(chunks: list[str]) -> None:
-            if len(parts) > CACHE_PARTS:
-                parts.clear()
-            whole = []
-            for chunk in chunks:
-                if "<|" in chunk or not PLAIN.fullmatch(chunk):
-                    whole.append(chunk)
-                    continue
-                ids = b""
-                for part in PARTS.findall(chunk.lower()):
-                    if part not in parts:
-                        word = part if part.isascii() and part.isalnum() else "".join([letters[b] for b in part.encode()])
-                        parts[part] = packed([t.id for t in model.tokenize(word)])
-                    ids += parts[part]
-                known[chunk] = ids
-            for chunk, found in zip(whole, tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-                known[chunk] = packed(found.ids)
-
-        def encode(texts: list[str | None]) -> list[bytes]:
-            cut = [BLANKS.split(t) if ODD_BLANKS.search(t) else t.split() for t in (t or "" for t in texts)]
-            new = {c for chunks in cut for c in chunks if c not in known}
-            if len(known) + len(new) > CACHE_CHUNKS:
-                known.clear()
-                new = {c for chunks in cut for c in chunks}
-            learn(list(new))
-            return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        by_model = Tokenizer(tokenizer.model)
+        by_model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        letters = {b: "".join(_byte_letters()[c] for c in chr(b).encode()) for b in range(256) if chr(b) != " "}
+        closes = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)  # ids that stand at the end of a part, and only there
+        closes[[i for name, i in tokenizer.get_vocab().items() if name.endswith(tokenizer.model.end_of_word_suffix)]] = True
+        young: dict[str, bytes] = {}
+        old: dict[str, bytes] = {}
+
+        def ids_of(names: list[str], whole: set[str]) -> list[bytes]:
+            nonlocal young, old
+            if len(young) > CACHE_PARTS:
+                young, old = {}, young
+            young[" "] = MARK.tobytes()
+            held = list(map(young.get, names))
+            absent = [n for n, ids in zip(names, held) if ids is None]
+            if not absent:
+                return held
+            fresh = {n: old[n] for n in absent if n in old}
+            others = [n for n in absent if n in whole and n not in fresh] if whole else []
+            fresh.update(zip(others, [np.array(f.ids, "<u4").tobytes() for f in tokenizer.encode_batch_fast(others, add_special_tokens=False)]))
+            new = [n for n in absent if n not in fresh]
+            if new:
+                ids = np.array(by_model.encode_batch_fast([" ".join(new).translate(letters)], add_special_tokens=False)[0].ids, "<u4")
+                ends = (4 * np.flatnonzero(closes[ids]) + 4).tolist()
+                if len(ends) != len(new):
+                    raise ValueError(f"{path}: parts of words do not end in ids of their own")
+                data = ids.tobytes()
+                fresh.update(zip(new, [data[a:b] for a, b in zip([0, *ends], ends)]))
+            young.update(fresh)
+            return [fresh[n] if ids is None else ids for n, ids in zip(names, held)]
+
+        def encode(texts: pa.Array | list[str | None]) -> list[bytes]:
+            number, chunks, per_text = word_codes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), " ")[0].as_py() + " " * (len(chunks) > 0)
+            order, whole = None, []
+            if "<|" in joined or not PLAIN.fullmatch(joined):
+                names = joined.split(" ")[:-1]
+                odd = np.array(["<|" in c or not PLAIN.fullmatch(c) for c in names])
+                order, whole = np.argsort(odd, kind="stable"), [c for c, o in zip(names, odd) if o]
+                joined = "".join([c + " " for c, o in zip(names, odd) if not o])
+            parts = pa.array(PARTS.findall(joined.lower()) + [n for c in whole for n in (c, " ")], pa.string()).dictionary_encode()
+            known = ids_of(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), set(whole))
+            lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            pool, _ = _gathered(np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths, lengths, parts.indices.to_numpy())
+            ends = np.flatnonzero(pool == MARK)
+            starts = np.concatenate(([0], ends + 1))[:-1]
+            if order is not None:
+                starts[order], ends[order] = starts.copy(), ends.copy()
+            data, upto = _gathered(pool, starts, ends - starts, number)
+            data, cuts = data.tobytes(), (4 * upto[np.concatenate(([0], np.cumsum(per_text)))]).tolist()
+            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
         _encoders[path] = encode
     return _encoders[path]
 
 
-def _encoded(encode: Callable[[list[str | None]], list[bytes]], texts: pa.Array) -> Iterator[bytes]:
-    """The ids of all texts, a bounded number of characters at a time."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text.as_py())
-        size += len(group[-1] or "")
-        if size > BATCH_CHARS:
-            yield from encode(group)
-            group, size = [], 0
-    yield from encode(group)
+def _encoded(encode: Callable[[pa.Array], list[bytes]], texts: pa.Array) -> Iterator[bytes]:
+    """The ids of all texts, a bounded number of bytes at a time, or one text."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield from encode(texts.slice(a, b - a))
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH,
