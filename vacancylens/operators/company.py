@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import logging
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancylens import fixed
 from vacancylens.functions.identity import company_key, same_company
-from vacancylens.functions.text import blank, col, shingle_hashes, words
-from vacancylens.operators.setjoin import similar_pairs
+from vacancylens.functions.text import blank, col
+from vacancylens.operators.textsets import common_runs, contained, keyed_texts, lowered, perhaps_in
 from vacancylens.session import cut
 
+log = logging.getLogger(__name__)
+
 _GRAM = 5
+# Overlaps that are looked for in turn, before the threshold.
+_LEVELS = (1.0, 0.8)
 
 
 def _grams(c: Column) -> Column:
@@ -103,29 +109,53 @@ def same_text(rows: DataFrame, threshold: float = fixed.SAME_TEXT_OVERLAP, text:
     probes(probe) are the companies asked about; without them every company is, and the result has a row per pair of
     companies that share text.
 
-    Copies of one text inside a company collapse first, and again across companies before the set join, so a text that a
-    third of all rows carry enters it once. Companies that are spellings of each other do not count as other.
+    Copies of one text inside a company collapse first, and again across companies before texts are compared, so a text
+    that a third of all rows carry enters once. Companies that are spellings of each other do not count as other.
+
+    A pair of companies needs its best overlap only, so high overlaps are looked for first, in all texts. Once they
+    give a company its best with every other, its texts drop out, and lower overlaps are looked for among the rest; at
+    once for the lowest, where the first level settles less than half of the pairs.
     """
-    worded = rows.select(F.col(ord_col).alias("ord"), company_key("company").alias("key"), words(text).alias("w")).filter(
-        (F.col("key") != "") & (F.size("w") >= fixed.SHINGLE_WORDS))
-    texted = worded.withColumn("text_key", F.md5(F.array_join("w", " ")))
-    holders = cut(texted.groupBy("text_key", "key").agg(F.min("ord").alias("ord")))
-    nth = F.row_number().over(Window.partitionBy("text_key").orderBy("ord"))
-    distinct = texted.withColumn("_n", nth).filter("_n = 1").select(
-        F.col("ord").alias("id"), shingle_hashes(F.col("w")).alias("tokens"))
-    names = holders.groupBy("text_key").agg(F.min("ord").alias("ord"))
-    pairs = cut(similar_pairs(distinct, threshold, "overlap").select("a", "b", "score")).join(
-        names.select(F.col("ord").alias("a"), F.col("text_key").alias("ka")), "a").join(
-        names.select(F.col("ord").alias("b"), F.col("text_key").alias("kb")), "b").select(
-        F.col("ka").alias("a"), F.col("kb").alias("b"), "score")
-    itself = holders.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select(
-        F.col("text_key").alias("a"), F.col("text_key").alias("b"), F.lit(1.0).alias("score"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(itself)
-    asked = holders if probes is None else holders.join(probes.select(company_key("probe").alias("key")).distinct(), "key", "left_semi")
+    posted = rows.select(F.col(ord_col).alias("ord"), company_key("company").alias("key"), F.xxhash64(ord_col).alias("row"), lowered(text)).filter(F.col("key") != "")
+    holders = cut(keyed_texts(posted.drop("row")).filter("n > 0").groupBy("text_key", "key").agg(F.min("ord").alias("ord")))
+    keys = cut(holders.select("key").distinct())
+    asked_keys = keys if probes is None else cut(keys.join(probes.select(company_key("probe").alias("key")).distinct(), "key", "left_semi"))
+    spelled = cut(matching_keys(asked_keys.withColumnRenamed("key", "probe_key"), keys.withColumnRenamed("key", "entry_key")))
+    asked = holders if probes is None else holders.join(asked_keys, "key", "left_semi")
     left = asked.select(F.col("text_key").alias("a"), F.col("key").alias("company_key"), "ord")
     right = holders.select(F.col("text_key").alias("b"), F.col("key").alias("other_key"), F.col("ord").alias("other_ord"))
-    met = left.join(both, "a").join(right, "b").filter(~same_company(F.col("company_key"), F.col("other_key")))
-    best = met.groupBy("company_key", "other_key").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), F.col("other_ord"), F.col("ord"))).alias("best"))
+
+    def met(both: DataFrame) -> DataFrame:
+        """The best overlap, over pairs of texts given both ways, of each pair of companies that hold some."""
+        pairs = left.join(both, "a").join(right, "b").filter(~same_company(F.col("company_key"), F.col("other_key")))
+        return pairs.groupBy("company_key", "other_key").agg(
+            F.min(F.struct((-F.col("score")).alias("s"), F.col("other_ord"), F.col("ord"))).alias("best"))
+
+    def unsettled(found: DataFrame, side: str, name: str, mine: DataFrame, theirs: DataFrame) -> DataFrame:
+        """Which of `mine` still miss some of `theirs`: neither found nor a spelling."""
+        done = found.select(F.col(side).alias("key")).unionByName(spelled.select(F.col(name).alias("key"))).groupBy("key").agg(F.count("*").alias("n"))
+        return mine.join(done, "key", "left").filter(F.coalesce("n", F.lit(0)) < theirs.count()).select("key")
+
+    itself = holders.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.col("text_key").alias("a"), F.col("text_key").alias("b"), F.lit(1.0).alias("score"))
+    levels = [x for x in _LEVELS if x > threshold] + [threshold]
+    common = common_runs(posted)
+    best, open_texts = None, posted
+    while levels:
+        level = levels.pop(0)
+        pairs = cut(contained(open_texts.select("row", "text"), level, common))
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+        # What a higher level found is better than anything below it.
+        best = cut(met(both.unionByName(itself)) if best is None else best.unionByName(met(both).join(best, ["company_key", "other_key"], "left_anti")))
+        if not levels:
+            break
+        if 2 * best.count() < keys.count() * asked_keys.count() - spelled.count():
+            levels = levels[-1:]
+        missing = cut(unsettled(best, "company_key", "probe_key", asked_keys, keys).unionByName(
+            unsettled(best, "other_key", "entry_key", keys, asked_keys)).distinct())
+        if missing.isEmpty():
+            break
+        log.info("same text: %d companies are not settled at %s", missing.count(), level)
+        open_texts = perhaps_in(posted, F.xxhash64("key"), missing.select(F.xxhash64("key").alias("number")))
     return best.select("company_key", "other_key", F.bround(-F.col("best.s"), 2).alias("overlap"),
                        F.col("best.ord").alias("ord"), F.col("best.other_ord").alias("other_ord"))
