@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacancylens.functions.text import shingle_hashes, words
-from vacancylens.operators import company, textsets
+from vacancylens.functions.vectors import bucket_counts
+from vacancylens.operators import company, neardup, textsets
 
 
 def grams(t, n=5):
@@ -36,6 +37,13 @@ def test_keys_and_runs_are_those_of_the_words(spark):
     assert sets["a b c d e"] == sets["A B C D E!"] and len({tuple(x) for x in sets.values() if x}) == len({frozenset(grams(t or "")) for t in odd} - {frozenset()})
 
 
+def test_word_counts_are_those_of_the_columns(spark):
+    odd = ["", None, "a", "A b C", "été İstanbul Kelvin", "x" * 64 + " " + "y" * 65 + " z" * 70, "日本 a b\nc\td", "q" * 5000, "a-b_c d,e  f"]
+    rows = spark.createDataFrame([(x,) for x in odd], "raw string").select(
+        textsets.word_counts("raw", 7).alias("v"), bucket_counts("raw", 7).alias("w"), textsets.word_counts("raw").alias("x"), bucket_counts("raw").alias("y")).collect()
+    assert all(r["v"] == r["w"] and r["x"] == r["y"] for r in rows) and sum(map(sum, (r["v"] for r in rows))) > 80
+
+
 def corpus(seed):
     rng = random.Random(seed)
     line = " ".join(rng.choices([f"c{i}" for i in range(30)], k=30))
@@ -98,3 +106,16 @@ def test_settled_companies_are_not_compared_again(spark, monkeypatch):
     got = {(r["company_key"], r["other_key"]): r["overlap"] for r in company.same_text(df).collect()}
     assert got["lonewolf", "firm00000"] == round(len(grams(lone[-1][2]) & grams(lone[-4][2])) / min(len(grams(lone[-1][2])), len(grams(lone[-4][2]))), 2)
     assert len(got) == 12 and seen == [1.0, 0.8, 0.25]
+
+
+def test_near_duplicates_are_joined_by_few_runs(spark, monkeypatch):
+    """Near-duplicates take the join that indexes a fifth of a text's runs, and compare survivors by runs, not by words."""
+    rng = random.Random(5)
+    base = rng.choices([f"w{i}" for i in range(900)], k=150)
+    rows = [(i, f"Firm {i}", "Dev", " ".join(base if i % 2 else rng.choices(base, k=150)), "", "") for i in range(12)]
+    df = spark.createDataFrame(rows, "ord int, company string, title string, jd_text string, link string, id string").withColumn("from_correspondence", F.lit(False))
+    asked, whole = [], neardup.alike
+    monkeypatch.setattr(neardup, "alike", lambda *a: asked.append(a[1]) or whole(*a))
+    _, absorbed = neardup.collapse(df)
+    assert {(r["ord"], r["survivor"], r["overlap"], r["similarity"]) for r in absorbed.collect()} == {(i, 1, 1.0, 1.0) for i in (3, 5, 7, 9, 11)}
+    assert asked == [0.8]
