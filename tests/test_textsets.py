@@ -119,3 +119,14 @@ def test_near_duplicates_are_joined_by_few_runs(spark, monkeypatch):
     _, absorbed = neardup.collapse(df)
     assert {(r["ord"], r["survivor"], r["overlap"], r["similarity"]) for r in absorbed.collect()} == {(i, 1, 1.0, 1.0) for i in (3, 5, 7, 9, 11)}
     assert asked == [0.8]
+
+
+def test_precedents_count_words_in_batches(spark):
+    """The search's vectors are made many texts at a time, documents and questions alike."""
+    from vacancylens.operators import precedents
+
+    docs = spark.createDataFrame([("job:a", "a b c a", 1), ("job:b", None, 2)], "key string, content string, n int")
+    got = precedents.embedded(docs)
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    want = docs.withColumn("_vector", bucket_counts("content")).drop("content")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from vacancylens import fixed
 from vacancylens.functions.identity import composite_id
 from vacancylens.functions.text import blank, strip
-from vacancylens.functions.vectors import bucket_counts
 from vacancylens.operators import knn, rules
+from vacancylens.operators.textsets import word_counts
 from vacancylens.session import cut
 
 PRECEDENT = "precedent"
@@ -31,13 +31,13 @@ def question(chars: int | None = None) -> Column:
     return strip(F.concat(blank("title"), F.lit(" — "), blank("company"), F.lit("\n"), text))
 
 
-def embedded(documents: DataFrame, embed: Callable[[Column], Column] = bucket_counts) -> DataFrame:
+def embedded(documents: DataFrame, embed: Callable[[Column], Column] = word_counts) -> DataFrame:
     """The documents with a vector in place of their text. Before a shuffle of documents, this keeps their texts out of it."""
     return documents.withColumn(VECTOR, embed(F.col("content"))).drop("content")
 
 
 def find(jobs: DataFrame, documents: DataFrame, by: str = "ord", k: int = fixed.RETRIEVE_K, fetch_k: int = fixed.RETRIEVE_FETCH_K,
-         weight: float = fixed.RETRIEVE_LAMBDA, embed: Callable[[Column], Column] = bucket_counts, chars: int | None = None) -> DataFrame:
+         weight: float = fixed.RETRIEVE_LAMBDA, embed: Callable[[Column], Column] = word_counts, chars: int | None = None) -> DataFrame:
     """(query, place, and the document's columns): per posting up to `k` similar, mutually different past judgments.
 
     documents as `index.build_documents` or `embedded` gives them, one row per key; they are worked out once. `embed` need
